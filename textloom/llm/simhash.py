@@ -15,6 +15,11 @@ Search within ``radius`` differing bits:
   group as soon as the sum exceeds the radius;
 * a bucket gives a star of links per component found in it, not its pairs.
 
+``near_duplicates`` links fingerprints at the radius alone. With ``similar`` the fingerprint only proposes: it is
+then made of single words of some length, which edits hardly move, at a wider radius; a pair is linked if
+a second, 256-bit SimHash of five-word shingles puts its similarity at the asked value, less one
+standard error of the estimate. The second fingerprint travels with the first, so texts are never joined.
+
 Null and empty texts have no word and the fingerprint zero, which links like any other. Ties cannot
 occur: a component's id is its smallest doc_id. Repeated rows get equal results. Rows with a null doc_id
 take part; a component of such rows alone has a null id. An empty table gives an empty result.
@@ -63,6 +68,41 @@ def shingle_fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int
     return int(np.packbits(ones * 2 > spans, bitorder="little").view(np.uint64)[0])
 
 
+def signature(text: str | None, width: int = 5) -> bytes:
+    """A 256-bit SimHash of the word shingles, to estimate similarity."""
+    words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
+    if not words:
+        return bytes(32)
+    shingles = [b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))]
+    ones = np.zeros(256, np.int64)
+    for at in range(0, len(shingles), BLOCK):
+        some = shingles[at : at + BLOCK]
+        raw = b"".join([xxhash.xxh3_128_digest(x, 1) + xxhash.xxh3_128_digest(x, 2) for x in some])
+        ones += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 32), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(shingles)).tobytes()
+
+
+def content_fingerprint(text: str | None, letters: int = 5) -> int:
+    """A 64-bit SimHash of the words of at least ``letters`` bytes; of all words where there are under eight such."""
+    words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
+    chosen = [w for w in words if len(w) >= letters]
+    if len(chosen) < 8:
+        chosen = words
+    if not chosen:
+        return 0
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(chosen), BLOCK):
+        hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in chosen[at : at + BLOCK]], np.uint64)
+        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(chosen), bitorder="little").view(np.uint64)[0])
+
+
+def signature_limit(similar: float, bits: int = 256) -> int:
+    """Differing signature bits up to which a pair may have the asked Jaccard similarity, with one standard error."""
+    share = np.arccos(2 * similar / (1 + similar)) / np.pi
+    return int(bits * share + np.sqrt(bits * share * (1 - share)))
+
+
 def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "_fp", width: int = 3) -> DataFrame:
     """Add the signed 64-bit fingerprint of ``text``."""
 
@@ -140,43 +180,66 @@ def stars(size: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         label = new
 
 
-def bucket_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket and Gray rank to links (a, b) that connect what each bucket's pairs connect."""
+def bucket_links(batches: Iterator[pa.RecordBatch], radius: int, sig_limit: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by bucket and Gray rank to links (a, b) that connect what each bucket's pairs connect.
+
+    Without signatures a node is its fingerprint; with them, the bytes of fingerprint and signature.
+    """
+
+    def near(sigs: np.ndarray | None, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        if sigs is None or not len(i):
+            return np.ones(len(i), bool)
+        return np.bitwise_count(sigs[i] ^ sigs[j]).sum(1, dtype=np.int64) <= sig_limit
 
-    def links(mask: np.ndarray, bits: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+    def links(mask: np.ndarray, bits: np.ndarray, fps: np.ndarray, sigs: np.ndarray | None) -> pa.RecordBatch:
         edge = np.flatnonzero((mask[1:] != mask[:-1]) | (bits[1:] != bits[:-1])) + 1
         start = np.concatenate(([0], edge))
         length = np.diff(np.concatenate((start, [len(fps)])))
-        a, b = [], []
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         small = np.repeat(length <= LEAF, length)
         group = np.repeat(np.arange(len(start)), length)
-        for gap in range(1, LEAF):  # a bucket of one leaf is scanned, together with all other such buckets
-            near = np.flatnonzero(small[:-gap] & (group[:-gap] == group[gap:])) if gap < len(fps) else []
-            if not len(near):
+        for gap in range(1, min(LEAF, len(fps))):  # a bucket of one leaf is scanned, together with all other such buckets
+            at = np.flatnonzero(small[:-gap] & (group[:-gap] == group[gap:]))
+            if not len(at):
                 break
-            near = near[np.bitwise_count(fps[near] ^ fps[near + gap]) <= radius]
-            a.append(fps[near + gap])
-            b.append(fps[near])
+            at = at[np.bitwise_count(fps[at] ^ fps[at + gap]) <= radius]
+            at = at[near(sigs, at, at + gap)]
+            a.append(at + gap)
+            b.append(at)
         for g in np.flatnonzero(length > LEAF):
             own = fps[start[g] : start[g] + length[g]]
-            label = stars(len(own), *tree_pairs(own, radius))
+            left, right = tree_pairs(own, radius)
+            fine = near(sigs, left + start[g], right + start[g])
+            label = stars(len(own), left[fine], right[fine])
             tied = np.flatnonzero(label != np.arange(len(own)))
-            a.append(own[tied])
-            b.append(own[label[tied]])
-        join = lambda x: np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64)
-        return pa.record_batch({"a": join(a), "b": join(b)})
+            a.append(tied + start[g])
+            b.append(label[tied] + start[g])
+        ends = [np.concatenate(x) for x in (a, b)]
+        if sigs is None:
+            return pa.record_batch({n: fps[x].view(np.int64) for n, x in zip("ab", ends, strict=True)})
+        return pa.record_batch({n: node_bytes(fps[x], sigs[x]) for n, x in zip("ab", ends, strict=True)})
 
     held: list[np.ndarray] = [np.zeros(0, np.uint64)] * 3
+    held_sigs = np.zeros((0, 4), np.uint64)
     for batch in batches:
         new = [np.asarray(batch.column(k)).view(np.uint64) for k in ("mask", "bits", "fp")]
         held = [np.concatenate(x) for x in zip(held, new, strict=True)]
+        if sig_limit is not None:
+            held_sigs = np.concatenate((held_sigs, np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint64).reshape(-1, 4)))
         ends = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1]))
         if len(ends):
             done = ends[-1] + 1
-            yield links(*(x[:done] for x in held))
-            held = [x[done:] for x in held]
+            yield links(*(x[:done] for x in held), held_sigs[:done] if sig_limit is not None else None)
+            held, held_sigs = [x[done:] for x in held], held_sigs[done:]
     if len(held[2]):
-        yield links(*held)
+        yield links(*held, held_sigs if sig_limit is not None else None)
+
+
+def node_bytes(fps: np.ndarray, sigs: np.ndarray) -> pa.Array:
+    """The 40 bytes of fingerprint (big end first) and signature."""
+    raw = np.concatenate((fps.astype(">u8").view(np.uint8).reshape(-1, 8), np.ascontiguousarray(sigs).view(np.uint8).reshape(-1, 32)), 1)
+    offsets = np.arange(len(fps) + 1, dtype=np.int32) * 40
+    return pa.Array.from_buffers(pa.binary(), len(fps), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw.tobytes())])
 
 
 # ---- the distributed search ----
@@ -193,11 +256,12 @@ def split_bits(mask: int, parts: int) -> list[int]:
     return [mask | sum(1 << b for b in free[cuts[i] : cuts[i + 1]]) for i in range(parts) if cuts[i] < cuts[i + 1]]
 
 
-def near_links(fps: DataFrame, radius: int = 2, bucket_limit: int = 8192) -> DataFrame:
-    """Links ``a``, ``b`` over distinct ``fp`` that connect all within ``radius`` bits."""
+def near_links(fps: DataFrame, radius: int = 2, bucket_limit: int = 8192, sig_limit: int | None = None) -> DataFrame:
+    """Links ``a``, ``b`` over distinct ``fp`` (and ``sig``) that connect all within ``radius`` bits (and the signature's limit)."""
     spark = fps.sparkSession
     masks, dealt, level = [0], [], 0
-    work = fps.select("fp", F.lit(0).cast("long").alias("mask"))
+    kept = ["fp"] if sig_limit is None else ["fp", "sig"]
+    work = fps.select(*kept, F.lit(0).cast("long").alias("mask"))
     while True:
         level += 1
         children = {m: split_bits(m, radius + 1) for m in masks}
@@ -205,7 +269,7 @@ def near_links(fps: DataFrame, radius: int = 2, bucket_limit: int = 8192) -> Dat
         pick = F.array()
         for m, made in children.items():
             pick = F.when(F.col("mask") == F.lit(_signed(m)), F.array(*[F.lit(_signed(c)) for c in made])).otherwise(pick)
-        work = work.select("fp", F.explode(pick).alias("mask"))
+        work = work.select(*kept, F.explode(pick).alias("mask"))
         work = work.withColumn("bits", F.col("fp").bitwiseAND(F.col("mask")))
         if level == 3:
             dealt.append(work)
@@ -224,7 +288,37 @@ def near_links(fps: DataFrame, radius: int = 2, bucket_limit: int = 8192) -> Dat
         rows = rows.withColumn("rank", F.col("rank").bitwiseXOR(F.shiftrightunsigned("rank", shift)))
     rows = rows.withColumn("rank", F.col("rank").bitwiseXOR(F.lit(-(1 << 63))))
     rows = rows.repartition(shuffle_width(spark), "mask", "bits").sortWithinPartitions("mask", "bits", "rank")
-    return rows.select("mask", "bits", "fp").mapInArrow(lambda batches: bucket_links(batches, radius), "a long, b long")
+    kind = "long" if sig_limit is None else "binary"
+    return rows.select("mask", "bits", *kept).mapInArrow(lambda batches: bucket_links(batches, radius, sig_limit), f"a {kind}, b {kind}")
+
+
+def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", similar: float = 0.8, radius: int = 7, bucket_limit: int = 8192) -> DataFrame:
+    """One row per document: id and ``component_id`` (smallest id reachable) over pairs at least ``similar`` in five-word shingles."""
+
+    @F.arrow_udf("fp long, sig binary")
+    def prints(texts: pa.Array) -> pa.Array:
+        found = [t.as_py() for t in texts]
+        fps = np.fromiter(map(content_fingerprint, found), np.uint64, len(found))
+        return pa.StructArray.from_arrays([pa.array(fps.view(np.int64)), pa.array([signature(t) for t in found], pa.binary())], ["fp", "sig"])
+
+    signed = docs.select(F.col(id_col).alias("_id"), prints.asNondeterministic()(F.col(text)).alias("_x")).select("_id", "_x.fp", "_x.sig")
+    node = F.concat(F.unhex(F.lpad(F.hex("fp"), 16, "0")), F.col("sig"))
+    signed = cut(signed.select("_id", "fp", "sig", node.alias("self")))
+    groups = cut(signed.groupBy("self", "fp", "sig").agg(F.min("_id").alias("least"), F.count(F.lit(1)).alias("n")))
+    roots = connected_components(near_links(groups.select("fp", "sig"), radius, bucket_limit, signature_limit(similar)), "a", "b")
+    return _labelled(signed.select("_id", "self"), groups, roots, id_col).drop("self")
+
+
+def _labelled(signed: DataFrame, groups: DataFrame, roots: DataFrame, id_col: str) -> DataFrame:
+    """Component ids of rows (``_id``, ``self``) from groups of equal nodes and the roots of linked ones."""
+    tied = groups.join(roots, F.col("self") == F.col("node"), "left").select("self", "least", "n", F.coalesce("root", "self").alias("root"))
+    whole = tied.groupBy("root").agg(F.min("least").alias("component_id"))
+    # single documents need no look-up; what is left is joined by node, and a hot one is split by the adaptive join
+    label = tied.join(whole, "root").where("n > 1 or component_id is distinct from least")
+    label = label.select(F.col("self").alias("_node"), "component_id")
+    out = signed.join(label, F.col("self") == F.col("_node"), "left")
+    known = F.when(F.col("_node").isNotNull(), F.col("component_id")).otherwise(F.col("_id"))
+    return out.select(F.col("_id").alias(id_col), "self", known.alias("component_id"))
 
 
 def near_duplicates(
@@ -234,19 +328,13 @@ def near_duplicates(
     signed = cut(with_fingerprint(docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")), "_text", "fp", width).select("_id", "fp"))
     fps = cut(signed.groupBy("fp").agg(F.min("_id").alias("least"), F.count(F.lit(1)).alias("n")))
     roots = connected_components(near_links(fps.select("fp"), radius, bucket_limit), "a", "b")
-    tied = fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
-    whole = tied.groupBy("root").agg(F.min("least").alias("component_id"))
-    # single documents need no look-up; what is left is joined by fingerprint, and a hot one is split by the adaptive join
-    label = tied.join(whole, "root").where("n > 1 or component_id is distinct from least")
-    label = label.select(F.col("fp").alias("_fp"), "component_id")
-    out = signed.join(label, F.col("fp") == F.col("_fp"), "left")
-    known = F.when(F.col("_fp").isNotNull(), F.col("component_id")).otherwise(F.col("_id"))
-    return out.select(F.col("_id").alias(id_col), "fp", known.alias("component_id"))
+    groups = fps.withColumnRenamed("fp", "self")
+    return _labelled(signed.withColumnRenamed("fp", "self"), groups, roots, id_col).withColumnRenamed("self", "fp")
 
 
 def keep_representatives(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The document with the smallest id of each component; of repeated rows with that id, one."""
-    found = near_duplicates(docs, id_col=id_col, **options)
+    """The document with the smallest id of each component of similar documents; of repeated rows with that id, one."""
+    found = similar_documents(docs, id_col=id_col, **options)
     chosen = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(id_col).agg(F.count(F.lit(1)).alias("_n"))
     chosen = cut(chosen.withColumnRenamed(id_col, "_keep"))
     once = docs.join(chosen.where("_n = 1"), F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
