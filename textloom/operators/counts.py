@@ -33,7 +33,7 @@ def count_ngrams(sents: DataFrame, order: int, *, by: Sequence[str] = (), weight
     """Counts of all orders; ``weight`` makes them fractional, ``by`` keeps them apart."""
     words = with_boundaries(F.col("words")) if boundaries else F.col("words")
     extra = [weight.alias("_weight")] if weight is not None else []
-    rows = sents.where(F.size("words") > 0).select(*by, *extra, words.alias("_words"))
+    rows = sents.select(*by, *extra, words.alias("_words")).where(F.size("_words") > 0)
     rows = rows.select(*by, *[c for c in ["_weight"] if extra], F.explode(grams_of(F.col("_words"), order, least)).alias("g"))
     total = F.sum("_weight") if extra else F.count(F.lit(1))
     return rows.groupBy(*by, "g.ord", "g.ctx", "g.w").agg(total.alias("cnt"))

@@ -37,7 +37,7 @@ class Model:
 def events_of(sents: DataFrame, order: int, keys: Sequence[str] = (), boundaries: bool = True) -> DataFrame:
     """Keys, ``pos``, ``ctx`` (at most order - 1 words) and ``w`` of every scored position; the start symbol is none."""
     words = with_boundaries(F.col("words")) if boundaries else F.col("words")
-    rows = sents.where(F.size("words") > 0).select(*keys, words.alias("_w"))
+    rows = sents.select(*keys, words.alias("_w"))
     first = 2 if boundaries else 1
     at = F.transform(
         F.sequence(F.lit(first), F.size("_w")),

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _modules() -> list:
-    from textloom.plans import counting
+    from textloom.plans import counting, hypotheses, modelling
 
-    return [counting]
+    return [counting, modelling, hypotheses]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

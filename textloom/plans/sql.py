@@ -79,8 +79,8 @@ def unigrams(name: str, counts_cte: str, factor: str, extra: str = "") -> str:
 {name}_c AS (SELECT w, cnt FROM {counts_cte} WHERE ord = 1 AND w <> '<s>'),
 {name}_t AS (SELECT sum(cnt)::DOUBLE AS total, count(*)::DOUBLE AS types, count(*)::DOUBLE AS v FROM {name}_c),
 {name}_r AS (SELECT w, ({factor}) * cnt / total {extra} AS p FROM {name}_c, {name}_t),
-{name}_s AS (SELECT 1.0 - sum(p) AS rest, count(*) FILTER (WHERE p = 0) AS zeros, count(*) AS n FROM {name}_r),
-{name} AS (SELECT w, CASE WHEN zeros > 0 THEN CASE WHEN p = 0 THEN greatest(rest, 0) / zeros ELSE p END ELSE p + greatest(rest, 0) / n END AS p FROM {name}_r, {name}_s)"""
+{name}_q AS (SELECT 1.0 - sum(p) AS rest, count(*) FILTER (WHERE p = 0) AS zeros, count(*) AS n FROM {name}_r),
+{name} AS (SELECT w, CASE WHEN zeros > 0 THEN CASE WHEN p = 0 THEN greatest(rest, 0) / zeros ELSE p END ELSE p + greatest(rest, 0) / n END AS p FROM {name}_r, {name}_q)"""
 
 
 def wb_bigram(name: str = "m", counts_cte: str = "c") -> str:
@@ -88,8 +88,10 @@ def wb_bigram(name: str = "m", counts_cte: str = "c") -> str:
     return f"""{unigrams(f'{name}_u', counts_cte, 'total / (total + types)')},
 {name}_k AS (SELECT ctx, w, cnt FROM {counts_cte} WHERE ord = 2 AND w <> '<s>' AND ctx <> '</s>'),
 {name}_x AS (SELECT ctx, sum(cnt)::DOUBLE AS total, count(*)::DOUBLE AS types FROM {name}_k GROUP BY ctx),
-{name}_b AS (SELECT k.ctx, k.w, x.total / (x.total + x.types) * k.cnt / x.total AS p, u.p AS lowp FROM {name}_k k JOIN {name}_x x USING (ctx) JOIN {name}_u u USING (w)),
-{name}_w AS (SELECT ctx, (1 - sum(p)) / (1 - sum(lowp)) AS bow FROM {name}_b GROUP BY ctx)"""
+{name}_r AS (SELECT k.ctx, k.w, x.total / (x.total + x.types) * k.cnt / x.total AS p, u.p AS lowp FROM {name}_k k JOIN {name}_x x USING (ctx) JOIN {name}_u u USING (w)),
+{name}_z AS (SELECT ctx, sum(p) AS sp, 1 - sum(lowp) < 3e-6 AND 1 - sum(p) > 3e-6 AS spent, (1 - sum(p)) / (1 - sum(lowp)) AS bow FROM {name}_r GROUP BY ctx),
+{name}_b AS (SELECT ctx, w, CASE WHEN spent THEN p / sp ELSE p END AS p, lowp FROM {name}_r JOIN {name}_z USING (ctx)),
+{name}_w AS (SELECT ctx, CASE WHEN spent THEN 1.0 ELSE bow END AS bow FROM {name}_z)"""
 
 
 def bigram_lookup(name: str, events: str, model: str, keys: str) -> str:
