@@ -60,11 +60,9 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_file("piece_bpe_32k.model")
-    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    both = pieces.decode(coded, path, out="back")
-    listed = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.sha2(listed, 256).alias("ids_sha256"), (F.col("back") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = pieces.encode(docs, tokenizer_file("piece_bpe_32k.model"), check="round_trip", keep_text=False)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "round_trip")
 
 
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
