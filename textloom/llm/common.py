@@ -26,6 +26,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def guarded(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The table under names that no operator uses for its own columns, and the new name of each column."""
+    names = {c: f"__own{k}" for k, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

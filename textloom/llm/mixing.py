@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import cut, running_totals, unit_draw, word_count
+from textloom.llm.common import cut, guarded, running_totals, unit_draw, word_count
 
 
 def source_targets(
@@ -100,8 +100,9 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source: str = "source", text
     # rows with one id and one size draw alike; where their copies differ, they are dealt out by count
     per_id = copies.where("copies > 0").groupBy(F.col(id_col).alias("_k"), F.col(source).alias("_ks"), F.col("size").alias("_kn"))
     per_id = cut(per_id.agg(F.sum("copies").alias("_copies"), F.max("copies").alias("_most"), F.min("copies").alias("_least"), F.count(F.lit(1)).alias("_rows")))
-    match = F.col(id_col).eqNullSafe(F.col("_k")) & F.col(source).eqNullSafe(F.col("_ks")) & (word_count(F.col(text)) == F.col("_kn"))
-    kept = docs.join(per_id, match)
+    own, names = guarded(docs)
+    match = F.col(names[id_col]).eqNullSafe(F.col("_k")) & F.col(names[source]).eqNullSafe(F.col("_ks")) & (word_count(F.col(names[text])) == F.col("_kn"))
+    kept = own.join(per_id, match)
     taken = kept.withColumn("_times", F.when(F.col("_most") == F.col("_least"), F.col("_most")).otherwise(F.ceil(F.col("_copies") / F.col("_rows"))))
     taken = taken.withColumn("_one", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
-    return taken.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return taken.select(*names.values()).toDF(*docs.columns)

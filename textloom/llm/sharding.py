@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.llm.common import guarded
+
 
 def is_prime(n: int) -> bool:
     return n > 1 and all(n % d for d in range(2, int(n**0.5) + 1))
@@ -67,9 +69,10 @@ def lookup_table(spark: SparkSession, shards: Sequence[str], size: int) -> DataF
 def assign_shards(df: DataFrame, key: str, shards: Sequence[str], table_size: int = 16381) -> DataFrame:
     """Add ``slot`` and ``shard``."""
     table = lookup_table(df.sparkSession, shards, table_size)
-    placed = df.withColumn("slot", slot_of(F.col(key), table_size))
-    placed = placed.join(F.broadcast(table), F.col("slot") == F.col("_slot"), "left")
-    return placed.withColumn("shard", F.col("_shard")).drop("_slot", "_shard")
+    kept = [c for c in df.columns if c not in ("slot", "shard")]
+    own, names = guarded(df)
+    placed = own.withColumn("slot", slot_of(F.col(names[key]), table_size)).join(F.broadcast(table), F.col("slot") == F.col("_slot"), "left")
+    return placed.select(*[F.col(names[c]).alias(c) for c in kept], "slot", F.col("_shard").alias("shard"))
 
 
 def write_shards(df: DataFrame, key: str, shards: Sequence[str], path: str, table_size: int = 16381, files_per_shard: int = 4) -> None:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import connected_components, cut, shuffle_width
+from textloom.llm.common import connected_components, cut, guarded, shuffle_width
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 BLOCK = 1 << 15
@@ -334,9 +334,11 @@ def near_duplicates(
 
 def keep_representatives(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """The document with the smallest id of each component of similar documents; of repeated rows with that id, one."""
-    found = similar_documents(docs, id_col=id_col, **options)
-    chosen = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(id_col).agg(F.count(F.lit(1)).alias("_n"))
-    chosen = cut(chosen.withColumnRenamed(id_col, "_keep"))
-    once = docs.join(chosen.where("_n = 1"), F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
-    repeated = docs.join(chosen.where("_n > 1"), F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
-    return once.unionByName(repeated.dropDuplicates([id_col]))
+    found = similar_documents(docs, id_col=id_col, **options).toDF("_found", "_component")
+    chosen = found.where(F.col("_found").eqNullSafe(F.col("_component"))).groupBy("_found").agg(F.count(F.lit(1)).alias("_rows"))
+    chosen = cut(chosen)
+    own, names = guarded(docs)
+    same = F.col(names[id_col]).eqNullSafe(F.col("_found"))
+    once = own.join(chosen.where("_rows = 1"), same, "left_semi")
+    repeated = own.join(chosen.where("_rows > 1"), same, "left_semi")
+    return once.unionByName(repeated.dropDuplicates([names[id_col]])).toDF(*docs.columns)
