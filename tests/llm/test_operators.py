@@ -420,7 +420,7 @@ def test_page_text():
 def test_host_boilerplate(spark):
     """Without a marked article, long runs that other pages of the host share go, what is the page's own stays."""
     shared = "subscribe to our letter and get the news of the week in your mail box every day"
-    own = [f"page {k} tells its very own story number {k} about thing {k * 7}" for k in range(6)]
+    own = [f"{k} page tells its very own story number {k} about thing {k * 7 + 100}" for k in range(6)]
     rows = [(k, "http://h.example/a", f"<p>{shared}</p><p>{t}</p><p>{shared}</p>") for k, t in enumerate(own)]
     rows += [(50, "http://other.example/a", f"<p>{shared}</p>"), (51, None, None), (52, None, ""), (53, "u", PAGE), rows[0]]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("host", F.lit(1))

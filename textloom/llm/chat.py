@@ -121,6 +121,16 @@ def record_fingerprint(record: Column) -> Column:
     return F.sha2(F.array_join(F.sort_array(F.array_intersect(F.concat(top, nested), known)), "\n"), 256)
 
 
+def _turn_reader(role: str, text: str, speakers: Column | None):
+    """Reads a list item as a canonical turn."""
+
+    def read(item: Column) -> Column:
+        said = item[role] if speakers is None else F.coalesce(speakers[item[role]], item[role])
+        return F.struct(said.alias("role"), item[text].alias("text"))
+
+    return read
+
+
 def canonical_records(df: DataFrame, record: str, id_col: str) -> DataFrame:
     """Turns of JSON records of mixed layouts; records of unknown layout give none."""
     marked = df.select(F.col(id_col).alias("conv"), F.col(record).alias("_j")).withColumn("_fp", record_fingerprint(F.col("_j")))
@@ -131,12 +141,7 @@ def canonical_records(df: DataFrame, record: str, id_col: str) -> DataFrame:
             name, role, text = layout.items
             items = F.from_json(F.get_json_object("_j", f"$.{name}"), f"array<struct<`{role}`:string,`{text}`:string>>")
             speakers = F.create_map(*[F.lit(x) for kv in SPEAKERS.items() for x in kv])
-            made = F.transform(
-                items,
-                lambda i, r=role, t=text, n=name, s=speakers: F.struct(
-                    (F.coalesce(s[i[r]], i[r]) if n == "conversations" else i[r]).alias("role"), i[t].alias("text")
-                ),
-            )
+            made = F.transform(items, _turn_reader(role, text, speakers if name == "conversations" else None))
         elif layout.fields:
             made = F.array(*[F.struct(F.lit(r).alias("role"), F.get_json_object("_j", f"$.{c}").alias("text")) for r, c in layout.fields])
         else:

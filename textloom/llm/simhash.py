@@ -16,9 +16,9 @@ Search within ``radius`` differing bits:
 * a bucket gives a star of links per component found in it, not its pairs.
 
 ``near_duplicates`` links fingerprints at the radius alone. With ``similar`` the fingerprint only proposes: it is
-then made of single words of some length, which edits hardly move, at a wider radius; a pair is linked if
-a second, 256-bit SimHash of five-word shingles puts its similarity at the asked value, less one
-standard error of the estimate. The second fingerprint travels with the first, so texts are never joined.
+then made of single words of some length, which edits hardly move, twice with independent hashes, at a wider
+radius; a pair is linked if another, 512-bit SimHash of five-word shingles puts its similarity at the asked value, less two
+standard errors of the estimate. It travels with the fingerprints and stands for the text, so texts are never joined.
 
 Null and empty texts have no word and the fingerprint zero, which links like any other. Ties cannot
 occur: a component's id is its smallest doc_id. Repeated rows get equal results. Rows with a null doc_id
@@ -68,39 +68,48 @@ def shingle_fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int
     return int(np.packbits(ones * 2 > spans, bitorder="little").view(np.uint64)[0])
 
 
+SIGNATURE_WORDS = 8
+#: Odd multipliers that draw further hash words from a digest's two.
+MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+
+
 def signature(text: str | None, width: int = 5) -> bytes:
-    """A 256-bit SimHash of the word shingles, to estimate similarity."""
+    """A 512-bit SimHash of the word shingles, to estimate similarity."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not words:
-        return bytes(32)
+        return bytes(8 * SIGNATURE_WORDS)
     shingles = [b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))]
-    ones = np.zeros(256, np.int64)
-    for at in range(0, len(shingles), BLOCK):
-        some = shingles[at : at + BLOCK]
-        raw = b"".join([xxhash.xxh3_128_digest(x, 1) + xxhash.xxh3_128_digest(x, 2) for x in some])
-        ones += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 32), axis=1).sum(0, dtype=np.int64)
+    ones = np.zeros(64 * SIGNATURE_WORDS, np.int64)
+    for at in range(0, len(shingles), BLOCK // 8):
+        some = shingles[at : at + BLOCK // 8]
+        lanes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, some)), np.uint64).reshape(-1, 2, 1)
+        lanes = lanes * MIX
+        lanes = (lanes ^ lanes >> np.uint64(29)) * MIX[::-1]
+        lanes = (lanes ^ lanes >> np.uint64(32)).reshape(len(some), SIGNATURE_WORDS)
+        ones += np.unpackbits(np.ascontiguousarray(lanes).view(np.uint8), axis=1).sum(0, dtype=np.int64)
     return np.packbits(ones * 2 > len(shingles)).tobytes()
 
 
-def content_fingerprint(text: str | None, letters: int = 5) -> int:
-    """A 64-bit SimHash of the words of at least ``letters`` bytes; of all words where there are under eight such."""
+def content_fingerprints(text: str | None, letters: int = 5) -> tuple[int, int]:
+    """Two independent 64-bit SimHashes of the words of at least ``letters`` bytes; of all words where there are under eight such."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
     chosen = [w for w in words if len(w) >= letters]
     if len(chosen) < 8:
         chosen = words
     if not chosen:
-        return 0
-    ones = np.zeros(64, np.int64)
+        return 0, 0
+    ones = np.zeros(128, np.int64)
     for at in range(0, len(chosen), BLOCK):
-        hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in chosen[at : at + BLOCK]], np.uint64)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(chosen), bitorder="little").view(np.uint64)[0])
+        raw = b"".join(map(xxhash.xxh3_128_digest, chosen[at : at + BLOCK]))
+        ones += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 16), axis=1).sum(0, dtype=np.int64)
+    first, second = np.packbits(ones * 2 > len(chosen)).view(np.uint64).tolist()
+    return first, second
 
 
-def signature_limit(similar: float, bits: int = 256) -> int:
-    """Differing signature bits up to which a pair may have the asked Jaccard similarity, with one standard error."""
+def signature_limit(similar: float, bits: int = 64 * SIGNATURE_WORDS) -> int:
+    """Differing signature bits up to which a pair may have the asked Jaccard similarity, with two standard errors."""
     share = np.arccos(2 * similar / (1 + similar)) / np.pi
-    return int(bits * share + np.sqrt(bits * share * (1 - share)))
+    return int(bits * share + 2 * np.sqrt(bits * share * (1 - share)))
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "_fp", width: int = 3) -> DataFrame:
@@ -183,7 +192,7 @@ def stars(size: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
 def bucket_links(batches: Iterator[pa.RecordBatch], radius: int, sig_limit: int | None = None) -> Iterator[pa.RecordBatch]:
     """Rows sorted by bucket and Gray rank to links (a, b) that connect what each bucket's pairs connect.
 
-    Without signatures a node is its fingerprint; with them, the bytes of fingerprint and signature.
+    Without signatures a node is its fingerprint; with them, its signature.
     """
 
     def near(sigs: np.ndarray | None, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -217,15 +226,15 @@ def bucket_links(batches: Iterator[pa.RecordBatch], radius: int, sig_limit: int
         ends = [np.concatenate(x) for x in (a, b)]
         if sigs is None:
             return pa.record_batch({n: fps[x].view(np.int64) for n, x in zip("ab", ends, strict=True)})
-        return pa.record_batch({n: node_bytes(fps[x], sigs[x]) for n, x in zip("ab", ends, strict=True)})
+        return pa.record_batch({n: node_bytes(sigs[x]) for n, x in zip("ab", ends, strict=True)})
 
     held: list[np.ndarray] = [np.zeros(0, np.uint64)] * 3
-    held_sigs = np.zeros((0, 4), np.uint64)
+    held_sigs = np.zeros((0, SIGNATURE_WORDS), np.uint64)
     for batch in batches:
         new = [np.asarray(batch.column(k)).view(np.uint64) for k in ("mask", "bits", "fp")]
         held = [np.concatenate(x) for x in zip(held, new, strict=True)]
         if sig_limit is not None:
-            held_sigs = np.concatenate((held_sigs, np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint64).reshape(-1, 4)))
+            held_sigs = np.concatenate((held_sigs, np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint64).reshape(-1, SIGNATURE_WORDS)))
         ends = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1]))
         if len(ends):
             done = ends[-1] + 1
@@ -235,11 +244,10 @@ def bucket_links(batches: Iterator[pa.RecordBatch], radius: int, sig_limit: int
         yield links(*held, held_sigs if sig_limit is not None else None)
 
 
-def node_bytes(fps: np.ndarray, sigs: np.ndarray) -> pa.Array:
-    """The 40 bytes of fingerprint (big end first) and signature."""
-    raw = np.concatenate((fps.astype(">u8").view(np.uint8).reshape(-1, 8), np.ascontiguousarray(sigs).view(np.uint8).reshape(-1, 32)), 1)
-    offsets = np.arange(len(fps) + 1, dtype=np.int32) * 40
-    return pa.Array.from_buffers(pa.binary(), len(fps), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw.tobytes())])
+def node_bytes(sigs: np.ndarray) -> pa.Array:
+    """Signatures as binary values."""
+    offsets = np.arange(len(sigs) + 1, dtype=np.int32) * (8 * SIGNATURE_WORDS)
+    return pa.Array.from_buffers(pa.binary(), len(sigs), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(sigs).tobytes())])
 
 
 # ---- the distributed search ----
@@ -295,17 +303,18 @@ def near_links(fps: DataFrame, radius: int = 2, bucket_limit: int = 8192, sig_li
 def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", similar: float = 0.8, radius: int = 7, bucket_limit: int = 8192) -> DataFrame:
     """One row per document: id and ``component_id`` (smallest id reachable) over pairs at least ``similar`` in five-word shingles."""
 
-    @F.arrow_udf("fp long, sig binary")
+    @F.arrow_udf("fps array<long>, self binary")
     def prints(texts: pa.Array) -> pa.Array:
         found = [t.as_py() for t in texts]
-        fps = np.fromiter(map(content_fingerprint, found), np.uint64, len(found))
-        return pa.StructArray.from_arrays([pa.array(fps.view(np.int64)), pa.array([signature(t) for t in found], pa.binary())], ["fp", "sig"])
-
-    signed = docs.select(F.col(id_col).alias("_id"), prints.asNondeterministic()(F.col(text)).alias("_x")).select("_id", "_x.fp", "_x.sig")
-    node = F.concat(F.unhex(F.lpad(F.hex("fp"), 16, "0")), F.col("sig"))
-    signed = cut(signed.select("_id", "fp", "sig", node.alias("self")))
-    groups = cut(signed.groupBy("self", "fp", "sig").agg(F.min("_id").alias("least"), F.count(F.lit(1)).alias("n")))
-    roots = connected_components(near_links(groups.select("fp", "sig"), radius, bucket_limit, signature_limit(similar)), "a", "b")
+        pairs = np.array([content_fingerprints(t) for t in found], np.uint64).reshape(-1, 2).view(np.int64)
+        fps = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * 2), pa.array(pairs.ravel()))
+        return pa.StructArray.from_arrays([fps, pa.array([signature(t) for t in found], pa.binary())], ["fps", "self"])
+
+    signed = docs.select(F.col(id_col).alias("_id"), prints.asNondeterministic()(F.col(text)).alias("_x")).select("_id", "_x.fps", "_x.self")
+    signed = cut(signed)
+    groups = cut(signed.groupBy("self").agg(F.min("_id").alias("least"), F.count(F.lit(1)).alias("n")))
+    asked = signed.groupBy("self", "fps").agg(F.count(F.lit(1))).select(F.explode("fps").alias("fp"), F.col("self").alias("sig"))
+    roots = connected_components(near_links(asked, radius, bucket_limit, signature_limit(similar)), "a", "b")
     return _labelled(signed.select("_id", "self"), groups, roots, id_col).drop("self")
 
 
