@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _modules() -> list:
-    from textloom.plans import counting, hypotheses, modelling
+    from textloom.plans import counting, hypotheses, modelling, rewriting
 
-    return [counting, modelling, hypotheses]
+    return [counting, modelling, hypotheses, rewriting]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

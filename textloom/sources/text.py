@@ -81,7 +81,7 @@ def read_map(spark: SparkSession, path: str, sequences: bool = False) -> DataFra
         number = F.expr("try_cast(t[1] as double)")
         return raw.select(F.col("t")[0].alias("word"), F.when(number.isNull(), F.slice("t", 2, F.size("t"))).otherwise(F.slice("t", 3, F.size("t"))).alias("pron"), F.coalesce(number, F.lit(1.0)).alias("p"))
     items = raw.select(F.col("t")[0].alias("w1"), F.posexplode(F.slice("t", 2, F.size("t"))).alias("at", "item"), "t")
-    follow = F.expr("try_cast(t[at + 2] as double)")
+    follow = F.expr("try_cast(get(t, at + 2) as double)")
     return items.where(F.expr("try_cast(item as double)").isNull()).select("w1", F.col("item").alias("w2"), F.coalesce(follow, F.lit(1.0)).alias("p"))
 
 
