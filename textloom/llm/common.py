@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def trim() -> None:
+    """Give freed memory of a Python worker back: workers are reused, and what one stage held would count in the next."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def guarded(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """The table under names that no operator uses for its own columns, and the new name of each column."""
     names = {c: f"__own{k}" for k, c in enumerate(df.columns)}

@@ -37,6 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textloom.llm.common import trim
+
 MARK = "▁"
 BITS = 60
 FULL = (1 << BITS) - 1
@@ -298,6 +300,9 @@ def lattice_stream(batches: Iterator[pa.RecordBatch], table: PieceTable, text: s
             end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + group_chars, "right")))
             yield from emit(batch.slice(at, end - at))
             at = end
+        trim()
+    number.clear()
+    trim()
 
 
 def boundaries(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -365,6 +370,7 @@ def assemble_stream(batches: Iterator[pa.RecordBatch], table: PieceTable, out_sc
                     if check:
                         made[check] = restored(table, flat[0][where], bound, rows.column("_sp_sum"))
                     yield pa.RecordBatch.from_arrays([made[f.name].cast(f.type) for f in out_schema], schema=out_schema)
+    trim()
 
 
 def fold_sql() -> tuple[str, str]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import SPACE_CLASS
+from textloom.llm.common import SPACE_CLASS, trim
 
 SYMBOLS = b"#*$%&|<>"
 LOWER, UPPER, DIGIT, SPACE, STOP, SYMBOL, OTHER, HIGH = range(8)
@@ -176,6 +176,7 @@ def with_quality(
             a, b = judge(raw, words, x, shared.value) if n else (0.0, 0.0)
             off = n >= class_words and a > class_limit or n >= word_words and b > word_limit
             rows.append((*counts, a, b, failed, not failed and not off))
+        trim()
         columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(9)]
         kinds = [pa.int64()] * 5 + [pa.float64()] * 2 + [pa.bool_()] * 2
         arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]

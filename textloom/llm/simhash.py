@@ -35,12 +35,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import connected_components, cut, guarded, shuffle_width
+from textloom.llm.common import connected_components, cut, guarded, shuffle_width, trim
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 BLOCK = 1 << 15
 LEAF = 32
 FANOUT = 8
+FRONTIER = 500_000
 
 
 def shingle_fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -153,8 +154,9 @@ def tree_pairs(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     levels = build_tree(fps)
     widths = [LEAF if d == len(levels) - 2 else FANOUT for d in range(len(levels) - 1)]
     left, right = [], []
-    for at in range(0, len(fps), 1024):
-        query = np.arange(at, min(len(fps), at + 1024))
+    block = max(1, min(1024, FRONTIER // len(fps)))  # bounds what a level can hold if nothing is pruned
+    for at in range(0, len(fps), block):
+        query = np.arange(at, min(len(fps), at + block))
         q, node, acc = query, np.zeros(len(query), np.int64), np.zeros(len(query), np.int64)
         for depth, (mask, pattern, first) in enumerate(levels):
             acc = acc + np.bitwise_count((fps[q] ^ pattern[node]) & mask[node])
@@ -242,6 +244,7 @@ def bucket_links(batches: Iterator[pa.RecordBatch], radius: int, sig_limit: int
             held, held_sigs = [x[done:] for x in held], held_sigs[done:]
     if len(held[2]):
         yield links(*held, held_sigs if sig_limit is not None else None)
+    trim()
 
 
 def node_bytes(sigs: np.ndarray) -> pa.Array:
@@ -305,10 +308,14 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text: str = "t
 
     @F.arrow_udf("fps array<long>, self binary")
     def prints(texts: pa.Array) -> pa.Array:
-        found = [t.as_py() for t in texts]
-        pairs = np.array([content_fingerprints(t) for t in found], np.uint64).reshape(-1, 2).view(np.int64)
-        fps = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * 2), pa.array(pairs.ravel()))
-        return pa.StructArray.from_arrays([fps, pa.array([signature(t) for t in found], pa.binary())], ["fps", "self"])
+        pairs, signatures = np.zeros((len(texts), 2), np.uint64), []
+        for i, t in enumerate(texts):
+            value = t.as_py()
+            pairs[i] = content_fingerprints(value)
+            signatures.append(signature(value))
+        trim()
+        fps = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * 2), pa.array(pairs.view(np.int64).ravel()))
+        return pa.StructArray.from_arrays([fps, pa.array(signatures, pa.binary())], ["fps", "self"])
 
     signed = docs.select(F.col(id_col).alias("_id"), prints.asNondeterministic()(F.col(text)).alias("_x")).select("_id", "_x.fps", "_x.self")
     signed = cut(signed)
