@@ -29,7 +29,9 @@ def test_models_stay_normalised(spark, model):
     changed = W.change_vocabulary(model, spark.createDataFrame([("a",), ("b",), ("new",)], "w string"))
     assert {r["w"] for r in changed.probs.where("ord = 1").collect()} == {"a", "b", "new", "<s>", "</s>"}
     p = {(r["ctx"], r["w"]): 10 ** r["logp"] for r in W.with_empty_sentence(model, 0.2).probs.collect()}
-    assert math.isclose(p[("<s>", "</s>")], 0.2)
+    q = {(r["ctx"], r["w"]): 10 ** r["logp"] for r in model.probs.collect()}
+    # every word is seen after the start now, so what back-off no longer takes is scaled in
+    assert math.isclose(p[("<s>", "</s>")] / p[("<s>", "a")], 0.2 / (0.8 * q[("<s>", "a")]))
 
 
 def test_multiwords_follow_the_chain_rule(spark, model):

@@ -140,8 +140,10 @@ def renormalise(model: Model, keep: Model | None = None) -> Model:
         low = lookup(level.select(F.col("ctx").alias("_full"), shorter(F.col("ctx")).alias("ctx"), "w"), lower)
         rows = level.join(low.select(F.col("_full").alias("ctx"), "w", F.pow(F.lit(10.0), F.col("logp")).alias("lowp")), ["ctx", "w"])
         rows = rows.withColumn("p", F.pow(F.lit(10.0), F.col("logp"))).withColumn("types", F.lit(0))
-        bows.append(cut(backoff_weights(rows, v).select(F.lit(n - 1).alias("len"), "ctx", "bow")))
-        probs.append(level)
+        weights = cut(backoff_weights(rows, v))
+        bows.append(weights.select(F.lit(n - 1).alias("len"), "ctx", "bow"))
+        scaled = level.join(weights.select("ctx", "scale"), "ctx")
+        probs.append(scaled.select("ord", "ctx", "w", (F.col("logp") + F.log10("scale")).alias("logp")))
         lower = Model(n, reduce(DataFrame.unionByName, probs), reduce(DataFrame.unionByName, bows))
     return lower
 

@@ -174,7 +174,5 @@ PUNCTUATION = {",COMMA": ",", ".PERIOD": ".", "?QUESTION-MARK": "?", "!EXCLAMATI
 
 def plain_text(words):
     """Verbalised punctuation back to marks."""
-    out = words
-    for said, mark in PUNCTUATION.items():
-        out = F.transform(out, lambda w, s=said, m=mark: F.when(w == s, F.lit(m)).otherwise(w))
-    return out
+    table = F.create_map(*[F.lit(x) for pair in PUNCTUATION.items() for x in pair])
+    return F.transform(words, lambda w: F.coalesce(table[w], w))
