@@ -289,7 +289,9 @@ def lattice_stream(batches: Iterator[pa.RecordBatch], table: PieceTable, text: s
             narrow, wide = edge_columns(table, words)
             sizes = pa.array([len(w) for w in words], pa.int32())
             yield rows(WORD, len(words), {"_sp_word": pa.array(words), "_sp_size": sizes, "_sp_narrow": narrow, "_sp_wide": wide})
-        used = lists_of(np.fromiter(map(len, lists), np.int64, len(lists)), pa.array(np.concatenate(lists)))
+        # numbers travel as bytes, which the JVM copies whole
+        offsets = np.concatenate(([0], np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)) * 4))).astype(np.int32)
+        used = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.concatenate(lists).tobytes())])
         sums = pa.array([checksum((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in docs.column(text)], pa.binary())
         yield rows(DOC, docs.num_rows, {c: docs.column(c) for c in plain} | {"_sp_used": used, "_sp_sum": sums})
 
@@ -327,6 +329,14 @@ def checksum(raw: bytes) -> bytes:
     return xxhash.xxh3_128_digest(raw)
 
 
+def numbers_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The int32 values held as bytes, end to end, and their number per row."""
+    _, offsets, data = column.buffers()
+    bounds = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data is not None else np.zeros(0, np.uint8)
+    return raw.copy().view(np.int32).astype(np.int64), np.diff(bounds) // 4
+
+
 def restored(table: PieceTable, ids: np.ndarray, bound: np.ndarray, sums: pa.Array) -> pa.Array:
     """Whether the ids of each document decode to the text of its checksum."""
     spelled, length = table.spelled_bytes(ids)
@@ -358,9 +368,7 @@ def assemble_stream(batches: Iterator[pa.RecordBatch], table: PieceTable, out_sc
                 starts = np.cumsum(sizes[0]) - sizes[0]
                 for some in range(0, part.num_rows, 512):
                     rows = part.slice(some, 512)
-                    lists = rows.column("_sp_used")
-                    index = np.asarray(lists.flatten()).astype(np.int64)
-                    count = np.diff(np.asarray(lists.offsets))
+                    index, count = numbers_of(rows.column("_sp_used"))
                     length = sizes[0][index]
                     stop = np.cumsum(length)
                     where = np.repeat(starts[index] - (stop - length), length) + np.arange(int(length.sum()))
@@ -403,7 +411,7 @@ def encode(
     plain, body = list(names.values()), names[text]
     source = df.toDF(*plain)
     fields = [T.StructField(f.name, f.dataType, True) for f in source.schema.fields]
-    own = {"_sp_kind": T.ByteType(), "_sp_word": T.StringType(), "_sp_size": T.IntegerType(), "_sp_narrow": T._parse_datatype_string(NARROW), "_sp_wide": T._parse_datatype_string(WIDE), "_sp_used": T.ArrayType(T.IntegerType()), "_sp_sum": T.BinaryType()}
+    own = {"_sp_kind": T.ByteType(), "_sp_word": T.StringType(), "_sp_size": T.IntegerType(), "_sp_narrow": T._parse_datatype_string(NARROW), "_sp_wide": T._parse_datatype_string(WIDE), "_sp_used": T.BinaryType(), "_sp_sum": T.BinaryType()}
     passed = [f for f in fields if keep_text or f.name != body]
     lattice = T.StructType([*passed, *[T.StructField(k, t) for k, t in own.items()]])
     kept = [c for c in df.columns if keep_text or c != text]
