@@ -472,3 +472,51 @@ def test_divergence():
     p = np.array([[1.0, 0.0], [1.0, 1.0]])
     got = quality.distance(p, np.array([[0.0, 1.0], [1.0, 1.0]]))
     assert abs(got[0] - 1) < 1e-12 and got[1] == 0
+
+
+def word_shingles(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def brute_similar(texts, least=0.8):
+    sets = [word_shingles(t) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    return dict(enumerate(label))
+
+
+def similar_labels(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()}
+
+
+def passages(seed, n, kind):
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(3, 9)))
+    texts = []
+    for _ in range(n):
+        words = [word() for _ in range(rnd.randint(150, 400))]
+        size = len(words)
+        if kind == "block":
+            cut = rnd.randint(size // 20, size // 10)
+            at = rnd.randint(0, size - cut)
+            other = words[:at] + [word() for _ in range(cut)] + words[at + cut :]
+        elif kind == "appended":
+            other = words + [word() for _ in range(rnd.randint(size // 20, size // 5))]
+        else:
+            other = words[: size - rnd.randint(size // 20, size // 6)]
+        texts += [" ".join(words), " ".join(other)]
+    return texts
+
+
+@pytest.mark.parametrize("kind", ["block", "appended", "missing"])
+def test_similar_finds_passage_edits(spark, kind):
+    texts = passages(3, 40, kind)
+    want = brute_similar(texts)
+    assert sum(k != v for k, v in want.items()) >= 35
+    assert similar_labels(spark, texts) == want

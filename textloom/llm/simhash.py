@@ -17,8 +17,12 @@ Search within ``radius`` differing bits:
 
 ``near_duplicates`` links fingerprints at the radius alone. With ``similar`` the fingerprint only proposes: it is
 then made of single words of some length, which edits hardly move, twice with independent hashes, at a wider
-radius; a pair is linked if another, 512-bit SimHash of five-word shingles puts its similarity at the asked value, less two
-standard errors of the estimate. It travels with the fingerprints and stands for the text, so texts are never joined.
+radius, and a 512-bit SimHash of five-word shingles sorts out most of what is far off. A pair is linked if that puts its
+similarity at the asked value, less two standard errors of the estimate.
+
+Fingerprints miss pairs with a replaced, appended or missing passage, so an exact path covers the rest: of sets in
+one common order, rare shingles first, two that are similar share one of the first ``n - ceil(similar n) + 1``. Documents
+meet by those, pairs linked already or ruled out by size and place go, and the others are compared in full.
 
 Null and empty texts have no word and the fingerprint zero, which links like any other. Ties cannot
 occur: a component's id is its smallest doc_id. Repeated rows get equal results. Rows with a null doc_id
@@ -303,25 +307,209 @@ def near_links(fps: DataFrame, radius: int = 2, bucket_limit: int = 8192, sig_li
     return rows.select("mask", "bits", *kept).mapInArrow(lambda batches: bucket_links(batches, radius, sig_limit), f"a {kind}, b {kind}")
 
 
+# ---- the exact path: five-word shingle sets ----
+
+#: Odd multipliers by the place of a word in its shingle.
+PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
+#: Documents sampled to learn which shingles are common, the sampled count from which one is, and how many are kept.
+SAMPLE, COMMON, COMMON_KEPT = 20_000, 4, 200_000
+SLOT_BITS = 22
+
+
+def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
+    """Sorted distinct 64-bit values of the word shingles; a shorter text is one shingle, a text without words none."""
+    words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    spans, wide = max(1, len(words) - width + 1), min(width, len(words))
+    mixed = np.full(spans, wide, np.uint64)
+    for k in range(wide):
+        mixed = (mixed ^ hashes[k : k + spans]) * PLACES[k]
+        mixed ^= mixed >> np.uint64(29)
+    return np.unique(mixed)
+
+
+def node_of(shingles: np.ndarray) -> int:
+    """The signed 64-bit value that stands for a shingle set."""
+    return _signed(xxhash.xxh3_64_intdigest(shingles.tobytes()))
+
+
+def rare_first(shingles: np.ndarray, common: np.ndarray, similar: float) -> np.ndarray:
+    """As many shingles, in one order for all sets, that two sets at least ``similar`` share one of them.
+
+    The order is by value with the ``common`` ones (ascending in ``common``'s own order) at the end.
+    """
+    n = len(shingles)
+    take = n - int(np.ceil(similar * n - 1e-9)) + 1
+    place = np.searchsorted(common["value"], shingles)
+    place[place == len(common)] = 0
+    hot = common["value"][place] == shingles if len(common) else np.zeros(n, bool)
+    if n - int(hot.sum()) >= take:
+        return shingles[~hot][:take]
+    return np.concatenate((shingles[~hot], shingles[hot][np.argsort(common["order"][place[hot]], kind="stable")]))[:take]
+
+
+def common_shingles(texts: DataFrame, documents: int) -> np.ndarray:
+    """The shingles common in a sample, sorted by value, with their place from rare to common. Only speed hangs on the choice."""
+    some = texts.where(F.pmod(F.xxhash64("_text"), F.lit(max(1, documents // SAMPLE))) == 0)
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0):
+                yield pa.record_batch({"v": pa.array(shingle_set(t.as_py()).view(np.int64))})
+
+    counts = some.mapInArrow(values, "v long").groupBy("v").count().where(F.col("count") >= COMMON)
+    found = counts.orderBy(F.col("count").desc(), "v").limit(COMMON_KEPT).toArrow()
+    out = np.zeros(found.num_rows, [("value", np.uint64), ("order", np.int64)])
+    out["value"] = found.column("v").to_numpy().view(np.uint64)
+    out["order"] = np.arange(found.num_rows, 0, -1)
+    return np.sort(out, order="value")
+
+
+def bucket_pairs(batches: Iterator[pa.RecordBatch], similar: float) -> Iterator[pa.RecordBatch]:
+    """Rows (v, node, root, place, n) sorted by v to pairs of one v in different roots whose sizes and places allow the similarity."""
+
+    def pairs(v: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        edge = np.flatnonzero(v[1:] != v[:-1]) + 1
+        start = np.concatenate(([0], edge))
+        length = np.diff(np.concatenate((start, [len(v)])))
+        reach = np.repeat(start + length, length)  # the end of each row's bucket
+        most = int(length.max())
+        node, root, place, n = rows
+        left, right, held = [], [], 0
+        at = np.arange(len(v))
+        for gap in range(1, most):
+            at = at[at + gap < reach[at]]
+            if not len(at):
+                break
+            i, j = at, at + gap
+            room = 1 + np.minimum(n[i] - place[i] - 1, n[j] - place[j] - 1)
+            ok = (root[i] != root[j]) & (room * (1 + similar) >= similar * (n[i] + n[j]) - 1e-6)
+            left.append(node[i[ok]])
+            right.append(node[j[ok]])
+            held += int(ok.sum())
+            if held > FRONTIER:
+                yield made(left, right)
+                left, right, held = [], [], 0
+        yield made(left, right)
+
+    def made(left: list[np.ndarray], right: list[np.ndarray]) -> pa.RecordBatch:
+        x, y = (np.concatenate([np.zeros(0, np.int64), *z]) for z in (left, right))
+        both = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), 1), axis=0)
+        return pa.record_batch({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])})
+
+    names = ("node", "root", "place", "n")
+    held_v, held = np.zeros(0, np.int64), np.zeros((4, 0), np.int64)
+    for batch in batches:
+        held_v = np.concatenate((held_v, np.asarray(batch.column("v"))))
+        held = np.concatenate((held, np.stack([np.asarray(batch.column(k)) for k in names])), axis=1)
+        ends = np.flatnonzero(held_v[1:] != held_v[:-1])
+        if len(ends):
+            done = ends[-1] + 1
+            yield from pairs(held_v[:done], held[:, :done])
+            held_v, held = held_v[done:], held[:, done:]
+    if len(held_v):
+        yield from pairs(held_v, held)
+    trim()
+
+
+def shared_pairs(texts: DataFrame, roots: DataFrame, common: np.ndarray, similar: float) -> DataFrame:
+    """Distinct pairs ``a``, ``b`` of nodes that may be ``similar`` and have no root in common yet; misses none."""
+    spark = texts.sparkSession
+    sent = spark.sparkContext.broadcast(common)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # copies in one task count once
+        for batch in batches:
+            nodes, sizes, values = [], [], []
+            for t in batch.column(0):
+                shingles = shingle_set(t.as_py())
+                node = node_of(shingles)
+                if len(shingles) and node not in seen:
+                    seen.add(node)
+                    nodes.append(node)
+                    sizes.append(len(shingles))
+                    values.append(rare_first(shingles, sent.value, similar).view(np.int64))
+            yield pa.record_batch({"node": pa.array(nodes, pa.int64()), "n": pa.array(sizes, pa.int64()), "vs": pa.array(values, pa.list_(pa.int64()))})
+        trim()
+
+    rows = texts.mapInArrow(prefixes, "node long, n long, vs array<long>").dropDuplicates(["node"])
+    rows = rows.join(roots.select(F.col("node").alias("_node"), F.col("root")), F.col("node") == F.col("_node"), "left")
+    rows = rows.select("node", F.coalesce("root", "node").alias("root"), "n", F.posexplode("vs").alias("place", "v"))
+    rows = rows.repartition(shuffle_width(spark), "v").sortWithinPartitions("v")
+    rows = rows.select("v", "node", "root", F.col("place").cast("long").alias("place"), "n")
+    return rows.mapInArrow(lambda batches: bucket_pairs(batches, similar), "a long, b long").distinct()
+
+
+def verified(texts: DataFrame, pairs: DataFrame, similar: float) -> DataFrame:
+    """The pairs whose shingle sets have a Jaccard similarity of at least ``similar``."""
+    # sets of documents in no pair stay out of the shuffle, up to those that share a slot with one that is
+    slot = F.shiftrightunsigned("node", 64 - SLOT_BITS)
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).select(slot.alias("s")).distinct().toArrow()
+    wanted = np.zeros(1 << SLOT_BITS, bool)
+    wanted[asked.column("s").to_numpy()] = True
+    sent = texts.sparkSession.sparkContext.broadcast(np.packbits(wanted))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, seen = np.unpackbits(sent.value), set()
+        for batch in batches:
+            nodes, values = [], []
+            for t in batch.column(0):
+                shingles = shingle_set(t.as_py())
+                node = node_of(shingles)
+                if node not in seen and bits[(node & 0xFFFFFFFFFFFFFFFF) >> (64 - SLOT_BITS)]:
+                    seen.add(node)
+                    nodes.append(node)
+                    values.append(shingles.tobytes())
+            yield pa.record_batch({"node": pa.array(nodes, pa.int64()), "values": pa.array(values, pa.binary())})
+        trim()
+
+    @F.arrow_udf("boolean")
+    def alike(x: pa.Array, y: pa.Array) -> pa.Array:
+        out = []
+        for p, q in zip(x, y, strict=True):
+            one, two = (np.frombuffer(z.as_buffer(), np.uint64) for z in (p, q))
+            both = len(np.intersect1d(one, two, assume_unique=True))
+            out.append(both >= similar * (len(one) + len(two) - both) - 1e-9)
+        return pa.array(out, pa.bool_())
+
+    known = cut(texts.mapInArrow(sets, "node long, values binary").dropDuplicates(["node"]))
+    first, second = known.toDF("_a", "_x"), known.toDF("_b", "_y")
+    held = pairs.join(first, F.col("a") == F.col("_a")).join(second, F.col("b") == F.col("_b"))
+    return cut(held.where(alike.asNondeterministic()(F.col("_x"), F.col("_y"))).select("a", "b"))
+
+
 def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", similar: float = 0.8, radius: int = 7, bucket_limit: int = 8192) -> DataFrame:
     """One row per document: id and ``component_id`` (smallest id reachable) over pairs at least ``similar`` in five-word shingles."""
 
-    @F.arrow_udf("fps array<long>, self binary")
+    @F.arrow_udf("fps array<long>, sig binary, self long")
     def prints(texts: pa.Array) -> pa.Array:
-        pairs, signatures = np.zeros((len(texts), 2), np.uint64), []
+        pairs, signatures, nodes = np.zeros((len(texts), 2), np.uint64), [], []
         for i, t in enumerate(texts):
             value = t.as_py()
             pairs[i] = content_fingerprints(value)
             signatures.append(signature(value))
+            nodes.append(node_of(shingle_set(value)))
         trim()
         fps = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * 2), pa.array(pairs.view(np.int64).ravel()))
-        return pa.StructArray.from_arrays([fps, pa.array(signatures, pa.binary())], ["fps", "self"])
+        return pa.StructArray.from_arrays([fps, pa.array(signatures, pa.binary()), pa.array(nodes, pa.int64())], ["fps", "sig", "self"])
 
-    signed = docs.select(F.col(id_col).alias("_id"), prints.asNondeterministic()(F.col(text)).alias("_x")).select("_id", "_x.fps", "_x.self")
+    texts = docs.select(F.col(text).alias("_text"))
+    signed = docs.select(F.col(id_col).alias("_id"), prints.asNondeterministic()(F.col(text)).alias("_x")).select("_id", "_x.fps", "_x.sig", "_x.self")
     signed = cut(signed)
     groups = cut(signed.groupBy("self").agg(F.min("_id").alias("least"), F.count(F.lit(1)).alias("n")))
-    asked = signed.groupBy("self", "fps").agg(F.count(F.lit(1))).select(F.explode("fps").alias("fp"), F.col("self").alias("sig"))
-    roots = connected_components(near_links(asked, radius, bucket_limit, signature_limit(similar)), "a", "b")
+    asked = signed.groupBy("sig", "fps").agg(F.count(F.lit(1))).select(F.explode("fps").alias("fp"), "sig")
+    links = near_links(asked, radius, bucket_limit, signature_limit(similar)).where("a <> b").distinct()
+    heads = cut(signed.groupBy("sig").agg(F.min("self").alias("head")))
+    named = links.join(heads.toDF("a", "_x"), "a").join(heads.toDF("b", "_y"), "b").select(F.col("_x").alias("a"), F.col("_y").alias("b"))
+    twins = signed.select("sig", "self").distinct().join(heads, "sig").where("self <> head").select(F.col("head").alias("a"), F.col("self").alias("b"))
+    sure = cut(named.union(twins).distinct())
+    roots = connected_components(sure, "a", "b")
+    # what the fingerprints do not propose: pairs that share a shingle of those that cannot all differ
+    common = common_shingles(texts, signed.count())
+    more = verified(texts, cut(shared_pairs(texts, roots, common, similar)), similar)
+    roots = connected_components(sure.union(more), "a", "b")
     return _labelled(signed.select("_id", "self"), groups, roots, id_col).drop("self")
 
 
