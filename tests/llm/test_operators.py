@@ -520,3 +520,25 @@ def test_similar_finds_passage_edits(spark, kind):
     want = brute_similar(texts)
     assert sum(k != v for k, v in want.items()) >= 35
     assert similar_labels(spark, texts) == want
+
+
+def word_edits(seed, n, low, high):
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(3, 9)))
+    texts = []
+    while len(texts) < 2 * n:
+        words = [word() for _ in range(rnd.randint(150, 400))]
+        other = [w if rnd.random() > 0.035 else word() for w in words]
+        one, two = word_shingles(" ".join(words)), word_shingles(" ".join(other))
+        if low <= len(one & two) / len(one | two) < high:
+            texts += [" ".join(words), " ".join(other)]
+    return texts
+
+
+def test_similar_leaves_what_is_below(spark):
+    texts = word_edits(5, 40, 0.70, 0.79)
+    assert similar_labels(spark, texts) == {k: k for k in range(len(texts))}
+    lines = ["one two three four five six seven"] * 60
+    rest = [" ".join(f"w{k}x{i}" for i in range(40)) for k in range(2)]
+    repeated = ["\n".join([*lines, r]) for r in rest]  # repeated lines make texts alike, not their sets
+    assert similar_labels(spark, repeated) == {0: 0, 1: 1}

@@ -17,8 +17,8 @@ Search within ``radius`` differing bits:
 
 ``near_duplicates`` links fingerprints at the radius alone. With ``similar`` the fingerprint only proposes: it is
 then made of single words of some length, which edits hardly move, twice with independent hashes, at a wider
-radius, and a 512-bit SimHash of five-word shingles sorts out most of what is far off. A pair is linked if that puts its
-similarity at the asked value, less two standard errors of the estimate.
+radius, and a 512-bit SimHash of five-word shingles sorts out most of what is far off. A pair is linked only if the
+Jaccard similarity of its five-word shingle sets (64-bit values) is at least ``similar``, counted exactly.
 
 Fingerprints miss pairs with a replaced, appended or missing passage, so an exact path covers the rest: of sets in
 one common order, rare shingles first, two that are similar share one of the first ``n - ceil(similar n) + 1``. Documents
@@ -501,10 +501,11 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text: str = "t
     groups = cut(signed.groupBy("self").agg(F.min("_id").alias("least"), F.count(F.lit(1)).alias("n")))
     asked = signed.groupBy("sig", "fps").agg(F.count(F.lit(1))).select(F.explode("fps").alias("fp"), "sig")
     links = near_links(asked, radius, bucket_limit, signature_limit(similar)).where("a <> b").distinct()
+    # signatures only propose: their nodes are compared, and so are nodes of one signature
     heads = cut(signed.groupBy("sig").agg(F.min("self").alias("head")))
     named = links.join(heads.toDF("a", "_x"), "a").join(heads.toDF("b", "_y"), "b").select(F.col("_x").alias("a"), F.col("_y").alias("b"))
     twins = signed.select("sig", "self").distinct().join(heads, "sig").where("self <> head").select(F.col("head").alias("a"), F.col("self").alias("b"))
-    sure = cut(named.union(twins).distinct())
+    sure = verified(texts, cut(named.union(twins).distinct()), similar)
     roots = connected_components(sure, "a", "b")
     # what the fingerprints do not propose: pairs that share a shingle of those that cannot all differ
     common = common_shingles(texts, signed.count())
