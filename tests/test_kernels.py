@@ -219,3 +219,20 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [round(r["cache"], 4) for r in spark.table("cached").orderBy("at").collect()] == [0.0, 0.0, 0.5, 0.6667, 0.0, 0.6667]
+
+
+def test_unit_distance():
+    rnd = random.Random(2)
+    for _ in range(400):
+        a, b = ([rnd.choice("abcd") for _ in range(rnd.randint(0, 90))] for _ in range(2))
+        assert A.distance(a, b) == A.distance(a, b, lambda x, y: float(x != y))
+
+
+def test_turns_are_judged_whole(spark, tmp_path):
+    from textloom.plans.hypotheses import q_turns
+
+    head = [f"h{k}" for k in range(12)]
+    turns = [[*head, *tail] for tail in (["x"] * 30, ["y"] * 20, ["y"] * 20 + ["z"])]
+    rows = [(1, k, "user", " ".join(t)) for k, t in enumerate(turns)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert [tuple(r) for r in q_turns(spark, str(tmp_path)).collect()] == [("1", 1, " ".join(turns[1]), 0.25 * 30 + 0.25)]

@@ -351,4 +351,4 @@ def q_arpa(spark, d):
 @register("nbest_from_conversations")
 def q_turns(spark, d):
     turns = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("utt"), F.col("turn").cast("int").alias("rank"), F.split(F.coalesce("text", F.lit("")), r"\s+").alias("words"))
-    return N.minimum_risk(cut(turns.select("utt", "rank", F.slice("words", 1, 12).alias("words"), F.lit(0.25).alias("posterior"))))
+    return N.minimum_risk(cut(turns.select("utt", "rank", "words", F.lit(0.25).alias("posterior"))))
