@@ -542,3 +542,16 @@ def test_similar_leaves_what_is_below(spark):
     rest = [" ".join(f"w{k}x{i}" for i in range(40)) for k in range(2)]
     repeated = ["\n".join([*lines, r]) for r in rest]  # repeated lines make texts alike, not their sets
     assert similar_labels(spark, repeated) == {0: 0, 1: 1}
+
+
+def test_short_junk_is_judged_by_its_words(spark):
+    rnd = random.Random(4)
+    _, rows = sample_docs(spark, 200)
+    word = lambda: "".join(rnd.choice("etaoinshr") for _ in range(rnd.randint(4, 9)))
+    clean = [(7000 + i, " ".join(r[1].split()[:60]), r[2], "s") for i, r in enumerate(rows[:20])]
+    menus = [(8000 + i, " | ".join(word() for _ in range(45)), r[2], "s") for i, r in enumerate(rows[:8])]
+    every = spark.createDataFrame([*rows, *clean, *menus], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r["q"] for r in quality.with_quality(every, quality.references(every)).collect()}
+    assert all(50 <= got[m[0]]["n_words"] < 150 and not got[m[0]]["base_failed"] and got[m[0]]["class_distance"] <= 0.30 for m in menus)
+    assert not any(got[m[0]]["kept"] for m in menus)
+    assert all(got[c[0]]["kept"] or got[c[0]]["base_failed"] for c in clean)

@@ -158,7 +158,7 @@ def judge(raw: bytes, words: list[bytes], lang: str | None, refs: dict) -> tuple
 
 def with_quality(
     docs: DataFrame, refs: dict, *, text: str = "text", lang: str = "lang", min_words: int = 50, class_limit: float = 0.30, word_limit: float = 0.50,
-    class_words: int = 50, word_words: int = 150,
+    class_words: int = 50, word_words: int = 50,
 ) -> DataFrame:
     """Add the struct ``q``: base counts, ``class_distance``, ``word_distance``, ``base_failed``, ``kept``."""
     shared = docs.sparkSession.sparkContext.broadcast(refs)
