@@ -157,7 +157,7 @@ def test_chat_round_trip(spark):
     rows = [(c, t, role, nasty[(c + t) % len(nasty)]) for c in range(6) for t, role in enumerate(["system", "user", "assistant", "as\\n</turn>\nx", None])]
     rows += [(3, 1, "user", "again"), (3, 1, "user", "again"), (None, None, "assistant", "lone")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("segments", F.lit(1)).withColumn("conv", F.lit(2))
-    out = chat.format_turns(chat.canonical_turns(df)).withColumn("f", chat.formatted(F.col("segments"))).withColumn("turns", chat.parse(F.col("f"))).withColumn("l", chat.loss_text(F.col("segments")))
+    out = chat.format_turns(chat.canonical_turns(df)).withColumn("turns", chat.parse(F.col("formatted"))).withColumn("l", chat.loss_text(chat.turn_strings(F.col("formatted")), F.col("spans")))
     want = brute_chat(rows)
     got = {r["conv"]: (len(r["turns"]), hashlib.sha256("".join(f"{t['role']}\n{t['text']}\n" for t in r["turns"]).encode()).hexdigest(), len(r["l"]), hashlib.sha256(r["l"].encode()).hexdigest()) for r in out.collect()}
     assert got == want
@@ -185,7 +185,19 @@ def test_chat_records(spark):
     records = ['{"messages":[{"role":"user","content":"hi"}]}', '{"prompt":"p","response":"r","x":1}', '{"unknown":1}', None, '{"conversations":[{"from":"human","value":"v"}]}', "no json"]
     df = spark.createDataFrame(list(enumerate(records)), "i int, j string")
     got = sorted((r["conv"], r["turn"], r["role"], r["text"]) for r in chat.canonical_records(df, "j", "i").collect())
-    assert got == [(0, 0, "user", "hi"), (1, 0, "user", "p"), (1, 1, "assistant", "r"), (4, 0, "user", "v")]
+    unknown = [(2, 0, "unknown", '{"unknown":1}'), (3, 0, "unknown", None), (5, 0, "unknown", "no json")]
+    assert got == sorted([(0, 0, "user", "hi"), (1, 0, "user", "p"), (1, 1, "assistant", "r"), (4, 0, "user", "v"), *unknown])
+
+
+@pytest.mark.parametrize("extra", ["conv_id", "text", "turn", "role", "input", "other"])
+def test_chat_layouts_bear_extra_columns(spark, extra):
+    df = spark.createDataFrame([(1, [("user", "hi"), ("assistant", "yo")])], "i int, messages array<struct<role:string,content:string>>").withColumn(extra, F.lit("x"))
+    assert [(r["role"], r["text"]) for r in chat.canonical_turns(df, "i").orderBy("turn").collect()] == [("user", "hi"), ("assistant", "yo")]
+
+
+def test_chat_null_parts_are_empty_turns(spark):
+    df = spark.createDataFrame([(1, "do", None, "done")], "i int, instruction string, input string, output string")
+    assert [(r["role"], r["text"]) for r in chat.canonical_turns(df, "i").orderBy("turn").collect()] == [("user", "do"), ("user", None), ("assistant", "done")]
 
 
 # ---- 4 ----
@@ -261,9 +273,9 @@ def test_tree_pairs_match_brute_force():
     rng = np.random.default_rng(8)
     base = rng.integers(0, 1 << 63, dtype=np.uint64)
     fps = np.unique(base ^ (np.uint64(1) << rng.integers(0, 20, (700, 3)).astype(np.uint64)).sum(1).astype(np.uint64))
-    left, right = simhash.tree_pairs(fps, 2)
+    found = [pair for left, right in simhash.tree_pairs(fps, 2) for pair in zip(left.tolist(), right.tolist(), strict=True)]
     want = {(i, j) for i, j in itertools.combinations(range(len(fps)), 2) if int(fps[i] ^ fps[j]).bit_count() <= 2}
-    assert set(zip(left.tolist(), right.tolist(), strict=True)) == want
+    assert len(found) == len(want) and set(found) == want
 
 
 def test_near_duplicates(spark):
@@ -433,6 +445,51 @@ def test_host_boilerplate(spark):
     assert htmltext.extract(df.limit(0)).count() == 0
 
 
+def covered_by_suffix_array(pages, run):
+    """Tokens of each page inside a substring of ``run`` tokens or more that another page holds, from all suffixes in order."""
+    suffixes = sorted((tuple(w[i:]), p, i) for p, w in enumerate(pages) for i in range(len(w)))
+    gone = [bytearray(len(w)) for w in pages]
+    for order in (suffixes, suffixes[::-1]):
+        for k, (one, p, i) in enumerate(order):
+            for two, q, _ in order[k + 1 :]:  # the nearest suffix of another page
+                common = next((n for n, (x, y) in enumerate(zip(one, two, strict=False)) if x != y), min(len(one), len(two)))
+                if common < run:
+                    break
+                if p != q:
+                    gone[p][i : i + common] = b"\1" * common
+                    break
+    return gone
+
+
+def test_host_suffix_array_equals_brute_force(spark):
+    rnd = random.Random(12)
+    hosts = {h: [[rnd.choice("abc") for _ in range(rnd.randint(0, 60))] for _ in range(9)] for h in ("h", "g")}
+    for pages in hosts.values():  # a long passage on several pages, twice on one
+        long = [rnd.choice("xyz") for _ in range(25)]
+        for k in (1, 3, 3, 7):
+            pages[k] += long + [rnd.choice("abc") for _ in range(10)]
+    rows, want = [], {}
+    for h, pages in hosts.items():
+        for k, (w, gone) in enumerate(zip(pages, covered_by_suffix_array(pages, 5), strict=True)):
+            kept = w if all(gone) else [x for x, g in zip(w, gone, strict=True) if not g]
+            rows.append((len(rows), f"http://{h}.example/{k}", f"<p>{' '.join(w)}</p>"))
+            want[rows[-1][0]] = " ".join(kept)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(df, run=5, depth=8).collect()}
+    assert got == want
+
+
+def test_hostile_pages_are_read_in_one_go():
+    import time
+
+    began = time.time()
+    for page in ["<a \"" * 100_000, "<a '\"" * 100_000 + ">", "<!x " * 100_000, "<a b=\"x>y</a>" * 20_000, "<" * 200_000]:
+        htmltext.page_blocks(page)
+    assert time.time() - began < 20
+    assert htmltext.page_blocks('<p title="a>b">x</p><p title="open>y</p>')[1] == ["x", "y"]
+    assert htmltext.page_blocks("<article><p>x</p><math><mi>y</mi></math><svg><text>z</text></svg></article>")[1] == ["x", "y", "z"]
+
+
 # ---- 10 ----
 
 
@@ -460,11 +517,11 @@ def test_quality_verdicts(spark):
     docs, rows = sample_docs(spark, 200)
     junk = [(5000 + i, " ".join(f"{w}%%%***" for w in rows[i][1].split()), rows[i][2], "s") for i in range(8)]
     every = spark.createDataFrame([*rows, *junk], docs.schema)
-    got = {r["doc_id"]: r["q"]["kept"] for r in quality.with_quality(every, quality.references(every)).collect()}
+    got = {r["doc_id"]: r["q_rules"]["kept"] for r in quality.with_quality(every, quality.references(every)).collect()}
     assert all(got[r[0]] for r in rows) and not any(got[j[0]] for j in junk)
     odd = odd_docs(spark)
     out = quality.with_quality(odd, quality.references(odd)).collect()
-    assert len(out) == 11 and all(r["q"]["base_failed"] for r in out if len(WORD.findall(r["text"] or "")) < 50)
+    assert len(out) == 11 and all(r["q_rules"]["base_failed"] for r in out if len(WORD.findall(r["text"] or "")) < 50)
     assert quality.with_quality(odd.limit(0), quality.references(odd.limit(0))).count() == 0
 
 
@@ -551,7 +608,206 @@ def test_short_junk_is_judged_by_its_words(spark):
     clean = [(7000 + i, " ".join(r[1].split()[:60]), r[2], "s") for i, r in enumerate(rows[:20])]
     menus = [(8000 + i, " | ".join(word() for _ in range(45)), r[2], "s") for i, r in enumerate(rows[:8])]
     every = spark.createDataFrame([*rows, *clean, *menus], "doc_id long, text string, lang string, source string")
-    got = {r["doc_id"]: r["q"] for r in quality.with_quality(every, quality.references(every)).collect()}
+    got = {r["doc_id"]: r["q_rules"] for r in quality.with_quality(every, quality.references(every)).collect()}
     assert all(50 <= got[m[0]]["n_words"] < 150 and not got[m[0]]["base_failed"] and got[m[0]]["class_distance"] <= 0.30 for m in menus)
     assert not any(got[m[0]]["kept"] for m in menus)
     assert all(got[c[0]]["kept"] or got[c[0]]["base_failed"] for c in clean)
+
+
+def test_representatives_lose_no_text(spark):
+    """Rows that share an id, or have none, are documents of their own if their texts differ."""
+    _, rows = sample_docs(spark, 7)
+    ids = [None, None, None, None, None, 1, 1]
+    docs = spark.createDataFrame([(i, r[1], r[2], r[3]) for i, r in zip(ids, rows, strict=True)], "doc_id long, text string, lang string, source string")
+    assert sorted(r["text"] for r in simhash.keep_representatives(docs).collect()) == sorted(r[1] for r in rows)
+    twice = docs.unionByName(docs)
+    assert sorted(r["text"] for r in simhash.keep_representatives(twice).collect()) == sorted(r[1] for r in rows)
+
+
+def test_hot_fingerprints_make_no_pairs_of_all(spark):
+    """Thousands of near copies give a star, not all their pairs."""
+    rng = np.random.default_rng(2)
+    base = int(rng.integers(0, 1 << 62))
+    fps = sorted({base ^ sum(1 << int(b) for b in rng.choice(40, 2, replace=False)) for _ in range(3000)})
+    links = simhash.near_links(spark.createDataFrame([(f,) for f in fps], "fp long"), 4)
+    assert links.distinct().count() <= 5 * len(fps) * 5
+    roots = {r["root"] for r in connected_components(links, "a", "b").collect()}
+    assert roots == {min(fps)}
+
+
+def test_mixing_bears_repeated_rows(spark):
+    text = " ".join(["w"] * 5)
+    rows = [(1, text, "en", "a")] * 20 + [(k, " ".join(["v"] * 5), "en", "a") for k in range(2, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for seed in ("p", "q", "r"):
+        want = {(r["doc_id"]): 0 for r in mixing.mix_sizes(docs, seed=seed).collect()}
+        for r in mixing.mix_sizes(docs, seed=seed, share=0.77).collect():
+            want[r["doc_id"]] += r["copies"]
+        got = dict.fromkeys(want, 0)
+        for r in mixing.mix(docs, seed=seed, share=0.77).collect():
+            got[r["doc_id"]] += 1
+        assert got == want
+
+
+def test_mixing_gives_long_documents_their_odds(spark):
+    """One document longer than all that its source is to give is still taken as often as its ratio says."""
+    docs = [(0, " ".join(["w"] * 400), "a")] + [(k, "one two three four five", "a") for k in range(1, 101)]
+    rows = [(1000 * run + k, t, f"{s}{run}") for run in range(150) for k, t, s in docs]  # as many sources as runs
+    out = mixing.mix_sizes(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4), weights=(1.0,), share=0.4).collect()
+    long = [r["copies"] for r in out if r["size"] == 400]
+    error = (0.4 * 0.6 / len(long)) ** 0.5
+    assert abs(sum(long) / len(long) - 0.4) < 2 * error
+    for s in {r["source"] for r in out}:
+        taken = sum(r["copies"] * r["size"] for r in out if r["source"] == s)
+        assert taken == 400 or 355 <= taken <= 365
+
+
+def test_pareto_odds_follow_relative_weights(spark):
+    """Documents of twice the weight are taken twice as often, and the words come out as wanted."""
+    rows = [(100 * run + k, "one two three", f"s{run}", 1.0 + k % 2) for run in range(60) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, w double").repartition(4)
+    weight = F.when(F.col("_id") % 2 == 1, 2.0).otherwise(1.0)
+    out = mixing.mix_sizes(docs, weights=(1.0,), share=0.3, relative=weight).collect()
+    odd, even = ([r["copies"] for r in out if r["doc_id"] % 2 == k] for k in (1, 0))
+    assert abs(sum(odd) / len(odd) - 0.4) < 0.03 and abs(sum(even) / len(even) - 0.2) < 0.03
+    assert abs(sum(r["copies"] * r["size"] for r in out) - 0.3 * sum(r["size"] for r in out)) < 0.02 * sum(r["size"] for r in out)
+    heavy = mixing.mix_sizes(docs, weights=(1.0,), share=0.9, relative=F.when(F.col("_id") % 2 == 1, 50.0).otherwise(1.0)).collect()
+    assert all(r["copies"] == 1 for r in heavy if r["doc_id"] % 2 == 1)
+
+
+def brute_verdict(text, lang, refs):
+    """Kept or not, from the definitions."""
+    from math import log, log2, sqrt
+
+    words, code = WORD.findall(text), quality.CLASS_OF
+    n, _, _, _, repeated = brute_quality(text)
+    if n < 50 or 100 * repeated > 50 * n:
+        return False
+
+    def apart(p, q):
+        p, q = ([x / sum(z) for x in z] for z in (p, q))
+        part = lambda a, b: sum(x * log2(2 * x / (x + y)) for x, y in zip(a, b, strict=True) if x)
+        return sqrt(max(0.0, (part(p, q) + part(q, p)) / 2))
+
+    def distances(ref):
+        classes = [0] * 8
+        for ch in text:
+            classes[code[ch.encode()[0]]] += 1
+        low = text.lower().encode().split()
+        common = [low.count(w) for w in ref["words"]]
+        rest = len(low) - sum(common)
+        return apart(classes, list(ref["classes"])), apart([*common, rest], list(ref["counts"])), apart([sum(common), rest], [sum(ref["counts"][:-1]), ref["counts"][-1]])
+
+    a, b, c = distances(refs[lang]) if lang in refs else min((distances(r) for r in refs.values()), key=sum)
+    return not (a > 0.30 or b > 0.50 or c > 0.10 + 4 / sqrt(8 * log(2)) / sqrt(len(words)))
+
+
+def test_quality_tells_foreign_and_invented_words(spark):
+    """Clean letters, but the words of another language or of none; a rare language keeps its own reference."""
+    rnd = random.Random(14)
+    docs, rows = sample_docs(spark, 200)
+    word = lambda: "".join(rnd.choice("bcdfgaeioulmnrst") for _ in range(rnd.randint(3, 9)))
+    nonsense = [(6000 + i, " ".join(word() for _ in range(n)), "en", "s") for i, n in enumerate([60, 120, 300, 300])]
+    foreign = [(6100 + i, r[1], "en", "s") for i, r in enumerate(r for r in rows if r[2] == "de")]
+    rare = [(6200 + i, " ".join(rnd.choice(["il", "che", "non", "per", "una"]) if rnd.random() < 0.4 else word() for _ in range(150)), "it", "s") for i in range(2)]
+    every = [*rows, *nonsense, *foreign[:10], *rare, (6300, rows[0][1], None, "s"), (6301, nonsense[3][1] + " zz", "xx", "s")]
+    df = spark.createDataFrame(every, docs.schema).withColumn("q", F.lit("mine"))
+    refs = quality.references(df)
+    out = quality.with_quality(df, refs).collect()
+    got = {r["doc_id"]: r["q_rules"]["kept"] for r in out}
+    assert all(r["q"] == "mine" for r in out) and {"it", "xx"} <= set(refs)
+    assert not any(got[r[0]] for r in [*nonsense, *foreign[:10]])
+    assert all(got[r[0]] for r in [*rows, *rare]) and got[6300]
+    assert got == {r[0]: brute_verdict(r[1], r[2], refs) for r in every}
+
+
+def test_language_posteriors_equal_brute_force(spark):
+    """The fused posterior, from the counts of all documents and each document's likelihoods."""
+    from math import exp, log
+
+    langs = ["de", "en", "es", "fr"]
+    docs, rows = sample_docs(spark, 80)
+    model = langid.fit(docs, id_col="doc_id", text="text", label="lang", languages=langs, sample=20)
+    urls = [f"http://h{i % 3}.example.{['de', 'com', 'fr'][i % 3]}/{['en/', 'x/', ''][i % 3]}p" for i in range(len(rows))]
+    texts = [(" ".join(r[1].split()[: 1 + i % 6]) if i % 9 else "") for i, r in enumerate(rows)]
+    said = [[None, "EN-us", "de", "xx"][i % 4] for i in range(len(rows))]
+    df = spark.createDataFrame(list(zip(range(len(rows)), texts, said, urls, strict=True)), "doc_id long, text string, lang string, url string")
+    got = {r["doc_id"]: r for r in langid.identify(df, url="url", host=None, model=model).collect()}
+    logs = [[float(model[0][langid.trigram_buckets(t), k].sum()) for k in range(4)] for t in texts]
+    seen = [len(langid.trigram_buckets(t)) for t in texts]
+    vote = [max(range(4), key=lambda k, i=i: (logs[i][k], -k)) if seen[i] else None for i in range(len(rows))]
+    hosts, ends = ([u.split("/")[2] for u in urls], [u.split("/")[2].rsplit(".", 1)[1] for u in urls])
+    for i in range(len(rows)):
+        others = [j for j in range(len(rows)) if j != i]
+        scores = []
+        for k, x in enumerate(langs):
+            count = lambda group, i=i, k=k, others=others: (sum(vote[j] == k for j in others if group[j] == group[i]), sum(vote[j] is not None for j in others if group[j] == group[i]))
+            corpus = (sum(vote[j] == k for j in others) + 1) / (sum(vote[j] is not None for j in others) + 4)
+            a, b = count(ends)
+            region = (a + 20 * corpus) / (b + 20)
+            a, b = count(hosts)
+            score = 0.5 * logs[i][k] + log((a + 20 * region) / (b + 20))
+            segment = urls[i].split("/")[3] if urls[i].count("/") > 3 else None
+            for word, trust in ((said[i] and said[i][:2].lower(), 0.9), (segment, 0.6), ({"de": "de", "fr": "fr"}.get(ends[i]), 0.6)):
+                if word in langs:
+                    score += log(trust if word == x else (1 - trust) / 3)
+            scores.append(score)
+        top = max(scores)
+        assert abs(got[i]["li_posterior"] - 1 / sum(exp(s - top) for s in scores)) < 1e-9
+        assert got[i]["li_lang"] == (langs[scores.index(top)] if seen[i] else None)
+        assert got[i]["li_text_lang"] == (langs[vote[i]] if seen[i] else None)
+
+
+def test_language_hosts_in_their_millions(spark):
+    """The salted way for many hosts gives what the broadcast gives."""
+    docs, _ = sample_docs(spark, 120)
+    one, two = (langid.identify(docs, sample=20, host_rows=n).select("doc_id", "li_lang", "li_posterior", "li_kept").orderBy("doc_id").collect() for n in (200_000, 0))
+    assert one == two
+
+
+def test_language_sample_bears_ties(spark):
+    """Null ids tie by id; the sample is the same every time."""
+    docs, _ = sample_docs(spark, 120)
+    docs = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    one, two = (langid.fit(d, id_col="doc_id", text="text", label="lang", languages=["de", "en"], sample=7) for d in (docs, docs.repartition(5)))
+    assert (one[0] == two[0]).all() and (one[1] == two[1]).all()
+
+
+def test_relational_pieces(spark):
+    """Explode, join, group and fold as Spark operators give the library's pieces of every word."""
+    import sentencepiece
+
+    path = tokenizer_file("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    table = pieces.piece_table(open(path, "rb").read())
+    text = "The quick brown fox jumps   over the lazy dogs, internationalisation 12345 == ==== façade naïveté 漢字 tokenisers"
+    words = table.split(text)
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    cut = {r["word"]: r["pieces"] for r in pieces.relational_pieces(df, path).collect()}
+    got = [p for w in words for p in cut[w]]
+    want = sp.encode(text, out_type=str)
+    assert [p for p in got if p in table.ids] == [p for p in want if not p.startswith("<0x")]
+    assert set(cut) == set(words)
+
+
+def test_other_model_kinds_are_refused():
+    path = tokenizer_file("piece_bpe_32k.model")
+    model = open(path, "rb").read()
+    assert pieces.model_kind(model) == 2
+    assert pieces.model_kind(b"\x12\x02\x18\x01") == 1 and pieces.model_kind(b"\x12\x00") == 1
+    with pytest.raises(ValueError):
+        pieces.PieceTable(b"\x12\x02\x18\x01")
+
+
+def test_nearest_counts_every_row(spark):
+    """Repeated rows are candidates as often as they stand there; vectors meet those of their own length; scores are stable."""
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (1, [1.0, 0.1]), (2, [0.0, 1.0]), (3, [1.0, 0.2, 0.0]), (50, [1.0, 0.0, 0.0]), (None, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, query="id % 50 = 0", k=3).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    assert got == {0: [(1, 1), (2, 1), (3, 2)], 50: [(1, 3)]}
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(300, 8)))], "vec_id long, embedding array<double>")
+    one, two = ({(r[0], r[2]): r[3] for r in ann.nearest(df, query="id % 50 = 0", block=b, per_task=p).collect()} for b, p in ((16, 50), (512, 10_000)))
+    assert one == two

@@ -1,19 +1,23 @@
 """Chat formatting by schema fingerprints; DataFrame and SQL functions only.
 
-The nested field paths of a table are hashed to a fingerprint that selects a declarative mapping from that
+The nested field paths of a table are hashed to fingerprints that select a declarative mapping from that
 layout (turn rows, message lists, prompt and completion, instruction and output, ...) to canonical turns:
-one row per conversation and turn with a role and a text. Paths that no layout knows are ignored, so extra
-columns, whatever their names, neither change the choice nor reach the output. JSON records of mixed layouts
-are fingerprinted row by row.
+one row per conversation and turn with a role and a text. A layout is present if the table's paths, cut down
+to those the layout speaks of, have the layout's fingerprint; of several the first in ``LAYOUTS`` is taken, which
+goes from the most to the least particular. So extra columns, whatever their names, neither hide a layout nor
+reach the output. JSON records of mixed layouts are fingerprinted row by row; a record of no known layout is
+kept as one turn of role ``unknown`` that holds the record.
 
 The template writes a turn as ``<turn>role`` line feed ``text</turn>`` line feed. Inside roles and texts a
 backslash becomes ``\\s`` and the ``<`` of a control string becomes ``\\l`` (in roles a line feed becomes
-``\\n``), so no text can contain a marker and unescaping gives back every text exactly. The output is a
-list of segments, each with its text and whether it is under the loss mask (assistant texts).
-
-Null roles and texts are empty; a null conversation id is an id of its own; rows are ordered by turn (null
-first), ties by role, then text; repeated rows are turns of their own; an empty table gives an empty result.
-A conversation's output is one string, so its rows meet in one task in the end; escaping is done before.
+``\\n``), so no text can contain a marker and unescaping gives back every text exactly. The output is the
+formatted string and the loss mask: the spans of the learned texts in it, each as the place of its turn, the start
+in that turn (both from 1) and the length, in code points, so that reading them takes time in proportion to the string.
+
+Null roles and texts are empty, also those of parts such as an input; a null conversation id is an id of its own;
+rows are ordered by turn (null first), ties by role, then text; repeated rows are turns of their own; an empty table
+gives an empty result; texts of any length stay whole. A conversation's output is one string, so its rows meet in
+one task in the end: each text travels there once, and is escaped there.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,20 +49,20 @@ class Layout:
         return sorted(c for _, c in self.fields)
 
 
+#: From the most to the least particular: a table that has several layouts is read by the first.
 LAYOUTS = (
     Layout("turn rows", rows=("conv_id", "turn", "role", "text")),
     Layout("messages", items=("messages", "role", "content")),
     Layout("conversations", items=("conversations", "from", "value")),
-    Layout("prompt and completion", fields=(("user", "prompt"), ("assistant", "completion"))),
-    Layout("prompt and response", fields=(("user", "prompt"), ("assistant", "response"))),
+    Layout("instruction, input and output", fields=(("user", "instruction"), ("user", "input"), ("assistant", "output"))),
     Layout("system, prompt and response", fields=(("system", "system"), ("user", "prompt"), ("assistant", "response"))),
     Layout("instruction and output", fields=(("user", "instruction"), ("assistant", "output"))),
-    Layout("instruction, input and output", fields=(("user", "instruction"), ("user", "input"), ("assistant", "output"))),
+    Layout("prompt and completion", fields=(("user", "prompt"), ("assistant", "completion"))),
+    Layout("prompt and response", fields=(("user", "prompt"), ("assistant", "response"))),
     Layout("question and answer", fields=(("user", "question"), ("assistant", "answer"))),
 )
 #: Speaker names of list layouts and the roles they stand for.
 SPEAKERS = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
-KNOWN = sorted({p for layout in LAYOUTS for p in layout.paths()})
 
 
 def digest(paths: list[str]) -> str:
@@ -80,15 +84,21 @@ def field_paths(schema: T.DataType, prefix: str = "") -> list[str]:
     return out
 
 
-def fingerprint(schema: T.StructType) -> str:
-    return digest([p for p in field_paths(schema) if p in KNOWN])
+def fingerprint(schema: T.StructType) -> str | None:
+    """The fingerprint of the layout that the table has, or nothing."""
+    have = field_paths(schema)
+    for layout in LAYOUTS:
+        found = digest([p for p in have if p in layout.paths()])
+        if MAPPINGS.get(found) is layout:
+            return found
+    return None
 
 
 def canonical_turns(df: DataFrame, id_col: str | None = None) -> DataFrame:
     """``conv``, ``turn``, ``role``, ``text`` of a table whose fingerprint is known."""
     layout = MAPPINGS.get(fingerprint(df.schema))
     if layout is None:
-        raise ValueError(f"no mapping for the fields {[p for p in field_paths(df.schema) if p in KNOWN]}")
+        raise ValueError(f"no mapping for the fields {field_paths(df.schema)}")
     if layout.rows:
         conv, turn, role, text = (F.col(f"`{c}`") for c in layout.rows)
         return df.select(conv.alias("conv"), turn.alias("turn"), role.alias("role"), text.alias("text"))
@@ -101,11 +111,11 @@ def canonical_turns(df: DataFrame, id_col: str | None = None) -> DataFrame:
         return flat.select("conv", "turn", named.alias("role"), F.col("_item").getField(text).alias("text"))
     turns = F.array(*[F.struct(F.lit(r).alias("role"), F.col(f"`{c}`").cast("string").alias("text")) for r, c in layout.fields])
     flat = df.select(key.alias("conv"), F.posexplode(turns).alias("turn", "_item"))
-    return flat.select("conv", "turn", "_item.role", "_item.text").where(~((F.col("turn") > 0) & F.col("text").isNull()))
+    return flat.select("conv", "turn", "_item.role", "_item.text")
 
 
-def record_fingerprint(record: Column) -> Column:
-    """The fingerprint of one JSON record: its fields, and the fields of the first item of its lists."""
+def record_paths(record: Column) -> Column:
+    """The field paths of one JSON record: its fields, and the fields of the first item of its lists."""
     top = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
     values = F.from_json(record, "map<string,string>")
     nested = F.flatten(
@@ -117,8 +127,13 @@ def record_fingerprint(record: Column) -> Column:
             ),
         )
     )
-    known = F.array(*[F.lit(p) for p in KNOWN])
-    return F.sha2(F.array_join(F.sort_array(F.array_intersect(F.concat(top, nested), known)), "\n"), 256)
+    return F.concat(top, nested)
+
+
+def record_fingerprint(paths: Column, layout: Layout) -> Column:
+    """The fingerprint of a record's paths, of those that the layout speaks of."""
+    mine = F.array(*[F.lit(p) for p in layout.paths()])
+    return F.sha2(F.array_join(F.sort_array(F.array_intersect(paths, mine)), "\n"), 256)
 
 
 def _turn_reader(role: str, text: str, speakers: Column | None):
@@ -132,11 +147,10 @@ def _turn_reader(role: str, text: str, speakers: Column | None):
 
 
 def canonical_records(df: DataFrame, record: str, id_col: str) -> DataFrame:
-    """Turns of JSON records of mixed layouts; records of unknown layout give none."""
-    marked = df.select(F.col(id_col).alias("conv"), F.col(record).alias("_j")).withColumn("_fp", record_fingerprint(F.col("_j")))
-    empty = "array<struct<role:string,text:string>>"
-    turns = F.array().cast(empty)
-    for key, layout in MAPPINGS.items():
+    """Turns of JSON records of mixed layouts; a record of no known layout is one turn of role ``unknown``."""
+    marked = df.select(F.col(id_col).alias("conv"), F.col(record).alias("_j")).withColumn("_paths", record_paths(F.col("_j")))
+    turns = F.array(F.struct(F.lit("unknown").alias("role"), F.col("_j").alias("text")))
+    for layout in reversed(LAYOUTS):
         if layout.items:
             name, role, text = layout.items
             items = F.from_json(F.get_json_object("_j", f"$.{name}"), f"array<struct<`{role}`:string,`{text}`:string>>")
@@ -146,7 +160,7 @@ def canonical_records(df: DataFrame, record: str, id_col: str) -> DataFrame:
             made = F.array(*[F.struct(F.lit(r).alias("role"), F.get_json_object("_j", f"$.{c}").alias("text")) for r, c in layout.fields])
         else:
             continue
-        turns = F.when(F.col("_fp") == key, made).otherwise(turns)
+        turns = F.when(record_fingerprint(F.col("_paths"), layout) == digest(layout.paths()), made).otherwise(turns)
     flat = marked.select("conv", F.posexplode(turns).alias("turn", "_item"))
     return flat.select("conv", "turn", "_item.role", "_item.text")
 
@@ -173,28 +187,29 @@ def unescape_role(role: Column) -> Column:
 
 
 def format_turns(turns: DataFrame, learned: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """``conv``, ``segments`` (array of text and loss) of canonical turns."""
-    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    rows = turns.select(
-        "conv", "turn", role.alias("role"), text.alias("text"),
-        F.concat(F.lit(OPEN), escape_role(role), F.lit("\n")).alias("head"), escape(text).alias("body"), role.isin(*learned).alias("loss"),
-    )
-    listed = rows.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "head", "body", "loss"))).alias("_t"))
-    piece = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
-    no = F.lit(False)
-    made = F.flatten(F.transform("_t", lambda t: F.array(piece(t["head"], no), piece(t["body"], t["loss"]), piece(F.lit(CLOSE + "\n"), no))))
-    return listed.select("conv", made.alias("segments"))
-
-
-def formatted(segments: Column) -> Column:
-    return F.array_join(F.transform(segments, lambda s: s["text"]), "")
+    """``conv``, ``formatted`` and the loss mask ``spans`` (array of start and length) of canonical turns."""
+    rows = turns.select("conv", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    order = Window.partitionBy("conv").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    # one exchange by conversation serves the order and the string
+    rows = rows.withColumn("n", F.row_number().over(order))
+    head = F.concat(F.lit(OPEN), escape_role(F.col("role")), F.lit("\n"))
+    rows = rows.select("conv", "n", head.alias("head"), escape(F.col("text")).alias("body"), F.col("role").isin(*learned).alias("loss"))
+    span = F.when(F.col("loss"), F.struct(F.col("n").alias("turn"), (F.length("head") + 1).alias("start"), F.length("body").alias("length")))
+    rows = rows.select("conv", F.struct("n", F.concat("head", "body", F.lit(CLOSE + "\n")).alias("part"), span.alias("span")).alias("t"))
+    listed = rows.groupBy("conv").agg(F.sort_array(F.collect_list("t")).alias("_t"))
+    spans = F.filter(F.transform("_t", lambda t: t["span"]), lambda x: x.isNotNull())
+    return listed.select("conv", F.array_join(F.transform("_t", lambda t: t["part"]), "").alias("formatted"), spans.alias("spans"))
+
+
+def turn_strings(text: Column) -> Column:
+    """The turns of a formatted string as they stand in it, each without its end mark."""
+    parts = F.split(text, CLOSE + "\n")
+    return F.slice(parts, 1, F.size(parts) - 1)
 
 
 def parse(text: Column) -> Column:
     """The turns (role, text) of a formatted string."""
-    parts = F.split(text, CLOSE + "\n")
-    parts = F.slice(parts, 1, F.size(parts) - 1)
-    bare = F.transform(parts, lambda p: F.substring(p, F.lit(len(OPEN) + 1), F.length(p)))
+    bare = F.transform(turn_strings(text), lambda p: F.substring(p, F.lit(len(OPEN) + 1), F.length(p)))
     return F.transform(
         bare,
         lambda p: F.struct(
@@ -204,6 +219,6 @@ def parse(text: Column) -> Column:
     )
 
 
-def loss_text(segments: Column) -> Column:
-    """All text under the loss mask, unescaped."""
-    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
+def loss_text(turns: Column, spans: Column) -> Column:
+    """All text under the loss mask, unescaped, of the ``turn_strings`` of a formatted string."""
+    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(F.get(turns, s["turn"] - 1), s["start"], s["length"]))), "")

@@ -15,10 +15,12 @@ SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the session names; a temporary one only where none is named (tests)."""
+    """Use the shared folder the session names; one of this machine only where all of Spark runs in one process."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="textloom-checkpoint-"))
 
 
@@ -69,37 +71,50 @@ def running_totals(
     """
     spark = df.sparkSession
     pid, rank, total = f"{prefix}slice", f"{prefix}rank", f"{prefix}total"
+    part, rows_in, sum_in, rows_to, sum_to = (f"{prefix}{x}" for x in ("part", "rows_in", "sum_in", "rows_to", "sum_to"))
     keys = [F.col(g).asc_nulls_last() for g in group]
     dealt = df.repartitionByRange(shuffle_width(spark), *keys, *order).withColumn(pid, F.spark_partition_id())
     dealt = cut(dealt)
     inside = Window.partitionBy(pid, *group).orderBy(*order)
     before = Window.partitionBy(*group).orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
-    sums = [F.count(F.lit(1)).alias("_n")] + ([F.sum(amount).alias("_s")] if amount else [])
+    sums = [F.count(F.lit(1)).alias(rows_in)] + ([F.sum(amount).alias(sum_in)] if amount else [])
     shift = dealt.groupBy(pid, *group).agg(*sums)
-    shift = shift.withColumn("_n0", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    shift = shift.withColumn(rows_to, F.coalesce(F.sum(rows_in).over(before), F.lit(0)))
     if amount:
-        shift = shift.withColumn("_s0", F.coalesce(F.sum("_s").over(before), F.lit(0)))
+        shift = shift.withColumn(sum_to, F.coalesce(F.sum(sum_in).over(before), F.lit(0)))
     shift = shift.select(
-        F.col(pid).alias("_p"), *[F.col(g).alias(f"_g_{g}") for g in group], "_n0", *(["_s0"] if amount else [])
+        F.col(pid).alias(part), *[F.col(g).alias(f"{prefix}of_{g}") for g in group], rows_to, *([sum_to] if amount else [])
     )
     numbered = dealt.withColumn(rank, F.row_number().over(inside).cast("long"))
     if amount:
         numbered = numbered.withColumn(total, F.sum(amount).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    match = F.col(pid) == F.col("_p")
+    match = F.col(pid) == F.col(part)
     for g in group:
-        match = match & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+        match = match & F.col(g).eqNullSafe(F.col(f"{prefix}of_{g}"))
     out = numbered.join(shift, match)
-    out = out.withColumn(rank, F.col(rank) + F.col("_n0"))
+    out = out.withColumn(rank, F.col(rank) + F.col(rows_to))
     if amount:
-        out = out.withColumn(total, F.col(total) + F.col("_s0"))
-    return out.drop(pid, "_p", "_n0", "_s0", *[f"_g_{g}" for g in group])
+        out = out.withColumn(total, F.col(total) + F.col(sum_to))
+    return out.drop(pid, part, rows_to, sum_to, *[f"{prefix}of_{g}" for g in group])
+
+
+#: Parts over which the rows of one node are dealt in the joins of connected components.
+SALTS = 16
+
+
+def salted_join(rows: DataFrame, key: str, other: str, table: DataFrame, table_key: str) -> DataFrame:
+    """Inner join of ``rows`` to ``table`` (one row per key) with the rows of a key dealt to ``SALTS`` parts by ``other``."""
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int"))
+    copied = table.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copied, (F.col(key) == F.col(table_key)) & (F.col("_salt") == F.col("_copy"))).drop("_salt", "_copy")
 
 
 def connected_components(edges: DataFrame, a: str, b: str, *, max_rounds: int = 60) -> DataFrame:
     """Component of every node that has an edge: ``node``, ``root`` (the smallest node reachable).
 
     Alternates the large-star and small-star rewirings, each a grouped minimum and one join back, until
-    the edge set no longer changes. Edges stay distributed; only a count and a checksum reach the driver.
+    the edge set no longer changes. The joins deal the edges of one node, as of the centre of a large
+    star, to several tasks. Edges stay distributed; only a count and a checksum reach the driver.
     """
     big, small = F.greatest("u", "v"), F.least("u", "v")
     now = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
@@ -108,10 +123,10 @@ def connected_components(edges: DataFrame, a: str, b: str, *, max_rounds: int =
     for _ in range(max_rounds):
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = salted_join(both.where("v > u"), "u", "v", least, "c").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         floor = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "c")
-        wired = large.join(floor, F.col("u") == F.col("c"))
+        wired = salted_join(large, "u", "v", floor, "c")
         now = wired.select(F.col("v").alias("u"), F.col("m").alias("v")).union(wired.select("u", F.col("m").alias("v")))
         now = cut(now.where("u <> v").distinct())
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

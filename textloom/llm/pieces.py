@@ -73,20 +73,63 @@ class Hasher:
 
 
 class Joined:
-    """The piece table sorted by hash, for equality joins."""
+    """The piece table sorted by hash, for equality joins; a hit counts only if the characters are equal too."""
 
     def __init__(self, pieces: list[str], values: list[int]):
+        self.flat = code_points("".join(pieces))
         ends = np.cumsum([len(p) for p in pieces])
-        keys = Hasher(code_points("".join(pieces))).spans(ends - [len(p) for p in pieces], ends)
+        starts = ends - [len(p) for p in pieces]
+        keys = Hasher(self.flat).spans(starts, ends)
         order = np.argsort(keys)
         self.keys, self.values = keys[order], np.array(values, np.int64)[order]
+        self.starts, self.sizes = starts[order], (ends - starts)[order]
         if len(np.unique(keys)) < len(keys):
             raise ValueError("two pieces have one hash")
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The value of each key, or -1."""
+    def find(self, keys: np.ndarray, codes: np.ndarray, start: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+        """The value of each substring of ``codes``, or -1."""
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.values[at], -1)
+        size = np.broadcast_to(size, start.shape)
+        hits = np.flatnonzero((self.keys[at] == keys) & (self.sizes[at] == size))
+        found = np.full(len(keys), -1, np.int64)
+        length = size[hits]
+        if len(hits):
+            ends = np.cumsum(length)
+            place = np.arange(int(ends[-1])) - np.repeat(ends - length, length)
+            same = self.flat[np.repeat(self.starts[at[hits]], length) + place] == codes[np.repeat(start[hits], length) + place]
+            hits = hits[np.logical_and.reduceat(same, ends - length)]
+        found[hits] = self.values[at[hits]]
+        return found
+
+
+def model_kind(model: bytes) -> int:
+    """The kind of a serialised model: 1 unigram, 2 BPE, 3 word, 4 char (field 3 of field 2; 1 if it is not given)."""
+
+    def number(at: int) -> tuple[int, int]:
+        value = shift = 0
+        while True:
+            value |= (model[at] & 127) << shift
+            at, shift = at + 1, shift + 7
+            if model[at - 1] < 128:
+                return value, at
+
+    at, end, inside = 0, len(model), False
+    while at < end:
+        tag, at = number(at)
+        field, wire = tag >> 3, tag & 7
+        if wire == 0:
+            value, at = number(at)
+            if inside and field == 3:
+                return value
+        elif wire == 2:
+            size, at = number(at)
+            if field == 2 and not inside:
+                inside, end = True, at + size
+            else:
+                at += size
+        else:
+            at += 8 if wire == 1 else 4
+    return 1
 
 
 def possible(start: np.ndarray, length: np.ndarray, rank: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,6 +154,8 @@ class PieceTable:
     """Pieces of a model that may appear in texts, with id and merge rank."""
 
     def __init__(self, model: bytes):
+        if model_kind(model) != 2:
+            raise ValueError("the fold by rank encodes with BPE models only; this model is of another kind")
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.ids: dict[str, int] = {}
         self.names: list[str] = []
@@ -131,8 +176,9 @@ class PieceTable:
         shared = {s for s, n in Counter(s for s, _ in scores).items() if n > 1}
         long = [(p, place[s], s in shared) for s, p in scores if len(p) > 1]
         self.longest = max(len(p) for p, _, _ in long)
-        #: rank * 2, and one more for a piece that shares its score; -2 for what only begins a piece
-        found = {p[:k]: -2 for p, _, _ in long for k in range(2, len(p))} | {p: 2 * r + t for p, r, t in long}
+        #: rank * 2, and one more for a piece that shares its score
+        self.merges = {p: 2 * r + t for p, r, t in long}
+        found = {p[:k]: -2 for p, _, _ in long for k in range(2, len(p))} | self.merges  # -2: what only begins a piece
         self.edges_of = Joined(list(found), list(found.values()))
         self.id_of = Joined(list(self.ids), list(self.ids.values()))
         letters = sorted(set("".join(p for p, _, _ in long)))
@@ -164,7 +210,7 @@ class PieceTable:
             at = at[room[at] >= n]
             if not len(at):
                 break
-            value = self.edges_of.find(hashes.spans(at, at + n))
+            value = self.edges_of.find(hashes.spans(at, at + n), codes, at, n)
             at, value = at[value != -1], value[value != -1]
             hit = value >= 0
             starts.append(at[hit])
@@ -192,7 +238,7 @@ class PieceTable:
         place = place + offset[word]
         same = word[1:] == word[:-1]
         begin, end, owner = place[:-1][same], place[1:][same], word[:-1][same]
-        ids = self.id_of.find(Hasher(codes).spans(begin, end)) if len(begin) else np.zeros(0, np.int64)
+        ids = self.id_of.find(Hasher(codes).spans(begin, end), codes, begin, end - begin) if len(begin) else np.zeros(0, np.int64)
         missing = np.flatnonzero(ids < 0)
         if len(missing):
             text = "".join(words)
@@ -427,6 +473,38 @@ def encode(
     return whole.toDF(*kept, out, *([check] if check else []))
 
 
+def relational_pieces(words: DataFrame, model_path: str, *, word: str = "word") -> DataFrame:
+    """``word`` and ``pieces`` (array of piece strings) of each distinct word, by Spark operators alone.
+
+    The words, as ``PieceTable.split`` cuts them, are exploded into substrings up to the longest piece, joined to the
+    piece table by equality (its size is that of the model, so it is broadcast), and the edges are grouped by word and
+    folded by ``aggregate`` in order of rank. Characters in no edge stay single. This is the form that ``encode`` takes
+    column by column inside a task; as a join it has to send every occurrence of a word to its pieces and back.
+    """
+    with open(model_path, "rb") as f:
+        table = piece_table(f.read())
+    spark = words.sparkSession
+    edges = spark.createDataFrame([(p, r // 2, bool(r & 1)) for p, r in table.merges.items()], "piece string, rank int, tied boolean")
+    distinct = words.select(F.col(word).alias("word")).where("word <> ''").distinct()
+    size = F.length("word")
+    starts = F.explode(F.sequence(F.lit(1), size)).alias("at")
+    long = distinct.where(size > 1).select("word", starts)
+    room = F.least(F.lit(table.longest), F.length("word") - F.col("at") + 1)
+    spans = long.where(room >= 2).select("word", "at", F.explode(F.sequence(F.lit(2), room)).alias("n"))
+    found = spans.select("word", "at", "n", F.substring("word", F.col("at"), F.col("n")).alias("piece")).join(F.broadcast(edges), "piece")
+    order = F.struct("rank", "at", F.when(F.col("tied"), -F.col("n")).otherwise(F.col("n")).alias("length"), "tied", "n")
+    listed = found.groupBy("word").agg(F.sort_array(F.collect_list(order)).alias("edges"))
+    listed = distinct.join(listed, "word", "left")
+    # the state is the list of starts of the parts; an edge applies if both ends are boundaries and one is between
+    folded = F.expr("""
+        aggregate(coalesce(edges, array()), sequence(1, length(word) + 1), (s, m) ->
+          if(array_contains(s, m.at) and array_contains(s, m.at + m.n)
+             and (size(filter(s, x -> x > m.at and x < m.at + m.n)) = 1 or m.tied and size(filter(s, x -> x > m.at and x < m.at + m.n)) = m.n - 1),
+             filter(s, x -> x <= m.at or x >= m.at + m.n), s))""")
+    cuts = listed.select("word", folded.alias("s"))
+    return cuts.select("word", F.expr("transform(slice(s, 1, size(s) - 1), (x, k) -> substring(word, x, s[k + 1] - x))").alias("pieces"))
+
+
 def decode(df: DataFrame, model_path: str, *, ids: str = "ids", out: str = "text") -> DataFrame:
     """Add the text that the piece ids spell; null ids give null."""
     with open(model_path, "rb") as f:

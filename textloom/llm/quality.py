@@ -1,17 +1,21 @@
 """Quality rules by distribution divergence.
 
 Base rules count words, symbols, repeated lines and words in repeated 3-word windows of the whole text.
-The method's verdict compares two histograms of a document with the reference of its language: characters
-by class, and the language's commonest words (the rest in one bin). References are sums over all documents
-of the language. The measure is the Jensen-Shannon distance (square root of the divergence in bits, 0 to 1);
-a document fails if a distance exceeds its limit and the document is long enough for that histogram to mean
-something (minimum-length guards). Documents whose language has no reference are held against every one and
-judged by the nearest.
-
-References: languages with at least ``min_share`` of all documents (so at most its inverse in number) and,
-of each, the ``common`` most frequent words, ties by word; exact counts over the whole corpus.
-Null texts have no words and fail the base rule; a null language has no reference; repeated rows get equal
-results; an empty table gives an empty result. The caller's columns stay; results have the prefix ``q_``.
+The method's verdict compares three histograms of a document with the reference of its language: characters
+by class, the language's commonest words (the rest in one bin), and common against other words alone. References
+are sums over all documents of the language. The measure is the Jensen-Shannon distance (square root of the
+divergence in bits, 0 to 1); a document fails if a distance exceeds its limit and the document is long enough for
+that histogram to mean something (minimum-length guards). The limit of the third, which tells foreign and invented
+words, has a fixed part for what good documents differ and four standard errors of a share in that many words.
+
+References: every language that a row names, however rare, so a verdict hangs on documents of the same language
+only; of each the ``common`` most frequent words, ties by word; exact counts over the whole corpus. Per language
+these few numbers reach the driver. Documents that name none, or one without any word, are held against every
+reference and judged by the nearest.
+Null and empty texts have no words and fail the base rule; texts of any length are read whole, one at a time;
+a null language has no reference; ties and repeated rows get equal results; an empty table gives an empty
+result. The caller's columns stay; the result is one struct, ``q_rules`` unless ``out`` names it otherwise, which
+replaces a column of that name.
 """
 
 from __future__ import annotations
@@ -105,22 +109,18 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, (part(p) + part(q)) / 2))
 
 
-def references(docs: DataFrame, *, text: str = "text", lang: str = "lang", common: int = 48, min_share: float = 0.001) -> dict:
+def references(docs: DataFrame, *, text: str = "text", lang: str = "lang", common: int = 48) -> dict:
     """Per language: the common words, their counts with the rest last, and the character classes; whole corpus."""
-    per = docs.groupBy(F.col(lang).alias("l")).count().where(F.col("l").isNotNull())
-    all_docs = docs.count()
-    langs = sorted(r[0] for r in per.where(F.col("count") >= min_share * all_docs).collect())
-    if not langs:
-        return {}
-    known = docs.where(F.col(lang).isin(langs)).select(F.col(lang).alias("l"), F.col(text).alias("t"))
+    known = docs.where(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("l"), F.col(text).alias("t"))
     words = known.select("l", F.explode(F.split(F.lower("t"), SPACE_CLASS)).alias("w")).where("w <> ''")
     counts = words.groupBy("l", "w").count()
     rank = Window.partitionBy("l").orderBy(F.col("count").desc(), "w")
     top = counts.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= common)
-    refs = {x: {"words": {}, "counts": [], "classes": np.zeros(CLASSES, np.int64), "all": 0} for x in langs}
+    refs: dict = {}
     for row in top.orderBy("l", "r").collect():
-        refs[row["l"]]["words"][row["w"].encode()] = len(refs[row["l"]]["counts"])
-        refs[row["l"]]["counts"].append(row["count"])
+        ref = refs.setdefault(row["l"], {"words": {}, "counts": [], "classes": np.zeros(CLASSES, np.int64), "all": 0})
+        ref["words"][row["w"].encode()] = len(ref["counts"])
+        ref["counts"].append(row["count"])
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -133,38 +133,50 @@ def references(docs: DataFrame, *, text: str = "text", lang: str = "lang", commo
 
     sums = known.mapInArrow(classes, "l string, c array<long>").select("l", *[F.col("c")[i].alias(f"c{i}") for i in range(CLASSES + 1)])
     for row in sums.groupBy("l").agg(*[F.sum(f"c{i}") for i in range(CLASSES + 1)]).collect():
-        refs[row[0]]["classes"] = np.array(row[1:-1])
-        refs[row[0]]["all"] = row[-1]
+        if row[0] in refs:
+            refs[row[0]]["classes"] = np.array(row[1:-1])
+            refs[row[0]]["all"] = row[-1]
     for ref in refs.values():
         ref["counts"] = np.array([*ref["counts"], max(0, ref["all"] - sum(ref["counts"]))], float)
-    return refs
+    return dict(sorted(refs.items()))
 
 
-def judge(raw: bytes, words: list[bytes], lang: str | None, refs: dict) -> tuple[float, float]:
-    """Distances of character classes and of common words to the reference, or to the nearest one."""
+def judge(raw: bytes, words: list[bytes], lang: str | None, refs: dict) -> tuple[float, float, float]:
+    """Distances of character classes, of common words, and of their share to the reference, or to the nearest one."""
     hist = class_histogram(raw).astype(float)
     lowered = None
-    best = (2.0, 2.0)
+    best = (2.0, 2.0, 2.0)
     for ref in [refs[lang]] if lang in refs else refs.values():
         if lowered is None:
             lowered = raw.decode("utf-8", "surrogatepass").lower().encode("utf-8", "surrogatepass").split()
         found = np.zeros(len(ref["counts"]))
         for w in lowered:
             found[ref["words"].get(w, -1)] += 1
-        pair = (float(distance(hist, ref["classes"].astype(float))), float(distance(found, ref["counts"])))
-        best = min(best, pair, key=sum)
-    return best if best[0] <= 1 else (0.0, 0.0)
+        share = distance(two_bins(found), two_bins(ref["counts"]))
+        triple = (float(distance(hist, ref["classes"].astype(float))), float(distance(found, ref["counts"])), float(share))
+        best = min(best, triple, key=sum)
+    return best if best[0] <= 1 else (0.0, 0.0, 0.0)
+
+
+def two_bins(counts: np.ndarray) -> np.ndarray:
+    """Common words against all others."""
+    return np.array([counts[:-1].sum(), counts[-1]])
+
+
+#: Four standard errors of a share of 0.3 in n words, as a distance: 4 sqrt(0.3 * 0.7 / n) / sqrt(8 ln 2 * 0.3 * 0.7).
+SHARE_ERRORS = 4 / np.sqrt(8 * np.log(2))
 
 
 def with_quality(
-    docs: DataFrame, refs: dict, *, text: str = "text", lang: str = "lang", min_words: int = 50, class_limit: float = 0.30, word_limit: float = 0.50,
-    class_words: int = 50, word_words: int = 50,
+    docs: DataFrame, refs: dict, *, text: str = "text", lang: str = "lang", out: str = "q_rules", min_words: int = 50, class_limit: float = 0.30, word_limit: float = 0.50,
+    share_limit: float = 0.10, class_words: int = 50, word_words: int = 50, share_words: int = 50,
 ) -> DataFrame:
-    """Add the struct ``q``: base counts, ``class_distance``, ``word_distance``, ``base_failed``, ``kept``."""
+    """Add the struct ``out``: base counts, ``class_distance``, ``word_distance``, ``share_distance``, ``base_failed``, ``kept``."""
     shared = docs.sparkSession.sparkContext.broadcast(refs)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    distances = ["class_distance", "word_distance", "share_distance"]
 
-    @F.arrow_udf(", ".join(f"{x} long" for x in names) + ", class_distance double, word_distance double, base_failed boolean, kept boolean")
+    @F.arrow_udf(", ".join([*(f"{x} long" for x in names), *(f"{x} double" for x in distances), "base_failed boolean", "kept boolean"]))
     def measure(texts: pa.Array, langs: pa.Array) -> pa.Array:
         rows = []
         for t, x in zip(texts, langs.to_pylist(), strict=True):
@@ -173,13 +185,13 @@ def with_quality(
             counts = base_counts(raw, words)
             n, repeated = counts[0], counts[4]
             failed = n < min_words or 100 * repeated > 50 * n
-            a, b = judge(raw, words, x, shared.value) if n else (0.0, 0.0)
-            off = n >= class_words and a > class_limit or n >= word_words and b > word_limit
-            rows.append((*counts, a, b, failed, not failed and not off))
+            a, b, c = judge(raw, words, x, shared.value) if n else (0.0, 0.0, 0.0)
+            off = n >= class_words and a > class_limit or n >= word_words and b > word_limit or n >= share_words and c > share_limit + SHARE_ERRORS / np.sqrt(n)
+            rows.append((*counts, a, b, c, failed, not failed and not off))
         trim()
-        columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(9)]
-        kinds = [pa.int64()] * 5 + [pa.float64()] * 2 + [pa.bool_()] * 2
+        columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(10)]
+        kinds = [pa.int64()] * 5 + [pa.float64()] * 3 + [pa.bool_()] * 2
         arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-        return pa.StructArray.from_arrays(arrays, [*names, "class_distance", "word_distance", "base_failed", "kept"])
+        return pa.StructArray.from_arrays(arrays, [*names, *distances, "base_failed", "kept"])
 
-    return docs.withColumn("q", measure.asNondeterministic()(F.col(text), F.col(lang).cast("string")))
+    return docs.withColumn(out, measure.asNondeterministic()(F.col(text), F.col(lang).cast("string")))

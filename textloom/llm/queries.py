@@ -50,8 +50,8 @@ def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     rows = rows.unionByName(spark.createDataFrame(PLANTED, "conv_id long, turn long, role string, text string"))
-    out = chat.format_turns(chat.canonical_turns(rows)).withColumn("formatted", chat.formatted(F.col("segments")))
-    out = out.withColumn("turns", chat.parse(F.col("formatted"))).withColumn("learned", chat.loss_text(F.col("segments")))
+    out = chat.format_turns(chat.canonical_turns(rows)).withColumn("turns", chat.parse(F.col("formatted")))
+    out = out.withColumn("strings", chat.turn_strings(F.col("formatted"))).withColumn("learned", chat.loss_text(F.col("strings"), F.col("spans")))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(
         F.col("conv").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
@@ -82,7 +82,8 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix_sizes(table(spark, sf_dir, "documents"))
+    # longer documents hold more of their source: their inclusion odds grow with the root of their size
+    mixed = mixing.mix_sizes(table(spark, sf_dir, "documents"), relative=F.sqrt("size"))
     return mixed.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
@@ -94,8 +95,8 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     judged = quality.with_quality(docs, quality.references(docs))
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance"]
-    return judged.select("doc_id", *[F.col(f"q.{c}").alias(c) for c in names])
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance", "share_distance"]
+    return judged.select("doc_id", *[F.col(f"q_rules.{c}").alias(c) for c in names])
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,14 +146,14 @@ SELECT conv_id, count(*) AS n_turns,
 FROM made GROUP BY conv_id"""
 
 
-def mix_sql(seed: str = "mix", rounds: int = 3) -> str:
-    steps = []
+def mix_sql(seed: str = "mix", rounds: int = 12, apart: float = 0.05) -> str:
+    draw = lambda salt, key: f"((('0x' || substr(md5('{salt}|' || {key}), 1, 13))::BIGINT)::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE"
+    steps = ["scale0 AS (SELECT source AS s, max(gap) / sum(size * w) AS c FROM wanted GROUP BY source)"]
     for turn in range(rounds):
         steps.append(f"""
-may{turn} AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY odds, doc_id, size ROWS UNBOUNDED PRECEDING) AS total FROM rest{turn} WHERE size > 0 AND size <= gap AND odds < 'inf'::DOUBLE),
-used{turn} AS (SELECT source AS s, sum(size) AS used FROM may{turn} WHERE total <= gap GROUP BY source),
-rest{turn + 1} AS (SELECT m.* EXCLUDE (total, gap), m.gap - coalesce(u.used, 0) AS gap FROM may{turn} m LEFT JOIN used{turn} u ON m.source IS NOT DISTINCT FROM u.s WHERE total > gap)""")
-    extra = " UNION ALL ".join(f"SELECT rid FROM may{t} WHERE total <= gap" for t in range(rounds))
+scale{turn + 1} AS (SELECT s, greatest(max(c), CASE WHEN sum(CASE WHEN c * w >= 1 THEN 0 ELSE size * w END) > 0
+    THEN (max(gap) - sum(CASE WHEN c * w >= 1 THEN size ELSE 0 END)) / sum(CASE WHEN c * w >= 1 THEN 0.0::DOUBLE ELSE size * w END) END) AS c
+  FROM wanted JOIN scale{turn} ON source IS NOT DISTINCT FROM s GROUP BY s)""")
     return f"""
 WITH RECURSIVE docs AS (
   SELECT row_number() OVER () AS rid, doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')) AS BIGINT) AS size FROM documents),
@@ -167,13 +168,23 @@ level(step, lv, held) AS (
         / (SELECT sum(weight) FROM per WHERE NOT source_size * 2.0::DOUBLE < weight * l.lv) AS new_lv FROM level l) WHERE full_n > held),
 targets AS (SELECT source, source_size, least(source_size * 2.0::DOUBLE, weight * (SELECT lv FROM level ORDER BY step DESC LIMIT 1)) AS target FROM per),
 base AS (
-  SELECT d.*, t.source_size, t.target, CAST(CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS BIGINT) AS whole,
-    ((('0x' || substr(md5('{seed}|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13))::BIGINT)::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+  SELECT d.*, t.source_size, t.target, CAST(CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS BIGINT) AS whole, sqrt(size) AS w,
+    {draw(seed, "CAST(doc_id AS VARCHAR)")} AS u
   FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
-drawn AS (SELECT *, target - whole * source_size AS gap0, CASE WHEN source_size > 0 THEN (target - whole * source_size) / source_size ELSE 0.0::DOUBLE END AS p FROM base),
-rest0 AS (SELECT * EXCLUDE (gap0), gap0 AS gap, CASE WHEN p >= 1 THEN 0.0::DOUBLE WHEN p <= 0 THEN 'inf'::DOUBLE ELSE (u / (1 - u)) / (p / (1 - p)) END AS odds FROM drawn),
+drawn AS (SELECT *, target - whole * source_size AS gap FROM base),
+wanted AS (SELECT * FROM drawn WHERE size > 0 AND gap > 0),
 {",".join(steps)},
-extra AS ({extra})
+ranked AS (
+  SELECT *, row_number() OVER o AS place, sum(size) OVER (o ROWS UNBOUNDED PRECEDING) AS total FROM (
+    SELECT *, CASE WHEN p >= 1 THEN 0.0::DOUBLE ELSE (u / (1 - u)) / (p / (1 - p)) END AS odds, size > gap * {apart}::DOUBLE AS big
+    FROM (SELECT wanted.*, least(c * w, 1.0::DOUBLE) AS p FROM wanted JOIN scale{rounds} ON source IS NOT DISTINCT FROM s))
+  WINDOW o AS (PARTITION BY source, big ORDER BY odds, doc_id, size)),
+number AS (SELECT source AS s, floor(sum(p)) + CASE WHEN {draw(seed + " number", "coalesce(source, '')")} < sum(p) - floor(sum(p)) THEN 1 ELSE 0 END AS n FROM ranked WHERE big GROUP BY source),
+large AS (SELECT r.* FROM ranked r JOIN number ON source IS NOT DISTINCT FROM s WHERE big AND place <= n),
+used AS (SELECT source AS s, sum(size) AS words FROM large GROUP BY source),
+small AS (SELECT r.*, gap - coalesce(words, 0) AS rest FROM ranked r LEFT JOIN used ON source IS NOT DISTINCT FROM s WHERE NOT big),
+extra AS (SELECT rid FROM large UNION ALL SELECT rid FROM small WHERE total <= rest
+  OR (total - size < rest AND {draw(seed + " end", "coalesce(source, '')")} * size < rest - (total - size)))
 SELECT doc_id, source, size, source_size, target, CAST((whole + CASE WHEN rid IN (SELECT rid FROM extra) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM drawn"""
 
 

@@ -7,15 +7,18 @@ Search within ``radius`` differing bits:
 
 * the free bits are split into ``radius + 1`` parts; two linked fingerprints agree on one part at least,
   so each fingerprint is dealt once per part to the bucket of those that share its bits there. A bucket
-  over ``bucket_limit`` is dealt again by parts of its still free bits, which loses no pair; after three
-  levels at most 19 bits are free, so no bucket can exceed 2**19 fingerprints;
+  over ``bucket_limit`` is dealt again by parts of its still free bits, which loses no pair, until at most
+  log2(bucket_limit) bits are free or there are 4,096 kinds of buckets. At radius 2 the former comes first (81 kinds),
+  so no bucket exceeds the limit. At radius 7 a bucket of over 8,192 fingerprints may be left after four levels,
+  with 37 bits free: one task searches it, in memory in proportion to the bucket;
 * inside a bucket, fingerprints are sorted by Gray rank, so neighbours share long bit patterns. Each node
   of the tree over that order keeps the mask of bits shared by all below it and not yet by its parent,
   and their pattern. A query walks down adding the differences found in each node's mask and leaves a whole
   group as soon as the sum exceeds the radius;
-* a bucket gives a star of links per component found in it, not its pairs.
+* a bucket gives a star of links per component found in it, not its pairs; pairs are folded into labels some queries
+  at a time, and what is connected already is not compared.
 
-``near_duplicates`` links fingerprints at the radius alone. With ``similar`` the fingerprint only proposes: it is
+``near_duplicates`` links fingerprints at the radius alone. In ``similar_documents`` the fingerprint only proposes: it is
 then made of single words of some length, which edits hardly move, twice with independent hashes, at a wider
 radius, and a 512-bit SimHash of five-word shingles sorts out most of what is far off. A pair is linked only if the
 Jaccard similarity of its five-word shingle sets (64-bit values) is at least ``similar``, counted exactly.
@@ -24,9 +27,13 @@ Fingerprints miss pairs with a replaced, appended or missing passage, so an exac
 one common order, rare shingles first, two that are similar share one of the first ``n - ceil(similar n) + 1``. Documents
 meet by those, pairs linked already or ruled out by size and place go, and the others are compared in full.
 
-Null and empty texts have no word and the fingerprint zero, which links like any other. Ties cannot
-occur: a component's id is its smallest doc_id. Repeated rows get equal results. Rows with a null doc_id
-take part; a component of such rows alone has a null id. An empty table gives an empty result.
+Null and empty texts have no word and the fingerprint zero, which links like any other (without a word, texts are
+similar to each other only). Texts of any length are read whole, one at a time. Ties cannot occur: a component's id is
+its smallest doc_id, its representative that row, of rows that share the id the one with the smallest text hash.
+Repeated rows get equal results; of rows equal in id and text one is kept. Rows that share an id, or have none, are
+documents of their own, told apart by their text; a component of rows without id has a null id and keeps one of them.
+An empty table gives an empty result. Columns of the caller never clash: only id and text are read, and
+``keep_representatives`` returns the caller's columns as they are.
 """
 
 from __future__ import annotations
@@ -36,7 +43,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import connected_components, cut, guarded, shuffle_width, trim
@@ -153,11 +160,10 @@ def build_tree(sorted_fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.
     return levels
 
 
-def tree_pairs(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs i < j of Gray-sorted fingerprints at most ``radius`` bits apart."""
+def tree_pairs(fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs i < j of Gray-sorted fingerprints at most ``radius`` bits apart, some queries at a time."""
     levels = build_tree(fps)
     widths = [LEAF if d == len(levels) - 2 else FANOUT for d in range(len(levels) - 1)]
-    left, right = [], []
     block = max(1, min(1024, FRONTIER // len(fps)))  # bounds what a level can hold if nothing is pruned
     for at in range(0, len(fps), block):
         query = np.arange(at, min(len(fps), at + block))
@@ -176,23 +182,23 @@ def tree_pairs(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
                 if depth == len(levels) - 2:
                     later = node > q
                     q, acc, node = q[later], acc[later], node[later]
-        left.append(q)
-        right.append(node)
-    return np.concatenate(left), np.concatenate(right)
+        yield q, node
 
 
-def stars(size: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The smallest index reachable from each index through the pairs."""
-    label = np.arange(size)
+def fold(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Labels (the smallest index known to be reachable) after some more pairs; the pairs themselves need not be kept."""
+    left, right = label[left], label[right]
     while True:
-        least = np.minimum(label[left], label[right])
-        new = label.copy()
-        np.minimum.at(new, left, least)
-        np.minimum.at(new, right, least)
-        new = new[new]
-        if np.array_equal(new, label):
+        open_pairs = left != right
+        if not open_pairs.any():
             return label
+        left, right = left[open_pairs], right[open_pairs]
+        new = label.copy()
+        np.minimum.at(new, np.maximum(left, right), np.minimum(left, right))
+        while not np.array_equal(new, new[new]):
+            new = new[new]
         label = new
+        left, right = label[left], label[right]
 
 
 def bucket_links(batches: Iterator[pa.RecordBatch], radius: int, sig_limit: int | None = None) -> Iterator[pa.RecordBatch]:
@@ -223,9 +229,12 @@ def bucket_links(batches: Iterator[pa.RecordBatch], radius: int, sig_limit: int
             b.append(at)
         for g in np.flatnonzero(length > LEAF):
             own = fps[start[g] : start[g] + length[g]]
-            left, right = tree_pairs(own, radius)
-            fine = near(sigs, left + start[g], right + start[g])
-            label = stars(len(own), left[fine], right[fine])
+            label = np.arange(len(own))
+            for left, right in tree_pairs(own, radius):
+                apart = label[left] != label[right]  # what is connected already needs no comparison
+                left, right = left[apart], right[apart]
+                fine = near(sigs, left + start[g], right + start[g])
+                label = fold(label, left[fine], right[fine])
             tied = np.flatnonzero(label != np.arange(len(own)))
             a.append(tied + start[g])
             b.append(label[tied] + start[g])
@@ -271,22 +280,24 @@ def split_bits(mask: int, parts: int) -> list[int]:
     return [mask | sum(1 << b for b in free[cuts[i] : cuts[i + 1]]) for i in range(parts) if cuts[i] < cuts[i + 1]]
 
 
+#: Buckets are dealt again while their kinds are no more than this.
+MASKS = 4096
+
+
 def near_links(fps: DataFrame, radius: int = 2, bucket_limit: int = 8192, sig_limit: int | None = None) -> DataFrame:
     """Links ``a``, ``b`` over distinct ``fp`` (and ``sig``) that connect all within ``radius`` bits (and the signature's limit)."""
     spark = fps.sparkSession
-    masks, dealt, level = [0], [], 0
+    masks, dealt = [0], []
     kept = ["fp"] if sig_limit is None else ["fp", "sig"]
     work = fps.select(*kept, F.lit(0).cast("long").alias("mask"))
     while True:
-        level += 1
-        children = {m: split_bits(m, radius + 1) for m in masks}
-        masks = [c for m in masks for c in children[m]]
-        pick = F.array()
-        for m, made in children.items():
-            pick = F.when(F.col("mask") == F.lit(_signed(m)), F.array(*[F.lit(_signed(c)) for c in made])).otherwise(pick)
-        work = work.select(*kept, F.explode(pick).alias("mask"))
+        pairs = [(m, c) for m in masks for c in split_bits(m, radius + 1)]
+        masks = sorted({c for _, c in pairs})
+        children = spark.createDataFrame([(_signed(m), _signed(c)) for m, c in pairs], "mask long, child long")
+        work = work.join(F.broadcast(children), "mask").select(*kept, F.col("child").alias("mask"))  # at most MASKS rows
         work = work.withColumn("bits", F.col("fp").bitwiseAND(F.col("mask")))
-        if level == 3:
+        free = 64 - min(m.bit_count() for m in masks)
+        if 1 << free <= bucket_limit or len(masks) * (radius + 1) > MASKS:
             dealt.append(work)
             break
         hot = cut(work.groupBy("mask", "bits").count().where(F.col("count") > bucket_limit).select("mask", "bits"))
@@ -311,8 +322,8 @@ def near_links(fps: DataFrame, radius: int = 2, bucket_limit: int = 8192, sig_li
 
 #: Odd multipliers by the place of a word in its shingle.
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
-#: Documents sampled to learn which shingles are common, the sampled count from which one is, and how many are kept.
-SAMPLE, COMMON, COMMON_KEPT = 20_000, 4, 200_000
+#: To learn which shingles are common: documents read (one in THIN of them, if that is more), the count from which one is, how many are kept.
+SAMPLE, THIN, COMMON, COMMON_KEPT = 20_000, 32, 4, 200_000
 SLOT_BITS = 22
 
 
@@ -352,7 +363,7 @@ def rare_first(shingles: np.ndarray, common: np.ndarray, similar: float) -> np.n
 
 def common_shingles(texts: DataFrame, documents: int) -> np.ndarray:
     """The shingles common in a sample, sorted by value, with their place from rare to common. Only speed hangs on the choice."""
-    some = texts.where(F.pmod(F.xxhash64("_text"), F.lit(max(1, documents // SAMPLE))) == 0)
+    some = texts.where(F.pmod(F.xxhash64("_text"), F.lit(min(THIN, max(1, documents // SAMPLE)))) == 0)
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -442,27 +453,36 @@ def shared_pairs(texts: DataFrame, roots: DataFrame, common: np.ndarray, similar
     return rows.mapInArrow(lambda batches: bucket_pairs(batches, similar), "a long, b long").distinct()
 
 
-def verified(texts: DataFrame, pairs: DataFrame, similar: float) -> DataFrame:
-    """The pairs whose shingle sets have a Jaccard similarity of at least ``similar``."""
-    # sets of documents in no pair stay out of the shuffle, up to those that share a slot with one that is
-    slot = F.shiftrightunsigned("node", 64 - SLOT_BITS)
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).select(slot.alias("s")).distinct().toArrow()
+def verified(texts: DataFrame, keys: DataFrame, pairs: DataFrame, similar: float) -> DataFrame:
+    """The pairs whose shingle sets have a Jaccard similarity of at least ``similar``.
+
+    ``texts`` are (``_text``, ``_th``), a text and its hash; ``keys`` give the hash ``th`` of one text of each node.
+    """
+    # texts of no pair are not read into sets, up to those that share a slot with one that is
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    asked = nodes.join(keys, F.col("node") == F.col("self")).select(F.shiftrightunsigned("th", 64 - SLOT_BITS).alias("s")).distinct().toArrow()
     wanted = np.zeros(1 << SLOT_BITS, bool)
     wanted[asked.column("s").to_numpy()] = True
     sent = texts.sparkSession.sparkContext.broadcast(np.packbits(wanted))
 
+    @F.arrow_udf("boolean")
+    def chosen(hashes: pa.Array) -> pa.Array:
+        slots = hashes.to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - SLOT_BITS)
+        bits = sent.value[(slots >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (slots & np.uint64(7)).astype(np.uint8))
+        return pa.array((bits & 1).astype(bool))
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = np.unpackbits(sent.value), set()
+        seen = set()
         for batch in batches:
-            nodes, values = [], []
+            found, values = [], []
             for t in batch.column(0):
                 shingles = shingle_set(t.as_py())
                 node = node_of(shingles)
-                if node not in seen and bits[(node & 0xFFFFFFFFFFFFFFFF) >> (64 - SLOT_BITS)]:
+                if node not in seen:
                     seen.add(node)
-                    nodes.append(node)
+                    found.append(node)
                     values.append(shingles.tobytes())
-            yield pa.record_batch({"node": pa.array(nodes, pa.int64()), "values": pa.array(values, pa.binary())})
+            yield pa.record_batch({"node": pa.array(found, pa.int64()), "values": pa.array(values, pa.binary())})
         trim()
 
     @F.arrow_udf("boolean")
@@ -474,14 +494,21 @@ def verified(texts: DataFrame, pairs: DataFrame, similar: float) -> DataFrame:
             out.append(both >= similar * (len(one) + len(two) - both) - 1e-9)
         return pa.array(out, pa.bool_())
 
-    known = cut(texts.mapInArrow(sets, "node long, values binary").dropDuplicates(["node"]))
+    some = texts.where(chosen.asNondeterministic()(F.col("_th"))).select("_text")
+    known = some.mapInArrow(sets, "node long, values binary").dropDuplicates(["node"]).join(nodes, "node", "left_semi")
+    known = cut(known)
     first, second = known.toDF("_a", "_x"), known.toDF("_b", "_y")
     held = pairs.join(first, F.col("a") == F.col("_a")).join(second, F.col("b") == F.col("_b"))
     return cut(held.where(alike.asNondeterministic()(F.col("_x"), F.col("_y"))).select("a", "b"))
 
 
-def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", similar: float = 0.8, radius: int = 7, bucket_limit: int = 8192) -> DataFrame:
-    """One row per document: id and ``component_id`` (smallest id reachable) over pairs at least ``similar`` in five-word shingles."""
+def text_hash(text: str) -> Column:
+    """A null text counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def _similar_nodes(docs: DataFrame, id_col: str, text: str, similar: float, radius: int, bucket_limit: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (``_id``, ``th``, ``self``: text hash and node of each document) and the roots of linked nodes."""
 
     @F.arrow_udf("fps array<long>, sig binary, self long")
     def prints(texts: pa.Array) -> pa.Array:
@@ -495,23 +522,30 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text: str = "t
         fps = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * 2), pa.array(pairs.view(np.int64).ravel()))
         return pa.StructArray.from_arrays([fps, pa.array(signatures, pa.binary()), pa.array(nodes, pa.int64())], ["fps", "sig", "self"])
 
-    texts = docs.select(F.col(text).alias("_text"))
-    signed = docs.select(F.col(id_col).alias("_id"), prints.asNondeterministic()(F.col(text)).alias("_x")).select("_id", "_x.fps", "_x.sig", "_x.self")
-    signed = cut(signed)
-    groups = cut(signed.groupBy("self").agg(F.min("_id").alias("least"), F.count(F.lit(1)).alias("n")))
+    texts = docs.select(F.col(text).alias("_text"), text_hash(text).alias("_th"))
+    signed = docs.select(F.col(id_col).alias("_id"), text_hash(text).alias("th"), prints.asNondeterministic()(F.col(text)).alias("_x"))
+    signed = cut(signed.select("_id", "th", "_x.fps", "_x.sig", "_x.self"))
+    keys = cut(signed.groupBy("self").agg(F.min("th").alias("th")))
     asked = signed.groupBy("sig", "fps").agg(F.count(F.lit(1))).select(F.explode("fps").alias("fp"), "sig")
     links = near_links(asked, radius, bucket_limit, signature_limit(similar)).where("a <> b").distinct()
     # signatures only propose: their nodes are compared, and so are nodes of one signature
     heads = cut(signed.groupBy("sig").agg(F.min("self").alias("head")))
     named = links.join(heads.toDF("a", "_x"), "a").join(heads.toDF("b", "_y"), "b").select(F.col("_x").alias("a"), F.col("_y").alias("b"))
     twins = signed.select("sig", "self").distinct().join(heads, "sig").where("self <> head").select(F.col("head").alias("a"), F.col("self").alias("b"))
-    sure = verified(texts, cut(named.union(twins).distinct()), similar)
+    sure = verified(texts, keys, cut(named.union(twins).distinct()), similar)
     roots = connected_components(sure, "a", "b")
     # what the fingerprints do not propose: pairs that share a shingle of those that cannot all differ
     common = common_shingles(texts, signed.count())
-    more = verified(texts, cut(shared_pairs(texts, roots, common, similar)), similar)
-    roots = connected_components(sure.union(more), "a", "b")
-    return _labelled(signed.select("_id", "self"), groups, roots, id_col).drop("self")
+    more = verified(texts, keys, cut(shared_pairs(texts, roots, common, similar)), similar)
+    roots = cut(connected_components(sure.union(more), "a", "b"))
+    return signed.select("_id", "th", "self"), roots
+
+
+def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", similar: float = 0.8, radius: int = 7, bucket_limit: int = 8192) -> DataFrame:
+    """One row per document: id and ``component_id`` (smallest id reachable) over pairs at least ``similar`` in five-word shingles."""
+    signed, roots = _similar_nodes(docs, id_col, text, similar, radius, bucket_limit)
+    groups = signed.groupBy("self").agg(F.min("_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    return _labelled(signed.select("_id", "self"), cut(groups), roots, id_col).drop("self")
 
 
 def _labelled(signed: DataFrame, groups: DataFrame, roots: DataFrame, id_col: str) -> DataFrame:
@@ -537,13 +571,22 @@ def near_duplicates(
     return _labelled(signed.withColumnRenamed("fp", "self"), groups, roots, id_col).withColumnRenamed("self", "fp")
 
 
-def keep_representatives(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The document with the smallest id of each component of similar documents; of repeated rows with that id, one."""
-    found = similar_documents(docs, id_col=id_col, **options).toDF("_found", "_component")
-    chosen = found.where(F.col("_found").eqNullSafe(F.col("_component"))).groupBy("_found").agg(F.count(F.lit(1)).alias("_rows"))
-    chosen = cut(chosen)
+def keep_representatives(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", similar: float = 0.8, radius: int = 7, bucket_limit: int = 8192) -> DataFrame:
+    """One row of each component of similar documents: that with the smallest id (null last), then the smallest text hash.
+
+    Rows are told apart by id and text: rows that share an id, or have none, but differ in text are different documents.
+    """
+    signed, roots = _similar_nodes(docs, id_col, text, similar, radius, bucket_limit)
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), "th")).alias("first")
+    per_node = signed.groupBy("self").agg(first)
+    per_root = per_node.join(roots, F.col("self") == F.col("node"), "left").groupBy(F.coalesce("root", "self").alias("root")).agg(F.min("first").alias("first"))
+    chosen = per_root.select(F.col("first.id").alias("_found"), F.col("first.th").alias("_hash"))
+    # rows equal in id and text are one document
+    rows = signed.groupBy(F.col("_id").alias("_ri"), F.col("th").alias("_rh")).agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1")
+    chosen = cut(chosen.join(rows, F.col("_found").eqNullSafe(F.col("_ri")) & (F.col("_hash") == F.col("_rh")), "left").select("_found", "_hash", F.coalesce("_rows", F.lit(1)).alias("_rows")))
     own, names = guarded(docs)
-    same = F.col(names[id_col]).eqNullSafe(F.col("_found"))
+    own = own.withColumn("_own_hash", text_hash(names[text]))
+    same = F.col(names[id_col]).eqNullSafe(F.col("_found")) & (F.col("_own_hash") == F.col("_hash"))
     once = own.join(chosen.where("_rows = 1"), same, "left_semi")
-    repeated = own.join(chosen.where("_rows > 1"), same, "left_semi")
-    return once.unionByName(repeated.dropDuplicates([names[id_col]])).toDF(*docs.columns)
+    repeated = own.join(chosen.where("_rows > 1"), same, "left_semi").dropDuplicates([names[id_col], "_own_hash"])
+    return once.unionByName(repeated).select(*names.values()).toDF(*docs.columns)
