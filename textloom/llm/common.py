@@ -30,6 +30,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Texts sent to a Python worker at once; Spark's own 10,000 are no bound where texts may be long.
+BATCH_ROWS, DEFAULT_BATCH_ROWS = "1000", "10000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Send texts to Python workers in small batches, unless the session has a size of its own (it holds for the session)."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == DEFAULT_BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def trim() -> None:
     """Give freed memory of a Python worker back: workers are reused, and what one stage held would count in the next."""
     pa.default_memory_pool().release_unused()
@@ -98,14 +109,16 @@ def running_totals(
     return out.drop(pid, part, rows_to, sum_to, *[f"{prefix}of_{g}" for g in group])
 
 
-#: Parts over which the rows of one node are dealt in the joins of connected components.
-SALTS = 16
+#: Edges of one node from which its rows are dealt to several tasks in the joins of connected components, and to how many.
+HOT_DEGREE, SALTS = 2048, 8
 
 
-def salted_join(rows: DataFrame, key: str, other: str, table: DataFrame, table_key: str) -> DataFrame:
-    """Inner join of ``rows`` to ``table`` (one row per key) with the rows of a key dealt to ``SALTS`` parts by ``other``."""
-    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int"))
-    copied = table.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+def salted_join(rows: DataFrame, key: str, other: str, table: DataFrame, table_key: str, salts: int) -> DataFrame:
+    """Inner join of ``rows`` to ``table`` (one row per key) with the rows of a key dealt to ``salts`` parts by ``other``."""
+    if salts < 2:
+        return rows.join(table, F.col(key) == F.col(table_key))
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(other), F.lit(salts)).cast("int"))
+    copied = table.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return dealt.join(copied, (F.col(key) == F.col(table_key)) & (F.col("_salt") == F.col("_copy"))).drop("_salt", "_copy")
 
 
@@ -113,8 +126,9 @@ def connected_components(edges: DataFrame, a: str, b: str, *, max_rounds: int =
     """Component of every node that has an edge: ``node``, ``root`` (the smallest node reachable).
 
     Alternates the large-star and small-star rewirings, each a grouped minimum and one join back, until
-    the edge set no longer changes. The joins deal the edges of one node, as of the centre of a large
-    star, to several tasks. Edges stay distributed; only a count and a checksum reach the driver.
+    the edge set no longer changes. While a node has many edges, as the centre of a large star has, the joins
+    deal the edges of each node to several tasks. Edges stay distributed; only a count, a checksum and the
+    greatest number of edges of a node reach the driver.
     """
     big, small = F.greatest("u", "v"), F.least("u", "v")
     now = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
@@ -122,11 +136,13 @@ def connected_components(edges: DataFrame, a: str, b: str, *, max_rounds: int =
     seen: tuple | None = None
     for _ in range(max_rounds):
         both = now.union(now.select("v", "u"))
+        degree = both.groupBy("u").count().agg(F.max("count")).first()[0] or 0
+        salts = SALTS if degree > HOT_DEGREE else 1
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-        large = salted_join(both.where("v > u"), "u", "v", least, "c").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = salted_join(both.where("v > u"), "u", "v", least, "c", salts).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         floor = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "c")
-        wired = salted_join(large, "u", "v", floor, "c")
+        wired = salted_join(large, "u", "v", floor, "c", salts)
         now = wired.select(F.col("v").alias("u"), F.col("m").alias("v")).union(wired.select("u", F.col("m").alias("v")))
         now = cut(now.where("u <> v").distinct())
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

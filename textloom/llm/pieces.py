@@ -350,6 +350,7 @@ def lattice_stream(batches: Iterator[pa.RecordBatch], table: PieceTable, text: s
             at = end
         trim()
     number.clear()
+    piece_table.cache_clear()  # the worker goes on to other stages
     trim()
 
 
@@ -424,6 +425,7 @@ def assemble_stream(batches: Iterator[pa.RecordBatch], table: PieceTable, out_sc
                     if check:
                         made[check] = restored(table, flat[0][where], bound, rows.column("_sp_sum"))
                     yield pa.RecordBatch.from_arrays([made[f.name].cast(f.type) for f in out_schema], schema=out_schema)
+    piece_table.cache_clear()
     trim()
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import SPACE_CLASS, trim
+from textloom.llm.common import SPACE_CLASS, small_batches, trim
 
 SYMBOLS = b"#*$%&|<>"
 LOWER, UPPER, DIGIT, SPACE, STOP, SYMBOL, OTHER, HIGH = range(8)
@@ -111,6 +111,7 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 def references(docs: DataFrame, *, text: str = "text", lang: str = "lang", common: int = 48) -> dict:
     """Per language: the common words, their counts with the rest last, and the character classes; whole corpus."""
+    small_batches(docs.sparkSession)
     known = docs.where(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("l"), F.col(text).alias("t"))
     words = known.select("l", F.explode(F.split(F.lower("t"), SPACE_CLASS)).alias("w")).where("w <> ''")
     counts = words.groupBy("l", "w").count()
@@ -172,6 +173,7 @@ def with_quality(
     share_limit: float = 0.10, class_words: int = 50, word_words: int = 50, share_words: int = 50,
 ) -> DataFrame:
     """Add the struct ``out``: base counts, ``class_distance``, ``word_distance``, ``share_distance``, ``base_failed``, ``kept``."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(refs)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     distances = ["class_distance", "word_distance", "share_distance"]

@@ -23,9 +23,13 @@ then made of single words of some length, which edits hardly move, twice with in
 radius, and a 512-bit SimHash of five-word shingles sorts out most of what is far off. A pair is linked only if the
 Jaccard similarity of its five-word shingle sets (64-bit values) is at least ``similar``, counted exactly.
 
-Fingerprints miss pairs with a replaced, appended or missing passage, so an exact path covers the rest: of sets in
-one common order, rare shingles first, two that are similar share one of the first ``n - ceil(similar n) + 1``. Documents
-meet by those, pairs linked already or ruled out by size and place go, and the others are compared in full.
+Fingerprints miss pairs with a replaced, appended or missing passage, so a second path covers the rest. Bands of three
+min-hashes propose each band's most popular document to its others, which settles large groups without pairs of all. Then an
+exact search: of sets in one common order, rare shingles first, two that are similar share one of the first
+``n - ceil(similar n) + 1``. Documents meet by those; pairs linked already go, so do those whose sizes and places rule it
+out, and those whose sketches of 128 bits differ by five standard errors more than similar sets' do (about three similar pairs
+in ten million, for which alone, and for equal hashes, the search is not complete); the others are compared in full.
+A pair that shares one of its first four shingles is proposed once, by that.
 
 Null and empty texts have no word and the fingerprint zero, which links like any other (without a word, texts are
 similar to each other only). Texts of any length are read whole, one at a time. Ties cannot occur: a component's id is
@@ -46,7 +50,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import connected_components, cut, guarded, shuffle_width, trim
+from textloom.llm.common import connected_components, cut, guarded, shuffle_width, small_batches, trim
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 BLOCK = 1 << 15
@@ -324,7 +328,7 @@ def near_links(fps: DataFrame, radius: int = 2, bucket_limit: int = 8192, sig_li
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 #: To learn which shingles are common: documents read (one in THIN of them, if that is more), the count from which one is, how many are kept.
 SAMPLE, THIN, COMMON, COMMON_KEPT = 20_000, 32, 4, 200_000
-SLOT_BITS = 22
+SLOT_BITS, DROP_BITS = 22, 24
 
 
 def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
@@ -341,6 +345,42 @@ def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
     return np.unique(mixed)
 
 
+#: Min-hashes of a shingle set: so many, from odd multipliers and masks drawn once; bands of ROWS of the first BANDS * ROWS.
+HASHES, BANDS, ROWS = 128, 8, 3
+SKETCH = [f"sk{k}" for k in range(HASHES // 64)]
+_draw = np.random.default_rng(5).integers(0, 1 << 63, (2, HASHES), np.uint64)
+FACTORS, FLIPS = _draw[0] << np.uint64(1) | np.uint64(1), _draw[1]
+#: Differing bits of two sketches, at most, of a pair that is ``similar``: the mean and this many standard errors.
+ERRORS = 5
+
+
+def min_hashes(shingles: np.ndarray) -> np.ndarray:
+    out = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), 2048):
+        out = np.minimum(out, ((shingles[at : at + 2048, None] ^ FLIPS) * FACTORS).min(0))
+    return out
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """One bit of each min-hash, in two words; bits differ with half the probability that the sets differ there."""
+    return np.packbits((hashes >> np.uint64(23) & np.uint64(1)).astype(np.uint8)).view(np.uint64)
+
+
+def sketch_limit(similar: float) -> int:
+    share = (1 - similar) / 2
+    return int(HASHES * share + ERRORS * np.sqrt(HASHES * share * (1 - share)))
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """Keys that similar sets share often: each of a few min-hashes."""
+    few = hashes[: BANDS * ROWS].reshape(BANDS, ROWS)
+    mixed = np.arange(BANDS, dtype=np.uint64)
+    for k in range(ROWS):
+        mixed = (mixed ^ few[:, k]) * PLACES[k]
+        mixed ^= mixed >> np.uint64(29)
+    return mixed
+
+
 def node_of(shingles: np.ndarray) -> int:
     """The signed 64-bit value that stands for a shingle set."""
     return _signed(xxhash.xxh3_64_intdigest(shingles.tobytes()))
@@ -379,7 +419,8 @@ def common_shingles(texts: DataFrame, documents: int) -> np.ndarray:
 
 
 def bucket_pairs(batches: Iterator[pa.RecordBatch], similar: float) -> Iterator[pa.RecordBatch]:
-    """Rows (v, node, root, place, n) sorted by v to pairs of one v in different roots whose sizes and places allow the similarity."""
+    """Rows (v, node, root, place and n in one, the first four v, two sketch words) sorted by v to pairs of one v in different roots whose sizes, places and sketches allow the similarity."""
+    limit = sketch_limit(similar)
 
     def pairs(v: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         edge = np.flatnonzero(v[1:] != v[:-1]) + 1
@@ -387,7 +428,10 @@ def bucket_pairs(batches: Iterator[pa.RecordBatch], similar: float) -> Iterator[
         length = np.diff(np.concatenate((start, [len(v)])))
         reach = np.repeat(start + length, length)  # the end of each row's bucket
         most = int(length.max())
-        node, root, place, n = rows
+        node, root, pack = rows[:3]
+        early = [x for two in rows[3:5] for x in (two >> 32 & 0xFFFFFFFF, two & 0xFFFFFFFF)]
+        place, n = pack >> 32, pack & 0xFFFFFFFF
+        words = rows[5:].view(np.uint64)  # bits of a negative number would be those of its absolute value
         left, right, held = [], [], 0
         at = np.arange(len(v))
         for gap in range(1, most):
@@ -396,7 +440,19 @@ def bucket_pairs(batches: Iterator[pa.RecordBatch], similar: float) -> Iterator[
                 break
             i, j = at, at + gap
             room = 1 + np.minimum(n[i] - place[i] - 1, n[j] - place[j] - 1)
-            ok = (root[i] != root[j]) & (room * (1 + similar) >= similar * (n[i] + n[j]) - 1e-6)
+            size = n[i] + n[j]
+            ok = (root[i] != root[j]) & (room * (1 + similar) >= similar * size - 1e-6)
+            # what comes before the first shingle that two sets share is in one of them only, which leaves little room
+            ok &= (place[i] + place[j]) * (1 + similar) <= (1 - similar) * size + 1e-6
+            i, j = i[ok], j[ok]
+            # a pair that shares one of its first four shingles is proposed by the first such alone
+            here, ok, decided = v[i] & 0xFFFFFFFF, np.ones(len(i), bool), np.zeros(len(i), bool)
+            for mine in early:
+                shared = ~decided & np.logical_or.reduce([mine[i] == theirs[j] for theirs in early])
+                ok[shared] = (here == mine[i])[shared]
+                decided |= shared
+            i, j = i[ok], j[ok]
+            ok = sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in words) <= limit
             left.append(node[i[ok]])
             right.append(node[j[ok]])
             held += int(ok.sum())
@@ -410,11 +466,10 @@ def bucket_pairs(batches: Iterator[pa.RecordBatch], similar: float) -> Iterator[
         both = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), 1), axis=0)
         return pa.record_batch({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])})
 
-    names = ("node", "root", "place", "n")
-    held_v, held = np.zeros(0, np.int64), np.zeros((4, 0), np.int64)
+    held_v, held = np.zeros(0, np.int64), np.zeros((7, 0), np.int64)
     for batch in batches:
         held_v = np.concatenate((held_v, np.asarray(batch.column("v"))))
-        held = np.concatenate((held, np.stack([np.asarray(batch.column(k)) for k in names])), axis=1)
+        held = np.concatenate((held, np.stack([np.asarray(batch.column(k)) for k in ("node", "root", "pack", "early", "next", *SKETCH)])), axis=1)
         ends = np.flatnonzero(held_v[1:] != held_v[:-1])
         if len(ends):
             done = ends[-1] + 1
@@ -425,32 +480,36 @@ def bucket_pairs(batches: Iterator[pa.RecordBatch], similar: float) -> Iterator[
     trim()
 
 
-def shared_pairs(texts: DataFrame, roots: DataFrame, common: np.ndarray, similar: float) -> DataFrame:
-    """Distinct pairs ``a``, ``b`` of nodes that may be ``similar`` and have no root in common yet; misses none."""
-    spark = texts.sparkSession
-    sent = spark.sparkContext.broadcast(common)
+def shared_pairs(nodes: DataFrame, roots: DataFrame, similar: float) -> DataFrame:
+    """Distinct pairs ``a``, ``b`` of nodes (``node``, ``n``, ``vs``) that may be ``similar`` and have no root in common yet; misses none."""
+    rows = nodes.join(roots.select(F.col("node").alias("_node"), F.col("root")), F.col("node") == F.col("_node"), "left")
+    # the first four shingles, 32 bits of each; a shorter list names its first again
+    part = lambda k: F.coalesce(F.get("vs", F.lit(k)), F.col("vs")[0]).bitwiseAND(F.lit(0xFFFFFFFF))
+    two = lambda k: F.shiftleft(part(k), 32).bitwiseOR(part(k + 1))
+    rows = rows.select("node", F.coalesce("root", "node").alias("root"), "n", "sk", two(0).alias("early"), two(2).alias("next"), F.posexplode("vs").alias("place", "v"))
+    pack = F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(F.col("n"))
+    rows = rows.select("v", "node", "root", pack.alias("pack"), "early", "next", *[F.col("sk")[k].alias(c) for k, c in enumerate(SKETCH)])
+    rows = rows.repartition(shuffle_width(nodes.sparkSession), "v").sortWithinPartitions("v")
+    return rows.mapInArrow(lambda batches: bucket_pairs(batches, similar), "a long, b long").distinct()
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # copies in one task count once
-        for batch in batches:
-            nodes, sizes, values = [], [], []
-            for t in batch.column(0):
-                shingles = shingle_set(t.as_py())
-                node = node_of(shingles)
-                if len(shingles) and node not in seen:
-                    seen.add(node)
-                    nodes.append(node)
-                    sizes.append(len(shingles))
-                    values.append(rare_first(shingles, sent.value, similar).view(np.int64))
-            yield pa.record_batch({"node": pa.array(nodes, pa.int64()), "n": pa.array(sizes, pa.int64()), "vs": pa.array(values, pa.list_(pa.int64()))})
-        trim()
 
-    rows = texts.mapInArrow(prefixes, "node long, n long, vs array<long>").dropDuplicates(["node"])
-    rows = rows.join(roots.select(F.col("node").alias("_node"), F.col("root")), F.col("node") == F.col("_node"), "left")
-    rows = rows.select("node", F.coalesce("root", "node").alias("root"), "n", F.posexplode("vs").alias("place", "v"))
-    rows = rows.repartition(shuffle_width(spark), "v").sortWithinPartitions("v")
-    rows = rows.select("v", "node", "root", F.col("place").cast("long").alias("place"), "n")
-    return rows.mapInArrow(lambda batches: bucket_pairs(batches, similar), "a long, b long").distinct()
+def band_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs of each band's most popular node, that with the fullest bands, and each other node of the band.
+
+    Of texts copied from one with edits of their own, that one is alike to all, and the others are less so to each other.
+    """
+    rows = nodes.select(F.explode("bands").alias("band"), "node")
+    sizes = rows.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1").withColumnRenamed("band", "_band")
+    rows = cut(rows.join(sizes, F.col("band") == F.col("_band")).select("band", "node", "size"))
+    popular = rows.groupBy(F.col("node").alias("_node")).agg(F.sum("size").alias("weight"))
+    heads = rows.join(popular, F.col("node") == F.col("_node")).groupBy(F.col("band").alias("_band")).agg(F.max(F.struct("weight", "node"))["node"].alias("head"))
+    return rows.join(heads, F.col("band") == F.col("_band")).where("head <> node").select(F.col("head").alias("a"), F.col("node").alias("b"))
+
+
+def slot_words(keys: DataFrame, key: str, bits: int) -> DataFrame:
+    """A table of at most 2**(bits - 6) rows ``word``, ``held``: the 64-bit words of a bitmap of the keys' first bits."""
+    slot = F.shiftrightunsigned(key, 64 - bits)
+    return keys.select(F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned({key}, {64 - bits}) & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("held"))
 
 
 def verified(texts: DataFrame, keys: DataFrame, pairs: DataFrame, similar: float) -> DataFrame:
@@ -460,23 +519,18 @@ def verified(texts: DataFrame, keys: DataFrame, pairs: DataFrame, similar: float
     """
     # texts of no pair are not read into sets, up to those that share a slot with one that is
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    asked = nodes.join(keys, F.col("node") == F.col("self")).select(F.shiftrightunsigned("th", 64 - SLOT_BITS).alias("s")).distinct().toArrow()
-    wanted = np.zeros(1 << SLOT_BITS, bool)
-    wanted[asked.column("s").to_numpy()] = True
-    sent = texts.sparkSession.sparkContext.broadcast(np.packbits(wanted))
-
-    @F.arrow_udf("boolean")
-    def chosen(hashes: pa.Array) -> pa.Array:
-        slots = hashes.to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - SLOT_BITS)
-        bits = sent.value[(slots >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (slots & np.uint64(7)).astype(np.uint8))
-        return pa.array((bits & 1).astype(bool))
+    asked = slot_words(nodes.join(keys, F.col("node") == F.col("self")), "th", SLOT_BITS).toArrow()
+    wanted = np.zeros(1 << SLOT_BITS - 6, np.uint64)
+    wanted[asked.column("word").to_numpy()] = asked.column("held").to_numpy().view(np.uint64)
+    sent = texts.sparkSession.sparkContext.broadcast(wanted)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
+        bits, seen = np.unpackbits(sent.value.view(np.uint8), bitorder="little").astype(bool), set()
         for batch in batches:
-            found, values = [], []
-            for t in batch.column(0):
-                shingles = shingle_set(t.as_py())
+            slots = batch.column("_th").to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - SLOT_BITS)
+            texts_here, found, values = batch.column("_text"), [], []
+            for k in np.flatnonzero(bits[slots.astype(np.int64)]).tolist():
+                shingles = shingle_set(texts_here[k].as_py())
                 node = node_of(shingles)
                 if node not in seen:
                     seen.add(node)
@@ -494,8 +548,7 @@ def verified(texts: DataFrame, keys: DataFrame, pairs: DataFrame, similar: float
             out.append(both >= similar * (len(one) + len(two) - both) - 1e-9)
         return pa.array(out, pa.bool_())
 
-    some = texts.where(chosen.asNondeterministic()(F.col("_th"))).select("_text")
-    known = some.mapInArrow(sets, "node long, values binary").dropDuplicates(["node"]).join(nodes, "node", "left_semi")
+    known = texts.mapInArrow(sets, "node long, values binary").dropDuplicates(["node"]).join(nodes, "node", "left_semi")
     known = cut(known)
     first, second = known.toDF("_a", "_x"), known.toDF("_b", "_y")
     held = pairs.join(first, F.col("a") == F.col("_a")).join(second, F.col("b") == F.col("_b"))
@@ -510,21 +563,31 @@ def text_hash(text: str) -> Column:
 def _similar_nodes(docs: DataFrame, id_col: str, text: str, similar: float, radius: int, bucket_limit: int) -> tuple[DataFrame, DataFrame]:
     """Rows (``_id``, ``th``, ``self``: text hash and node of each document) and the roots of linked nodes."""
 
-    @F.arrow_udf("fps array<long>, sig binary, self long")
+    small_batches(docs.sparkSession)
+    texts = docs.select(F.col(text).alias("_text"), text_hash(text).alias("_th"))
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(texts, docs.count()))  # at most COMMON_KEPT
+
+    @F.arrow_udf("fps array<long>, sig binary, self long, n long, vs array<long>, sk array<long>, bands array<long>")
     def prints(texts: pa.Array) -> pa.Array:
-        pairs, signatures, nodes = np.zeros((len(texts), 2), np.uint64), [], []
+        pairs, sketches, keys = (np.zeros((len(texts), k), np.uint64) for k in (2, len(SKETCH), BANDS))
+        signatures, nodes, sizes, values = [], [], [], []
         for i, t in enumerate(texts):
             value = t.as_py()
             pairs[i] = content_fingerprints(value)
             signatures.append(signature(value))
-            nodes.append(node_of(shingle_set(value)))
+            shingles = shingle_set(value)
+            nodes.append(node_of(shingles))
+            sizes.append(len(shingles))
+            values.append(rare_first(shingles, common.value, similar).view(np.int64))
+            hashes = min_hashes(shingles)
+            sketches[i], keys[i] = sketch(hashes), bands(hashes)
         trim()
-        fps = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * 2), pa.array(pairs.view(np.int64).ravel()))
-        return pa.StructArray.from_arrays([fps, pa.array(signatures, pa.binary()), pa.array(nodes, pa.int64())], ["fps", "sig", "self"])
+        fps, sk, banded = (pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.view(np.int64).ravel())) for x in (pairs, sketches, keys))
+        columns = [fps, pa.array(signatures, pa.binary()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(values, pa.list_(pa.int64())), sk, banded]
+        return pa.StructArray.from_arrays(columns, ["fps", "sig", "self", "n", "vs", "sk", "bands"])
 
-    texts = docs.select(F.col(text).alias("_text"), text_hash(text).alias("_th"))
     signed = docs.select(F.col(id_col).alias("_id"), text_hash(text).alias("th"), prints.asNondeterministic()(F.col(text)).alias("_x"))
-    signed = cut(signed.select("_id", "th", "_x.fps", "_x.sig", "_x.self"))
+    signed = cut(signed.select("_id", "th", "_x.*"))
     keys = cut(signed.groupBy("self").agg(F.min("th").alias("th")))
     asked = signed.groupBy("sig", "fps").agg(F.count(F.lit(1))).select(F.explode("fps").alias("fp"), "sig")
     links = near_links(asked, radius, bucket_limit, signature_limit(similar)).where("a <> b").distinct()
@@ -532,11 +595,12 @@ def _similar_nodes(docs: DataFrame, id_col: str, text: str, similar: float, radi
     heads = cut(signed.groupBy("sig").agg(F.min("self").alias("head")))
     named = links.join(heads.toDF("a", "_x"), "a").join(heads.toDF("b", "_y"), "b").select(F.col("_x").alias("a"), F.col("_y").alias("b"))
     twins = signed.select("sig", "self").distinct().join(heads, "sig").where("self <> head").select(F.col("head").alias("a"), F.col("self").alias("b"))
-    sure = verified(texts, keys, cut(named.union(twins).distinct()), similar)
+    nodes = signed.where("n > 0").select(F.col("self").alias("node"), "n", "vs", "sk", "bands").dropDuplicates(["node"])
+    nodes = cut(nodes)
+    sure = verified(texts, keys, cut(named.union(twins).union(band_pairs(nodes)).distinct()), similar)
     roots = connected_components(sure, "a", "b")
     # what the fingerprints do not propose: pairs that share a shingle of those that cannot all differ
-    common = common_shingles(texts, signed.count())
-    more = verified(texts, keys, cut(shared_pairs(texts, roots, common, similar)), similar)
+    more = verified(texts, keys, cut(shared_pairs(nodes, roots, similar)), similar)
     roots = cut(connected_components(sure.union(more), "a", "b"))
     return signed.select("_id", "th", "self"), roots
 
@@ -564,6 +628,7 @@ def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", width: int = 3, radius: int = 2, bucket_limit: int = 8192
 ) -> DataFrame:
     """One row per document: id, ``fp`` (signed fingerprint), ``component_id`` (smallest id reachable)."""
+    small_batches(docs.sparkSession)
     signed = cut(with_fingerprint(docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")), "_text", "fp", width).select("_id", "fp"))
     fps = cut(signed.groupBy("fp").agg(F.min("_id").alias("least"), F.count(F.lit(1)).alias("n")))
     roots = connected_components(near_links(fps.select("fp"), radius, bucket_limit), "a", "b")
@@ -585,8 +650,17 @@ def keep_representatives(docs: DataFrame, *, id_col: str = "doc_id", text: str =
     rows = signed.groupBy(F.col("_id").alias("_ri"), F.col("th").alias("_rh")).agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1")
     chosen = cut(chosen.join(rows, F.col("_found").eqNullSafe(F.col("_ri")) & (F.col("_hash") == F.col("_rh")), "left").select("_found", "_hash", F.coalesce("_rows", F.lit(1)).alias("_rows")))
     own, names = guarded(docs)
-    own = own.withColumn("_own_hash", text_hash(names[text]))
+    own = own.withColumn("_own_hash", text_hash(names[text])).withColumn("_slot", F.xxhash64(names[id_col], "_own_hash"))
     same = F.col(names[id_col]).eqNullSafe(F.col("_found")) & (F.col("_own_hash") == F.col("_hash"))
-    once = own.join(chosen.where("_rows = 1"), same, "left_semi")
-    repeated = own.join(chosen.where("_rows > 1"), same, "left_semi").dropDuplicates([names[id_col], "_own_hash"])
-    return once.unionByName(repeated).select(*names.values()).toDF(*docs.columns)
+    # texts that share no slot with one that goes stay as they are; the others are looked up, and of equal rows one is kept
+    gone = signed.select("_id", "th").join(chosen.where("_rows = 1"), F.col("_id").eqNullSafe(F.col("_found")) & (F.col("th") == F.col("_hash")), "left_anti")
+    words = slot_words(gone.select(F.xxhash64("_id", "th").alias("slot")), "slot", DROP_BITS)
+    own = own.join(F.broadcast(words), F.shiftrightunsigned("_slot", 64 - DROP_BITS + 6) == F.col("word"), "left")  # at most 2**(DROP_BITS - 6) rows
+    bit = F.expr(f"shiftright(held, cast(shiftrightunsigned(_slot, {64 - DROP_BITS}) & 63 as int)) & 1") == 1
+    doubtful = F.col("held").isNotNull() & bit
+    once = own.where(~doubtful)
+    looked = own.where(doubtful)
+    # inner joins (a row is chosen once): a semi-join would be moved in front of the look-up of the slots
+    single = looked.join(chosen.where("_rows = 1"), same).select(*own.columns)
+    repeated = looked.join(chosen.where("_rows > 1"), same).select(*own.columns).dropDuplicates([names[id_col], "_own_hash"])
+    return once.unionByName(single).unionByName(repeated).select(*names.values()).toDF(*docs.columns)
