@@ -88,10 +88,8 @@ def limit_vocabulary(counts: DataFrame, vocabulary: DataFrame, order: int) -> Da
     """N-grams all of whose words are in the vocabulary (column ``w``)."""
     known = vocabulary.select(F.col("w").alias("_v")).union(vocabulary.sparkSession.createDataFrame([(BOS,), (EOS,)], "_v string")).distinct()
     out = counts.withColumn("_all", F.split(gram(F.col("ctx"), F.col("w")), " "))
-    for k in range(order):
-        part = out.where(F.size("_all") > k)
-        rest = out.where(F.size("_all") <= k)
-        out = part.join(known, F.col("_all")[k] == F.col("_v"), "left_semi").unionByName(rest)
+    for k in range(order):  # the counts are read once; places beyond an n-gram's end ask for a word that is always known
+        out = out.join(known, F.coalesce(F.get("_all", F.lit(k)), F.lit(BOS)) == F.col("_v"), "left_semi")
     return out.drop("_all")
 
 

@@ -110,8 +110,9 @@ def train(counts: DataFrame, order: int, method: str | Sequence[str] = "gt", *,
     """Estimate with one method for all orders, or one per order; parameters come from the counts."""
     names = [method] * order if isinstance(method, str) else list(method)
     if any(m in ("kn", "mkn") for m in names):
-        counts = cut(kn_counts(counts, order)) if persist else kn_counts(counts, order)
-        counts = counts.where("cnt > 0")
+        counts = kn_counts(cut(counts) if persist else counts, order).where("cnt > 0")
+    if persist:
+        counts = cut(counts)  # parameters, vocabulary and every order read them again
     lows = min_counts or {}
     methods = {n: fit(names[n - 1], counts, n, interpolate=interpolate, min_count=lows.get(n), delta=delta) for n in range(1, order + 1)}
     return estimate(counts, order, methods, persist=persist)

@@ -69,9 +69,11 @@ s AS (SELECT lang, e.w, n, CASE WHEN b.p IS NOT NULL THEN b.p ELSE u.p * coalesc
 SELECT lang, CAST(sum(n) FILTER (WHERE w = '</s>') AS BIGINT) AS sentences, CAST(sum(n) FILTER (WHERE w <> '</s>') AS BIGINT) AS words,
   round(sum(n * log10(p)), 3) AS logprob, round(pow(10.0, -sum(n * log10(p)) / sum(n)), 4) AS ppl FROM s GROUP BY lang""")
 def q_flagship(spark, d):
-    sents = docs(spark, d)
-    ev = R.events_of(sents, 2, ["lang"]).groupBy("lang", "ctx", "w").agg(F.count(F.lit(1)).alias("n"))
-    scored = R.lookup(ev, wb_model(spark, d))
+    # counts by language are the events, and their sums the counts of the model: the text is read once
+    by_lang = cut(C.count_ngrams(docs(spark, d), 2, by=["lang"]))
+    model = E.train(by_lang.groupBy("ord", "ctx", "w").agg(F.sum("cnt").alias("cnt")), 2, "wb")
+    ev = by_lang.where("ord = 2").select("lang", "ctx", "w", F.col("cnt").alias("n"))
+    scored = R.lookup(ev, model)
     stats = R.perplexities(R.text_stats(scored, ["lang"], weight=F.col("n")))
     return stats.select("lang", F.col("sentences").cast("long").alias("sentences"), F.col("words").cast("long").alias("words"), F.round("logprob", 3).alias("logprob"), F.round("ppl", 4).alias("ppl"))
 

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the session's shared checkpoint folder (a temporary one only where none is named) and forget the lineage."""
+    """Materialise in the session's shared checkpoint folder (one of this machine only where all of Spark runs in one process) and forget the lineage."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="textloom-"))
     return df.checkpoint(eager=True)
 
