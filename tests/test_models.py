@@ -86,13 +86,30 @@ def test_probabilities_sum_to_one(text, method, interpolate):
         m = E.train(c, 3, method, interpolate=interpolate, min_counts={1: 1, 2: 1, 3: 1})
     except ValueError:
         pytest.skip("too few counts of counts")
-    words = E.vocabulary_of(c)
     spark = text.sparkSession
     contexts = spark.createDataFrame([("the cat",), ("<s> the",), ("cat sat",), ("on the",), ("",), ("never seen",)], "ctx string")
-    for r in R.prob_sums(contexts, m, words).collect():
+    for r in R.prob_sums(contexts, m).collect():
         assert abs(r["total"] - 1) < 1e-3, (method, r)
 
 
+def test_vocabulary_sums_equal_brute_force(text):
+    """Sums without a grid against every word in every context: two models, powers, weights, orders apart."""
+    spark = text.sparkSession
+    models = [E.train(C.count_ngrams(text, 3), 3, "wb").persist(), E.train(C.count_ngrams(text.where("doc_id % 3 = 0"), 2), 2, "abs").persist()]
+    words = [r["w"] for r in models[0].probs.where("ord = 1").select("w").collect()]
+    contexts = ["", "the", "the cat", "<s> the", "on the", "never seen", "zz"]
+    alpha = {w: 0.5 + len(w) for w in words if "a" in w}
+    weights = spark.createDataFrame(list(alpha.items()), "w string, alpha double")
+    grid = spark.createDataFrame([(c, w) for c in contexts for w in words], "ctx string, w string")
+    scores = [{(r["ctx"], r["w"]): 10 ** r["logp"] for r in R.lookup(grid, m).collect()} for m in models]
+    for powers in ([1.0, 0.0], [0.6, 0.4]):
+        some = models if powers[1] else models[:1]
+        got = {r["ctx"]: r["total"] for r in R.vocabulary_sums(spark.createDataFrame([(c,) for c in contexts], "ctx string"), some, powers[: len(some)], weights).collect()}
+        for c in contexts:
+            want = sum(alpha.get(w, 1.0) * math.prod(s[c, w] ** p for s, p in zip(scores, powers, strict=False) if p) for w in words)
+            assert math.isclose(got[c], want, rel_tol=1e-9), (c, powers)
+
+
 def test_lookup_backs_off(tiny):
     m = E.train(C.count_ngrams(tiny, 2), 2, "wb")
     spark = tiny.sparkSession
@@ -136,8 +153,7 @@ def test_pruning(text):
     costs = sorted(r["change"] for r in prune.entropy_costs(m, 2).collect())
     some = prune.entropy_prune(m, costs[len(costs) // 2])
     assert none.probs.where("ord = 2").count() == all_ > some.probs.where("ord = 2").count()
-    words = m.probs.where("ord = 1 and w <> '<s>'").select("w")
-    for r in R.prob_sums(text.sparkSession.createDataFrame([("the",), ("cat",)], "ctx string"), some, words).collect():
+    for r in R.prob_sums(text.sparkSession.createDataFrame([("the",), ("cat",)], "ctx string"), some).collect():
         assert abs(r["total"] - 1) < 1e-6
 
 
@@ -151,7 +167,7 @@ def test_maxent_conversion_sums_to_one(text):
     c = C.count_ngrams(text, 2)
     words = E.vocabulary_of(c)
     m = em.maxent_to_backoff(em.fit_maxent(c, 2, words, rounds=3), words)
-    for r in R.prob_sums(text.sparkSession.createDataFrame([("the",), ("zz",), ("cat",)], "ctx string"), m, words).collect():
+    for r in R.prob_sums(text.sparkSession.createDataFrame([("the",), ("zz",), ("cat",)], "ctx string"), m).collect():
         assert abs(r["total"] - 1) < 1e-6
 
 

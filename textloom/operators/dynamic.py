@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.sequences import but_last, from_bytelog, shorter, suffix, to_bytelog, to_log
-from textloom.operators.score import ZERO, Model, context_log_prob, lookup
+from textloom.operators.score import ZERO, Model, context_log_prob, lookup, vocabulary_sums
 from textloom.schema import EOS, UNK
 
 TEN = F.lit
@@ -51,21 +51,13 @@ def bayes_mix(events: DataFrame, models: Sequence[Model], priors: Sequence[float
     return scored.withColumn("logp", to_log(F.when(total > 0, mixed).otherwise(plain))).select(*events.columns, "logp")
 
 
-def loglinear_mix(events: DataFrame, models: Sequence[Model], weights: Sequence[float], vocabulary: DataFrame) -> DataFrame:
-    """Product of powers, normalised over the vocabulary in each distinct context.
-
-    The normaliser is a sum over the whole vocabulary for each context asked for: that product of two stated
-    sets is the model's definition.
-    """
-
-    def combined(df: DataFrame) -> DataFrame:
-        s = score_all(df, models)
-        each = [F.lit(float(w)) * to_log(F.col(f"p{k}")) for k, w in enumerate(weights)]
-        return s.withColumn("_log", sum(each[1:], each[0]))
-
-    grid = combined(events.select("ctx").distinct().join(vocabulary.select("w"), how="cross"))
-    norm = grid.groupBy(F.col("ctx").alias("_z")).agg(F.log10(F.sum(power(F.col("_log")))).alias("_norm"))
-    out = combined(events).join(norm, F.col("ctx") == F.col("_z"))
+def loglinear_mix(events: DataFrame, models: Sequence[Model], weights: Sequence[float]) -> DataFrame:
+    """Product of powers, normalised over the whole vocabulary in each distinct context."""
+    s = score_all(events, models)
+    each = [F.lit(float(w)) * to_log(F.col(f"p{k}")) for k, w in enumerate(weights)]
+    s = s.withColumn("_log", sum(each[1:], each[0]))
+    norm = vocabulary_sums(events, models, weights).select(F.col("ctx").alias("_z"), F.log10("total").alias("_norm"))
+    out = s.join(norm, F.col("ctx") == F.col("_z"))
     return out.withColumn("logp", F.col("_log") - F.col("_norm")).select(*events.columns, "logp")
 
 
@@ -96,18 +88,14 @@ def by_state(events: DataFrame, models: dict[str, Model], state: str) -> DataFra
     return out
 
 
-def adapted(events: DataFrame, model: Model, marginals: DataFrame, vocabulary: DataFrame, beta: float = 0.5) -> DataFrame:
-    """Probabilities scaled by (adapted / base unigram)**beta and normalised per context; ``marginals`` has ``w``, ``p_adapt``, ``p_base``."""
+def adapted(events: DataFrame, model: Model, marginals: DataFrame, beta: float = 0.5) -> DataFrame:
+    """Probabilities scaled by (adapted / base unigram)**beta and normalised over the whole vocabulary; ``marginals`` has ``w``, ``p_adapt``, ``p_base``."""
     ratio = F.when((F.col("p_adapt") > 0) & (F.col("p_base") > 0), F.pow(F.col("p_adapt") / F.col("p_base"), beta)).otherwise(1.0)
-    alpha = marginals.select(F.col("w").alias("_aw"), ratio.alias("alpha"))
-
-    def scaled(df: DataFrame) -> DataFrame:
-        s = lookup(df, model)
-        return s.join(alpha, F.col("w") == F.col("_aw"), "left").withColumn("_p", power(F.col("logp")) * F.coalesce("alpha", F.lit(1.0)))
-
-    grid = scaled(events.select("ctx").distinct().join(vocabulary.select("w"), how="cross"))
-    norm = grid.groupBy(F.col("ctx").alias("_z")).agg(F.sum("_p").alias("_norm"))
-    out = scaled(events).join(norm, F.col("ctx") == F.col("_z"))
+    alpha = marginals.select("w", ratio.alias("alpha"))
+    norm = vocabulary_sums(events, [model], weights=alpha).select(F.col("ctx").alias("_z"), F.col("total").alias("_norm"))
+    s = lookup(events, model).join(alpha.withColumnRenamed("w", "_aw"), F.col("w") == F.col("_aw"), "left")
+    s = s.withColumn("_p", power(F.col("logp")) * F.coalesce("alpha", F.lit(1.0)))
+    out = s.join(norm, F.col("ctx") == F.col("_z"))
     return out.withColumn("logp", to_log(F.col("_p") / F.col("_norm"))).select(*events.columns, "logp")
 
 

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.sequences import gram, suffix, with_boundaries
+from textloom.functions.sequences import gram, shorter, suffix, with_boundaries
 from textloom.schema import BOS, EOS, UNK
 
 ZERO = float("-inf")
@@ -186,7 +186,60 @@ def rank_metrics(scored: DataFrame, model: Model, vocabulary: DataFrame, toleran
     return scored.join(ranked.withColumn("rank", F.least("rank", F.lit(stop + 1))), ["ctx", "w"])
 
 
-def prob_sums(contexts: DataFrame, model: Model, vocabulary: DataFrame) -> DataFrame:
-    """Sum of the probabilities of all words in each context."""
-    each = lookup(contexts.select("ctx").distinct().join(vocabulary.select("w"), how="cross"), model)
-    return each.groupBy("ctx").agg(F.sum(F.pow(F.lit(10.0), F.col("logp"))).alias("total"))
+def vocabulary_sums(contexts: DataFrame, models: Sequence[Model], powers: Sequence[float] | None = None, weights: DataFrame | None = None) -> DataFrame:
+    """``ctx``, ``total``: the sum over every word of its weight times the product of the models' probabilities to their powers.
+
+    No context meets the vocabulary: words that no model has seen after a context have the product after the shorter
+    context times the back-off weights, so a context's sum is that of its seen words, plus the weights times what the
+    shorter context's sum leaves beside the same words. ``weights`` (``w``, ``alpha``) are 1 where not given.
+    """
+    powers = list(powers or [1.0] * len(models))
+    order = max(m.order for m in models)
+
+    def valued(rows: DataFrame, name: str) -> DataFrame:
+        product = F.lit(1.0)
+        for k, m in enumerate(models):
+            rows = lookup(rows, m, prefix=f"_v{k}").drop(f"_v{k}hit")
+            product = product * F.when(F.col(f"_v{k}logp") == ZERO, F.lit(0.0)).otherwise(F.pow(F.lit(10.0), F.lit(powers[k]) * F.col(f"_v{k}logp")))
+        return rows.withColumn(name, product).drop(*[f"_v{k}logp" for k in range(len(models))])
+
+    def weighted(rows: DataFrame) -> DataFrame:
+        if weights is None:
+            return rows.withColumn("_alpha", F.lit(1.0))
+        alpha = weights.select(F.col("w").alias("_aw"), F.col("alpha"))
+        return rows.join(alpha, F.col("w") == F.col("_aw"), "left").withColumn("_alpha", F.coalesce("alpha", F.lit(1.0))).drop("_aw", "alpha")
+
+    words = models[0].probs.where(F.col("ord") == 1).select(F.lit("").alias("ctx"), "w")
+    base = weighted(valued(words, "_own")).agg(F.sum(F.col("_alpha") * F.col("_own"))).first()[0] or 0.0
+    asked = contexts.select("ctx").distinct().withColumn("_len", context_length(F.col("ctx")))
+    sums = [asked.where("_len = 0").select("ctx", F.lit(base).alias("total"))]
+    below = None
+    for k in range(1, order):
+        here = asked.where(F.col("_len") >= k).select(suffix(F.col("ctx"), k).alias("ctx")).distinct()
+        seen = models[0].probs.where(F.col("ord") == k + 1).select("ctx", "w")
+        for m in models[1:]:
+            seen = seen.unionByName(m.probs.where(F.col("ord") == k + 1).select("ctx", "w"))
+        seen = seen.join(here, "ctx", "left_semi").distinct() if len(models) > 1 else seen.join(here, "ctx", "left_semi")
+        rows = valued(seen, "_own").withColumnRenamed("ctx", "_full").withColumn("ctx", shorter(F.col("_full")))
+        rows = weighted(valued(rows, "_low"))
+        parts = rows.groupBy(F.col("_full").alias("_c")).agg(F.sum(F.col("_alpha") * F.col("_own")).alias("_a"), F.sum(F.col("_alpha") * F.col("_low")).alias("_b"))
+        level = here.join(parts, F.col("ctx") == F.col("_c"), "left").drop("_c")
+        scale = F.lit(1.0)
+        for j, m in enumerate(models):
+            level = level.join(m.bows.where(F.col("len") == k).select(F.col("ctx").alias(f"_c{j}"), F.col("bow").alias(f"_w{j}")), F.col("ctx") == F.col(f"_c{j}"), "left").drop(f"_c{j}")
+            scale = scale * F.pow(F.lit(10.0), F.lit(powers[j]) * F.coalesce(F.col(f"_w{j}"), F.lit(0.0)))
+        if below is None:
+            level = level.withColumn("_t", F.lit(base))
+        else:
+            level = level.withColumn("_s", shorter(F.col("ctx"))).join(below.select(F.col("ctx").alias("_sc"), F.col("total").alias("_t")), F.col("_s") == F.col("_sc"))
+        below = level.select("ctx", (F.coalesce("_a", F.lit(0.0)) + scale * (F.col("_t") - F.coalesce("_b", F.lit(0.0)))).alias("total"))
+        sums.append(below.join(asked.where(F.col("_len") == k).select("ctx"), "ctx", "left_semi"))
+    out = sums[0]
+    for more in sums[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def prob_sums(contexts: DataFrame, model: Model) -> DataFrame:
+    """Sum of the probabilities of all words of the model in each context."""
+    return vocabulary_sums(contexts, [model])

@@ -256,7 +256,7 @@ def q_counts_ppl(spark, d):
 
 
 VOCAB20 = "v20 AS (SELECT w FROM c WHERE ord = 1 AND w <> '<s>' ORDER BY cnt DESC, w LIMIT 20)"
-#: The sweeps go over the model's 20 commonest words: a stated vocabulary, as such metrics need one.
+#: Ranks go over the model's 20 commonest words, a stated vocabulary; sums go over all words.
 SWEEP = f"{WB}, {EVENTS}, {VOCAB20}, ctxs AS (SELECT DISTINCT ctx FROM ev), grid AS (SELECT ctx, w FROM ctxs, v20), {Q.bigram_lookup('gp', 'grid', 'm', '1 AS one')}"
 
 
@@ -264,9 +264,10 @@ def vocab20(spark, d) -> DataFrame:
     return cut(counted(spark, d, 1).where("w <> '<s>'").orderBy(F.desc("cnt"), "w").limit(20).select("w"))
 
 
-@register("prob_sums", f"WITH {SWEEP} SELECT ctx, round(sum(p), 6) AS total FROM gp GROUP BY ctx")
+@register("prob_sums", f"""WITH {WB}, {EVENTS}, ctxs AS (SELECT DISTINCT ctx FROM ev), x AS (SELECT ctx, sum(p) AS a, sum(lowp) AS b FROM m_b GROUP BY ctx), su AS (SELECT sum(p) AS s FROM m_u)
+SELECT ctx, round(coalesce(a, 0) + coalesce(bow, 1) * (s - coalesce(b, 0)), 6) AS total FROM ctxs LEFT JOIN x USING (ctx) LEFT JOIN m_w USING (ctx), su""")
 def q_prob_sums(spark, d):
-    out = R.prob_sums(R.events_of(held_out(spark, d), 2), wb_model(spark, d), vocab20(spark, d))
+    out = R.prob_sums(R.events_of(held_out(spark, d), 2), wb_model(spark, d))
     return out.select("ctx", F.round("total", 6).alias("total"))
 
 
@@ -335,14 +336,14 @@ def q_bayes(spark, d):
     return out.select("item_id", F.col("sent_id").cast("long").alias("sent_id"), F.col("pos").cast("long").alias("pos"), "w", F.when(F.col("logp") > R.ZERO, F.round("logp", 6)).alias("logp"))
 
 
-@register("loglinear_mix", f"""WITH {TWO}, vv AS (SELECT w FROM m_u JOIN n_u USING (w) ORDER BY m_u.p DESC, w LIMIT 20), cx AS (SELECT DISTINCT ctx FROM ev), gr AS (SELECT ctx, w FROM cx, vv),
-{Q.bigram_lookup('ga', 'gr', 'm', '1 AS one')}, {Q.bigram_lookup('gb', 'gr', 'n', '1 AS one')}, z AS (SELECT ga.ctx, sum(sqrt(ga.p) * sqrt(gb.p)) AS z FROM ga JOIN gb USING (ctx, w) GROUP BY ga.ctx)
+@register("loglinear_mix", f"""WITH {TWO}, cx AS (SELECT DISTINCT ctx FROM ev), gr AS (SELECT DISTINCT ctx, w FROM (SELECT ctx, w FROM m_b UNION ALL SELECT ctx, w FROM n_b) SEMI JOIN cx USING (ctx)),
+{Q.bigram_lookup('ga', 'gr', 'm', '1 AS one')}, {Q.bigram_lookup('gb', 'gr', 'n', '1 AS one')}, su AS (SELECT sum(sqrt(m_u.p) * sqrt(n_u.p)) AS s FROM m_u JOIN n_u USING (w)),
+xx AS (SELECT ga.ctx, sum(sqrt(ga.p) * sqrt(gb.p)) AS a, sum(sqrt(coalesce(mu.p, 0)) * sqrt(coalesce(nu.p, 0))) AS b FROM ga JOIN gb USING (ctx, w) LEFT JOIN m_u mu ON mu.w = ga.w LEFT JOIN n_u nu ON nu.w = ga.w GROUP BY ga.ctx),
+z AS (SELECT cx.ctx, coalesce(a, 0) + sqrt(coalesce(mw.bow, 1)) * sqrt(coalesce(nw.bow, 1)) * (s - coalesce(b, 0)) AS z FROM cx LEFT JOIN xx USING (ctx) LEFT JOIN m_w mw ON mw.ctx = cx.ctx LEFT JOIN n_w nw ON nw.ctx = cx.ctx, su)
 SELECT item_id, CAST(sent_id AS BIGINT) AS sent_id, CAST(pos AS BIGINT) AS pos, w, round(0.5 * log10(pa) + 0.5 * log10(pb) - log10(z), 6) AS logp FROM ab JOIN z USING (ctx) WHERE pa > 0 AND pb > 0""")
 def q_loglinear(spark, d):
     a, b = (m.persist() for m in two_models(spark, d))
-    both = a.probs.where("ord = 1").select("w", "logp").join(b.probs.where(f"ord = 1 and logp > {-1e300}").select("w"), "w").where(F.col("logp") > R.ZERO)
-    vocabulary = cut(both.orderBy(F.desc("logp"), "w").limit(20).select("w"))
-    out = M.loglinear_mix(R.events_of(held_out(spark, d), 2, ["item_id", "sent_id"]), [a, b], [0.5, 0.5], vocabulary)
+    out = M.loglinear_mix(R.events_of(held_out(spark, d), 2, ["item_id", "sent_id"]), [a, b], [0.5, 0.5])
     return out.where(F.col("logp") > R.ZERO).select("item_id", F.col("sent_id").cast("long").alias("sent_id"), F.col("pos").cast("long").alias("pos"), "w", F.round("logp", 6).alias("logp"))
 
 
@@ -370,9 +371,11 @@ def q_cache(spark, d):
     return out.select("conv_id", n.alias("n"), "w", F.round("cache", 6).alias("cache"))
 
 
-@register("marginal_adapt", f"""WITH {WB}, {EVENTS}, {Q.counts('t', 'tsent', 1)}, {VOCAB20}, ta AS (SELECT w, cnt::DOUBLE / (SELECT sum(cnt) FROM t WHERE w <> '<s>') AS pa FROM t WHERE w <> '<s>'),
+@register("marginal_adapt", f"""WITH {WB}, {EVENTS}, {Q.counts('t', 'tsent', 1)}, ta AS (SELECT w, cnt::DOUBLE / (SELECT sum(cnt) FROM t WHERE w <> '<s>') AS pa FROM t WHERE w <> '<s>'),
 al AS (SELECT u.w, CASE WHEN ta.pa > 0 AND u.p > 0 THEN pow(ta.pa / u.p, 0.5) ELSE 1 END AS a FROM m_u u JOIN ta USING (w)),
-ctxs AS (SELECT DISTINCT ctx FROM ev), grid AS (SELECT ctx, w FROM ctxs, v20), {Q.bigram_lookup('gp', 'grid', 'm', '1 AS one')}, z AS (SELECT ctx, sum(p * coalesce(a, 1)) AS z FROM gp LEFT JOIN al USING (w) GROUP BY ctx),
+ctxs AS (SELECT DISTINCT ctx FROM ev), su AS (SELECT sum(p * coalesce(a, 1)) AS s FROM m_u LEFT JOIN al USING (w)),
+xx AS (SELECT ctx, sum(p * coalesce(al.a, 1)) AS pa, sum(lowp * coalesce(al.a, 1)) AS pb FROM m_b LEFT JOIN al USING (w) GROUP BY ctx),
+z AS (SELECT ctx, coalesce(pa, 0) + coalesce(bow, 1) * (s - coalesce(pb, 0)) AS z FROM ctxs LEFT JOIN xx USING (ctx) LEFT JOIN m_w USING (ctx), su),
 {Q.bigram_lookup('s', 'ev', 'm', 'item_id, sent_id, pos')}
 SELECT item_id, CAST(sent_id AS BIGINT) AS sent_id, CAST(pos AS BIGINT) AS pos, w, round(log10(p * coalesce(a, 1) / z), 6) AS logp FROM s LEFT JOIN al USING (w) JOIN z USING (ctx) WHERE p > 0""")
 def q_marginals(spark, d):
@@ -381,7 +384,7 @@ def q_marginals(spark, d):
     total = t.agg(F.sum("cnt")).first()[0]
     base = m.probs.where("ord = 1").select("w", F.pow(F.lit(10.0), "logp").alias("p_base"))
     marginals = t.select("w", (F.col("cnt") / F.lit(float(total))).alias("p_adapt")).join(base, "w")
-    out = M.adapted(R.events_of(held_out(spark, d), 2, ["item_id", "sent_id"]), m, marginals, vocab20(spark, d))
+    out = M.adapted(R.events_of(held_out(spark, d), 2, ["item_id", "sent_id"]), m, marginals)
     return out.where(F.col("logp") > R.ZERO).select("item_id", F.col("sent_id").cast("long").alias("sent_id"), F.col("pos").cast("long").alias("pos"), "w", F.round("logp", 6).alias("logp"))
 
 
