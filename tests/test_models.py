@@ -110,6 +110,25 @@ def test_vocabulary_sums_equal_brute_force(text):
             assert math.isclose(got[c], want, rel_tol=1e-9), (c, powers)
 
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_ranks_equal_brute_force(text, order):
+    """Ranks without a grid against every word in every context, unseen contexts and a wide tolerance included."""
+    spark = text.sparkSession
+    m = E.train(C.count_ngrams(text, order), order, "wb").persist()
+    words = [r["w"] for r in m.probs.where("ord = 1").select("w").collect()]
+    contexts = ["", "the", "the cat", "<s> the", "on the", "never seen", "zz"]
+    grid = spark.createDataFrame([(c, w) for c in contexts for w in words], "ctx string, w string")
+    scored = R.lookup(grid, m).where("hit > 0")
+    p = {(r["ctx"], r["w"]): 10 ** r["logp"] for r in R.lookup(grid, m).collect()}
+    for tolerance, stop in ((3e-6, 10.0), (0.0300001, 1e9)):
+        got = {(r["ctx"], r["w"]): r["rank"] for r in R.rank_metrics(scored, m, tolerance, stop).collect()}
+        assert len(got) == scored.count() > 0
+        for (c, w), rank in got.items():
+            above = sum(p[c, x] > p[c, w] + tolerance for x in words)
+            tied = sum(abs(p[c, x] - p[c, w]) <= tolerance for x in words)
+            assert rank == min(above + (tied - 1) / 2, stop + 1), (c, w)
+
+
 def test_lookup_backs_off(tiny):
     m = E.train(C.count_ngrams(tiny, 2), 2, "wb")
     spark = tiny.sparkSession
@@ -184,6 +203,50 @@ def test_word_classes_merge_like_words():
     assert got["a1"] == got["a2"] and got["b1"] == got["b2"] and got["a1"] != got["b1"]
 
 
+def test_word_classes_lose_least():
+    """Every merge is the one after which the classes' bigrams share most information."""
+    import random
+
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(14)]
+    matrix = {i: {j: float(rng.randint(1, 9)) for j in range(14) if rng.random() < 0.6} for i in range(14)}
+    plog = lambda x: x * math.log(x) if x else 0.0
+
+    def information(classes):
+        n = [[sum(matrix[i].get(j, 0.0) for i in a for j in b) for b in classes] for a in classes]
+        return sum(plog(x) for row in n for x in row) - sum(plog(sum(row)) for row in n) - sum(plog(sum(col)) for col in zip(*n, strict=True))
+
+    classes = []
+    for i in range(14):
+        classes.append([i])
+        if len(classes) > 3:
+            choices = [(a, b) for a in range(4) for b in range(a + 1, 4)]
+            merged = [[c for k, c in enumerate(classes) if k not in (a, b)] + [classes[a] + classes[b]] for a, b in choices]
+            a, b = choices[max(range(len(choices)), key=lambda k: information(merged[k]))]
+            classes[a] = classes[a] + classes[b]
+            del classes[b]
+    got = em.merge_classes(matrix, words, 3)
+    assert {frozenset(w for w in words if got[w] == k) for k in range(3)} == {frozenset(words[i] for i in c) for c in classes}
+
+
+def test_classes_of_all_words(text):
+    """Every word gets a class, and the stream of sorted bigrams gives what the whole matrix gives."""
+    bigrams = C.count_ngrams(text, 2).where("ord = 2")
+    got = {r["w"]: r["class"] for r in em.induce_classes(bigrams, 4).collect()}
+    rows = [r for r in bigrams.collect() if r["w"] != "</s>"]
+    counts: dict[str, int] = {}
+    for r in rows:
+        counts[r["w"]] = counts.get(r["w"], 0) + r["cnt"]
+    words = sorted(counts, key=lambda w: (-counts[w], w))
+    place = {w: i for i, w in enumerate(words)}
+    matrix: dict[int, dict[int, float]] = {}
+    for r in rows:
+        if r["ctx"] != "<s>":
+            matrix.setdefault(place[r["ctx"]], {})[place[r["w"]]] = float(r["cnt"])
+    assert got == em.merge_classes(matrix, words, 4)
+    assert em.induce_classes(bigrams.limit(0), 4).count() == 0
+
+
 def test_factored_model_sums_to_one(spark):
     rows = [(f"l{i % 2}", f"s{i % 3}", ["x", "y", "z", "x"][(i * 7) % 4]) for i in range(60)]
     tokens = spark.createDataFrame(rows, "l string, s string, w string")

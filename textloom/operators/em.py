@@ -6,10 +6,12 @@ bucket, or per iteration's step).
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,7 +120,7 @@ def fit_skip(counts: DataFrame, order: int, rounds: int = 5, start: float = 0.5,
     last = -math.inf
     for _ in range(rounds):
         whole = full.select(F.col("ctx").alias("_c"), shorter(F.col("ctx")).alias("ctx"), "w", "cnt")
-        whole = lookup(whole, model, "_a").withColumn("_last", last_word(F.col("_c")))
+        whole = cut(lookup(whole, model, "_a").withColumn("_last", last_word(F.col("_c"))))  # the next lookup reads it twice
         moved = lookup(whole.withColumn("_own", F.col("ctx")).withColumn("ctx", but_last(F.col("_c"))), model, "_b")
         rate = skip.select(F.col("w").alias("_s"), F.col("p").alias("_q"))
         rows = moved.join(rate, F.col("_last") == F.col("_s"))
@@ -140,57 +142,106 @@ def fit_skip(counts: DataFrame, order: int, rounds: int = 5, start: float = 0.5,
 # ---- word classes ----
 
 
-def induce_classes(bigrams: DataFrame, classes: int, max_words: int = 2000) -> dict[str, int]:
-    """Greedy merging of word classes by least loss of bigram mutual information, incremental form.
+class ClassMerger:
+    """Greedy merging by least loss of bigram mutual information: words enter one by one, one best merge follows each.
 
-    Only bigrams among the most frequent words (a stated bound on the driver's matrix) are gathered; words
-    enter in order of frequency into ``classes + 1`` slots, and one best merge follows each.
+    Held are the counts between at most ``classes + 1`` classes and four bytes a word: the word it was merged into.
     """
-    inner = bigrams.where(~F.col("w").isin(BOS, EOS) & ~F.col("ctx").isin(BOS, EOS))
-    words = [r["w"] for r in inner.groupBy("w").agg(F.sum("cnt").alias("n")).orderBy(F.desc("n"), "w").limit(max_words).collect()]
-    place = {w: i for i, w in enumerate(words)}
-    known = inner.sparkSession.createDataFrame([(w,) for w in words], "w string")
-    pairs = inner.join(known, "w", "left_semi").join(known.withColumnRenamed("w", "ctx"), "ctx", "left_semi").select("ctx", "w", "cnt").collect()
-    matrix: dict[int, dict[int, float]] = {}
-    for r in pairs:
-        matrix.setdefault(place[r["ctx"]], {})[place[r["w"]]] = float(r["cnt"])
-    return merge_classes(matrix, words, classes)
+
+    def __init__(self, classes: int):
+        self.classes, self.counts = classes, np.zeros((0, 0))
+        self.parent = np.zeros(1024, np.int32)
+        self.size = 0
+        self.heads: list[int] = []
+        self.slots: dict[int, int] = {}
+
+    def slot(self, word: int) -> int:
+        head = word
+        while self.parent[head] != head:
+            head = int(self.parent[head])
+        while self.parent[word] != head:
+            self.parent[word], word = head, int(self.parent[word])
+        return self.slots[head]
+
+    def add(self, pairs: Iterable[tuple[int, int, float]]) -> None:
+        """The next word, with the counts of its bigrams with itself and with earlier words, as places in the order of words."""
+        if self.size == len(self.parent):
+            self.parent = np.concatenate([self.parent, np.zeros_like(self.parent)])
+        self.parent[self.size] = self.size
+        self.slots[self.size] = len(self.heads)
+        self.heads.append(self.size)
+        self.size += 1
+        self.counts = np.pad(self.counts, (0, 1))
+        for first, second, n in pairs:
+            self.counts[self.slot(first), self.slot(second)] += n
+        if len(self.heads) > self.classes:
+            a, b = self.best()
+            n = self.counts
+            n[a] += n[b]
+            n[:, a] += n[:, b]
+            self.counts = np.delete(np.delete(n, b, 0), b, 1)
+            self.parent[self.heads[b]] = self.heads[a]
+            del self.heads[b]
+            self.slots = {h: i for i, h in enumerate(self.heads)}
+
+    def best(self) -> tuple[int, int]:
+        """The pair of classes whose merging loses least, the first of equals."""
+        n, k = self.counts, len(self.heads)
+        plog = lambda x: x * np.log(np.where(x > 0, x, 1.0))
+        cells, left, right, own = plog(n), n.sum(1), n.sum(0), np.diag(n)
+        rows, cols, sides = cells.sum(1), cells.sum(0), plog(left) + plog(right)
+        least, pick = math.inf, (0, 1)
+        step = max(1, 2**22 // (k * k))
+        for at in range(0, k, step):
+            a = slice(at, at + step)
+            kept = plog(n[a, None, :] + n[None, :, :]).sum(2) - rows[a, None] - rows[None, :]
+            kept += plog(n.T[a, None, :] + n.T[None, :, :]).sum(2) - cols[a, None] - cols[None, :]
+            # the four cells where the two classes meet are in rows and in columns
+            ab, ba, aa, bb = n[a], n.T[a], own[a, None], own[None, :]
+            kept += plog(aa + ab + ba + bb) - plog(aa + ba) - plog(ab + bb) - plog(aa + ab) - plog(ba + bb)
+            kept += plog(aa) + plog(ab) + plog(ba) + plog(bb)
+            margins = plog(left[a, None] + left[None, :]) + plog(right[a, None] + right[None, :]) - sides[a, None] - sides[None, :]
+            loss = np.where(np.arange(k)[None, :] > np.arange(k)[a, None], margins - kept, math.inf)
+            i, j = divmod(int(np.argmin(loss)), k)
+            if loss[i, j] < least - 1e-12:
+                least, pick = float(loss[i, j]), (at + i, j)
+        return pick
+
+    def assignment(self) -> np.ndarray:
+        return np.array([self.slot(i) for i in range(self.size)], np.int32)
+
+
+def induce_classes(bigrams: DataFrame, classes: int) -> DataFrame:
+    """``w``, ``class`` of every word, by :class:`ClassMerger` in order of frequency.
+
+    Words are numbered and bigrams sorted by Spark; the driver reads the bigrams as a stream, each with the later of
+    its two words, and never holds them or the words. The search is a sequence by definition, one word after another.
+    """
+    spark = bigrams.sparkSession
+    words = cut(bigrams.where(~F.col("w").isin(BOS, EOS)).groupBy("w").agg(F.sum("cnt").alias("n")).orderBy(F.desc("n"), "w").select("w"))
+    placed = words.select("w", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m"))
+    sizes = sorted((r["_p"], r["n"]) for r in placed.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect())
+    starts = [(p, sum(n for _, n in sizes[:i]) - (p << 33)) for i, (p, _) in enumerate(sizes)]
+    known = cut(placed.join(spark.createDataFrame(starts, "_p int, _s long"), "_p").select("w", (F.col("_m") + F.col("_s")).alias("place")))
+    inner = bigrams.join(known.withColumnRenamed("place", "b"), "w").join(known.select(F.col("w").alias("ctx"), F.col("place").alias("a")), "ctx")
+    pairs = cut(inner.select(F.greatest("a", "b").alias("later"), "a", "b", "cnt").orderBy("later"))
+    merger = ClassMerger(classes)
+    for later, group in itertools.groupby(pairs.toLocalIterator(), key=lambda r: r["later"]):
+        while merger.size < later:  # words that meet no word before them
+            merger.add([])
+        merger.add((r["a"], r["b"], float(r["cnt"])) for r in group)
+    while merger.size < sum(n for _, n in sizes):
+        merger.add([])
+    found = pd.DataFrame({"place": np.arange(merger.size, dtype=np.int64), "class": merger.assignment()})
+    return known.join(spark.createDataFrame(found, "place long, class int"), "place").select("w", "class")
 
 
 def merge_classes(matrix: dict[int, dict[int, float]], words: Sequence[str], classes: int) -> dict[str, int]:
-    members: list[list[int]] = []
-    entropy = lambda x: np.where(x > 0, x * np.log(np.where(x > 0, x, 1)), 0.0)
-    dense = np.zeros((len(words), len(words)))
-    for i, row in matrix.items():
-        for j, n in row.items():
-            dense[i, j] = n
+    """The classes of few words from their bigram counts, by place in ``words``."""
+    merger = ClassMerger(classes)
     for i in range(len(words)):
-        members.append([i])
-        if len(members) <= classes:
-            continue
-        sel = np.zeros((len(members), len(words)))
-        for c, m in enumerate(members):
-            sel[c, m] = 1
-        n = sel @ dense @ sel.T
-        left, right = n.sum(1), n.sum(0)
-        k = len(members)
-        best, pick = math.inf, (0, 1)
-        for a in range(k):
-            row, col = n[a], n[:, a]
-            merged_row = entropy(row[None, :] + n).sum(1) - entropy(row).sum() - entropy(n).sum(1)
-            merged_col = entropy(col[:, None] + n).sum(0) - entropy(col).sum() - entropy(n).sum(0)
-            margins = entropy(left[a] + left) - entropy(left[a]) - entropy(left) + entropy(right[a] + right) - entropy(right[a]) - entropy(right)
-            # the cells where the two classes meet are counted in rows and in columns
-            over = np.array([entropy(n[a, a] + n[a, b] + n[b, a] + n[b, b]) - entropy(n[a, a] + n[b, a]) - entropy(n[a, b] + n[b, b]) - entropy(n[a, a] + n[a, b]) - entropy(n[b, a] + n[b, b]) + entropy(n[a, a]) + entropy(n[a, b]) + entropy(n[b, a]) + entropy(n[b, b]) for b in range(k)])
-            loss = margins - (merged_row + merged_col + over)
-            loss[: a + 1] = math.inf
-            b = int(np.argmin(loss))
-            if loss[b] < best - 1e-12:
-                best, pick = float(loss[b]), (a, b)
-        a, b = pick
-        members[a] = members[a] + members[b]
-        del members[b]
-    return {words[i]: c for c, m in enumerate(members) for i in m}
+        merger.add((a, b, n) for a, row in matrix.items() for b, n in row.items() if max(a, b) == i)
+    return dict(zip(words, map(int, merger.assignment()), strict=True))
 
 
 def class_definitions(counts: DataFrame, assignment: DataFrame) -> DataFrame:
@@ -231,7 +282,7 @@ def maxent_expectations(feats: DataFrame, top: DataFrame, order: int, v: int) ->
         return uni.select(F.lit(1).alias("ord"), F.lit("").alias("ctx"), "w", (F.lit(n) * F.exp("l1") / F.lit(base)).alias("e"))
     pairs = feats.where(F.col("ord") == 2).select("ctx", "w", F.col("lam").alias("l2")).join(uni, "w", "left").withColumn("l1", F.coalesce("l1", F.lit(0.0)))
     z = pairs.groupBy("ctx").agg(F.sum(F.exp(F.col("l1") + F.col("l2")) - F.exp("l1")).alias("_d"))
-    ctx = top.join(z, "ctx", "left").select("ctx", "n", (F.lit(base) + F.coalesce("_d", F.lit(0.0))).alias("z"))
+    ctx = cut(top.join(z, "ctx", "left").select("ctx", "n", (F.lit(base) + F.coalesce("_d", F.lit(0.0))).alias("z")))
     two = pairs.join(ctx, "ctx").select("ctx", "w", (F.col("n") * F.exp(F.col("l1") + F.col("l2")) / F.col("z")).alias("e"), (F.col("n") * F.exp("l1") / F.col("z")).alias("base"))
     flat = ctx.agg(F.sum(F.col("n") / F.col("z"))).first()[0] or 0.0
     extra = two.groupBy("w").agg(F.sum(F.col("e") - F.col("base")).alias("_x"))

@@ -10,8 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.sequences import gram, shorter, suffix, with_boundaries
@@ -170,20 +171,52 @@ def sign_tail(greater: int, less: int) -> float:
     return sum(comb(n, i) for i in range(k + 1)) / 2**n if n else 1.0
 
 
-def rank_metrics(scored: DataFrame, model: Model, vocabulary: DataFrame, tolerance: float = 3e-6, stop: float = 10.0) -> DataFrame:
-    """``rank``: words of the vocabulary more probable in the event's context, ties counted half.
+def words_above(asked: DataFrame, values: DataFrame) -> DataFrame:
+    """``ctx``, ``w``, ``side``, ``n``: how many ``values`` (key, v, n) of the row's ``key`` exceed ``t`` (side 0) or reach it (side 2).
 
-    The distinct contexts meet every word of the vocabulary, so the vocabulary must be small or the
-    contexts a stated set: this is the definition of the metric.
+    Running sums inside slices of the values of a key, after the sums of the slices above: a key with many values is
+    spread over its slices, and equal values are one row.
     """
-    contexts = scored.select("ctx").distinct()
-    grid = contexts.join(vocabulary.select("w"), how="cross")
-    each = lookup(grid, model).select(F.col("ctx").alias("_gc"), F.col("logp").alias("_gp"))
-    distinct = scored.select("ctx", "w", "logp").distinct()
-    p, q = F.pow(F.lit(10.0), F.col("_gp")), F.pow(F.lit(10.0), F.col("logp"))
-    above, tied = p > q + tolerance, F.abs(p - q) <= tolerance
-    ranked = distinct.join(each, F.col("ctx") == F.col("_gc")).groupBy("ctx", "w").agg((F.count_if(above) + (F.count_if(tied) - 1) / 2).alias("rank"))
-    return scored.join(ranked.withColumn("rank", F.least("rank", F.lit(stop + 1))), ["ctx", "w"])
+    sliced = lambda v: F.floor(F.least(F.lit(400.0), F.greatest(F.lit(0.0), -8 * v)))
+    none = F.lit(None).cast("string")
+    held = values.groupBy("key", "v").agg(F.sum("n").alias("n")).select("key", "v", F.lit(1).alias("side"), "n", none.alias("ctx"), none.alias("w"))
+    rows = held.unionByName(asked.select("key", F.col("t").alias("v"), "side", F.lit(0).cast("long").alias("n"), "ctx", "w")).withColumn("_b", sliced(F.col("v")))
+    first = Window.partitionBy("key").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    slices = rows.groupBy(F.col("key").alias("_sk"), F.col("_b").alias("_sb")).agg(F.sum("n").alias("_n"))
+    slices = slices.withColumnRenamed("_sk", "key").withColumnRenamed("_sb", "_b").withColumn("_before", F.coalesce(F.sum("_n").over(first), F.lit(0)))
+    inside = Window.partitionBy("key", "_b").orderBy(F.desc("v"), "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = rows.withColumn("_in", F.sum("n").over(inside)).where("side <> 1").join(slices.select("key", "_b", "_before"), ["key", "_b"])
+    return found.select("ctx", "w", "side", (F.col("_before") + F.col("_in")).alias("n"))
+
+
+def rank_metrics(scored: DataFrame, model: Model, tolerance: float = 3e-6, stop: float = 10.0) -> DataFrame:
+    """``rank``: words of the model more probable in the event's context, ties within ``tolerance`` counted half, at most ``stop + 1``.
+
+    All words of the model count, yet no context meets the vocabulary: what exceeds a probability in a context are its
+    seen words that do, and of the other words those that exceed it in the shorter context, divided by the back-off weight.
+    """
+    q = F.pow(F.lit(10.0), F.col("logp"))
+    over = F.struct(F.lit(0).alias("side"), F.log10(q + tolerance).alias("t"))
+    least = F.struct(F.lit(2).alias("side"), F.when(q > tolerance, F.log10(q - tolerance)).otherwise(F.lit(ZERO)).alias("t"))
+    asked = scored.select("ctx", "w", "logp").distinct().select("ctx", "w", F.explode(F.array(over, least)).alias("_e")).select("ctx", "w", "_e.side", "_e.t")
+    asked = asked.withColumn("_len", context_length(F.col("ctx")))
+    parts = []
+    for k in range(model.order - 1, 0, -1):
+        asked = asked.withColumn("key", F.when(F.col("_len") >= k, suffix(F.col("ctx"), k)))
+        here = asked.where("key is not null")
+        seen = model.probs.where(F.col("ord") == k + 1).join(here.select(F.col("key").alias("ctx")).distinct(), "ctx", "left_semi")
+        seen = lookup(seen.select(F.col("ctx").alias("key"), shorter(F.col("ctx")).alias("ctx"), "w", F.col("logp").alias("_own")), model).withColumn("n", F.lit(1).cast("long"))
+        parts.append(words_above(here, seen.select("key", F.col("_own").alias("v"), "n")))
+        bows = model.bows.where(F.col("len") == k).select(F.col("ctx").alias("_bc"), "bow")
+        asked = asked.join(bows, F.col("key") == F.col("_bc"), "left")
+        asked = asked.withColumn("t", F.when(F.col("t") == ZERO, F.col("t")).otherwise(F.col("t") - F.coalesce("bow", F.lit(0.0)))).drop("_bc", "bow")
+        less = words_above(asked.where("key is not null"), seen.select("key", F.col("logp").alias("v"), "n"))
+        parts.append(less.withColumn("n", -F.col("n")))
+    words = model.probs.where(F.col("ord") == 1).select(F.lit("").alias("key"), F.col("logp").alias("v"), F.lit(1).cast("long").alias("n"))
+    parts.append(words_above(asked.withColumn("key", F.lit("")), words))
+    found = reduce(DataFrame.unionByName, parts).groupBy("ctx", "w").agg(F.sum(F.when(F.col("side") == 0, F.col("n")).otherwise(0)).alias("_a"), F.sum(F.when(F.col("side") == 2, F.col("n")).otherwise(0)).alias("_r"))
+    ranked = found.select("ctx", "w", F.least(F.col("_a") + (F.col("_r") - F.col("_a") - 1) / 2, F.lit(stop + 1)).alias("rank"))
+    return scored.join(ranked, ["ctx", "w"])
 
 
 def vocabulary_sums(contexts: DataFrame, models: Sequence[Model], powers: Sequence[float] | None = None, weights: DataFrame | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.kernels import decode as K
@@ -131,14 +131,15 @@ def q_anti(spark, d):
     return out.select("ord", gram(F.col("ctx"), F.col("w")).alias("ngram"), F.round("cnt", 6).alias("cnt"))
 
 
-MESH = "mesh AS (SELECT utt, 1 AS pos, words[1] AS word, sum(posterior) AS post FROM hp GROUP BY utt, words[1] UNION ALL SELECT utt, 2, words[2], sum(posterior) FROM hp GROUP BY utt, words[2])"
+MESH = """mx AS (SELECT utt, words, posterior, max(len(words)) OVER (PARTITION BY utt) AS longest FROM hp), mp AS (SELECT utt, words, posterior, unnest(range(1, longest + 1)) AS pos FROM mx),
+mesh AS (SELECT utt, CAST(pos AS INTEGER) AS pos, words[pos] AS word, sum(posterior) AS post FROM mp GROUP BY ALL)"""
 
 
 def simple_mesh(spark, d) -> DataFrame:
-    """The first two positions of the lists as a network."""
-    h = weighted(spark, d)
-    parts = [h.groupBy("utt", F.lit(k).alias("pos"), F.try_element_at("words", F.lit(k)).alias("word")).agg(F.sum("posterior").alias("post")) for k in (1, 2)]
-    return parts[0].unionByName(parts[1])
+    """The lists as networks with a column per position; hypotheses that have ended count as deletions."""
+    h = weighted(spark, d).withColumn("_m", F.max(F.size("words")).over(Window.partitionBy("utt")))
+    at = h.where("_m > 0").select("utt", "words", "posterior", F.explode(F.sequence(F.lit(1), "_m")).alias("pos"))
+    return at.groupBy("utt", "pos", F.get(F.col("words"), F.col("pos") - 1).alias("word")).agg(F.sum("posterior").alias("post"))
 
 
 @register("consensus", f"""WITH {HYPS}, {MESH}, b AS (SELECT utt, pos, word FROM (SELECT *, row_number() OVER (PARTITION BY utt, pos ORDER BY round(post, 9) DESC, coalesce(word, '') DESC) AS r FROM mesh) WHERE r = 1)

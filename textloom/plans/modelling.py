@@ -255,15 +255,6 @@ def q_counts_ppl(spark, d):
     return s.select(*[F.col(c).cast("long").alias(c) for c in ("sentences", "words", "oovs")], F.round("logprob", 4).alias("logprob"))
 
 
-VOCAB20 = "v20 AS (SELECT w FROM c WHERE ord = 1 AND w <> '<s>' ORDER BY cnt DESC, w LIMIT 20)"
-#: Ranks go over the model's 20 commonest words, a stated vocabulary; sums go over all words.
-SWEEP = f"{WB}, {EVENTS}, {VOCAB20}, ctxs AS (SELECT DISTINCT ctx FROM ev), grid AS (SELECT ctx, w FROM ctxs, v20), {Q.bigram_lookup('gp', 'grid', 'm', '1 AS one')}"
-
-
-def vocab20(spark, d) -> DataFrame:
-    return cut(counted(spark, d, 1).where("w <> '<s>'").orderBy(F.desc("cnt"), "w").limit(20).select("w"))
-
-
 @register("prob_sums", f"""WITH {WB}, {EVENTS}, ctxs AS (SELECT DISTINCT ctx FROM ev), x AS (SELECT ctx, sum(p) AS a, sum(lowp) AS b FROM m_b GROUP BY ctx), su AS (SELECT sum(p) AS s FROM m_u)
 SELECT ctx, round(coalesce(a, 0) + coalesce(bow, 1) * (s - coalesce(b, 0)), 6) AS total FROM ctxs LEFT JOIN x USING (ctx) LEFT JOIN m_w USING (ctx), su""")
 def q_prob_sums(spark, d):
@@ -272,13 +263,16 @@ def q_prob_sums(spark, d):
 
 
 @register("rank_metrics", f"""
-WITH {SWEEP}, {Q.bigram_lookup('s', 'ev', 'm', 'item_id')}, dd AS (SELECT ctx, w, p, count(*) AS n FROM s WHERE w IN (SELECT w FROM v20) GROUP BY ALL),
-r AS (SELECT dd.ctx, dd.w, n, least(count(*) FILTER (WHERE gp.p > dd.p + 3e-6) + (count(*) FILTER (WHERE abs(gp.p - dd.p) <= 3e-6) - 1) / 2.0::DOUBLE, 11.0::DOUBLE) AS rank FROM dd JOIN gp USING (ctx) GROUP BY dd.ctx, dd.w, n, dd.p)
-SELECT CAST(sum(n) AS BIGINT) AS tokens, CAST(sum(n) FILTER (WHERE rank < 1) AS BIGINT) AS rank1, CAST(sum(n) FILTER (WHERE rank < 5) AS BIGINT) AS rank5, CAST(sum(n) FILTER (WHERE rank < 10) AS BIGINT) AS rank10 FROM r""")
+WITH {SCORED}, dd AS (SELECT ctx, w, p, count(*) AS n FROM s WHERE hit > 0 GROUP BY ALL), t AS (SELECT dd.*, coalesce(x.bow, 1) AS bow FROM dd LEFT JOIN m_w x USING (ctx)),
+hist AS (SELECT p AS hp, count(*) AS hn FROM m_u GROUP BY p),
+un AS (SELECT ctx, w, coalesce(sum(hn) FILTER (WHERE hp * bow > p + 3e-6), 0) AS a, coalesce(sum(hn) FILTER (WHERE hp * bow >= p - 3e-6), 0) AS g FROM t, hist GROUP BY ctx, w),
+bi AS (SELECT t.ctx, t.w, count(*) FILTER (WHERE b.p > t.p + 3e-6) - count(*) FILTER (WHERE b.lowp * bow > t.p + 3e-6) AS a,
+  count(*) FILTER (WHERE b.p >= t.p - 3e-6) - count(*) FILTER (WHERE b.lowp * bow >= t.p - 3e-6) AS g FROM t JOIN m_b b ON b.ctx = t.ctx GROUP BY t.ctx, t.w),
+r AS (SELECT n, un.a + coalesce(bi.a, 0) AS a, un.g + coalesce(bi.g, 0) AS g FROM t JOIN un USING (ctx, w) LEFT JOIN bi USING (ctx, w)), rk AS (SELECT n, least(a + (g - a - 1) / 2.0::DOUBLE, 11.0::DOUBLE) AS rank FROM r)
+SELECT CAST(sum(n) AS BIGINT) AS tokens, CAST(sum(n) FILTER (WHERE rank < 1) AS BIGINT) AS rank1, CAST(sum(n) FILTER (WHERE rank < 5) AS BIGINT) AS rank5, CAST(sum(n) FILTER (WHERE rank < 10) AS BIGINT) AS rank10 FROM rk""")
 def q_rank(spark, d):
-    model, vocabulary = wb_model(spark, d).persist(), vocab20(spark, d)
-    scored = scored_held_out(spark, d, model).join(vocabulary, "w", "left_semi")
-    r = R.rank_metrics(scored, model, vocabulary)
+    model = wb_model(spark, d).persist()
+    r = R.rank_metrics(scored_held_out(spark, d, model).where("hit > 0"), model)
     return r.agg(F.count(F.lit(1)).alias("tokens"), *[F.count_if(F.col("rank") < k).alias(f"rank{k}") for k in (1, 5, 10)])
 
 
@@ -483,25 +477,24 @@ def q_count_lm(spark, d):
     c = cut(counted(spark, d, 2))
     v = c.where("ord = 1").count()
     f = em.count_model_features(R.events_of(held_out(spark, d), 2), c, 2, 8, 4, v)
-    lam = em.fit_count_model(f, 2, 8, rounds=5)
+    lam = em.fit_count_model(f, 2, 8)
     return spark.createDataFrame([(n, b, round(x, 4)) for (n, b), x in sorted(lam.items())], "ord int, bucket int, weight double")
 
 
 @register("skip_em")
 def q_skip_em(spark, d):
-    _, skip = em.fit_skip(cut(C.count_ngrams(held_out(spark, d), 3)), 2, rounds=2)
+    _, skip = em.fit_skip(cut(C.count_ngrams(held_out(spark, d), 3)), 2)
     return skip.select("w", F.round("p", 5).alias("p"))
 
 
 @register("word_classes")
 def q_classes(spark, d):
-    got = em.induce_classes(C.count_ngrams(held_out(spark, d), 2).where("ord = 2"), 8, max_words=60)
-    return spark.createDataFrame(sorted(got.items()), "w string, class int")
+    return em.induce_classes(cut(C.count_ngrams(held_out(spark, d), 2).where("ord = 2")), 8)
 
 
 @register("maxent")
 def q_maxent(spark, d):
     c = cut(C.count_ngrams(held_out(spark, d), 2))
     vocabulary = cut(c.where("ord = 1 and w <> '<s>'").select("w"))
-    m = em.maxent_to_backoff(em.fit_maxent(c, 2, vocabulary, rounds=4), vocabulary)
+    m = em.maxent_to_backoff(em.fit_maxent(c, 2, vocabulary), vocabulary)
     return shown_probs(m, 1, 4)
