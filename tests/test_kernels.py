@@ -16,8 +16,9 @@ from textloom.operators import counts as C
 from textloom.operators import decode as X
 from textloom.operators import estimate as E
 from textloom.operators import nbest as N
+from textloom.operators import score as R
 from textloom.operators.generate import sample_sentences
-from textloom.sources import arpa, lattices
+from textloom.sources import arpa, lattices, tables
 from textloom.sources.text import read_classes, read_counts, read_lines, read_map, write_counts
 
 
@@ -159,6 +160,45 @@ def test_model_files(spark, model, tmp_path):
     assert {(r["ctx"], round(r["bow"], 4)) for r in model.bows.collect()} == {(r["ctx"], round(r["bow"], 4)) for r in back.bows.collect()}
 
 
+def test_tables(spark, model, tmp_path):
+    """Models and counts come back whole, by range of first words and by vocabulary; a unigram model has no weights."""
+    key = lambda df: sorted(map(repr, df.collect()))
+    for i, m in enumerate((model, R.Model(1, model.probs.where("ord = 1"), model.bows.limit(0)))):
+        tables.write_model_table(m, str(tmp_path / f"m{i}"))
+        back = tables.read_model_table(spark, str(tmp_path / f"m{i}"))
+        assert (back.order, key(back.probs.select("ord", "ctx", "w", "logp"))) == (m.order, key(m.probs.select("ord", "ctx", "w", "logp")))
+        assert key(back.bows) == key(m.bows.select("len", "ctx", "bow"))
+    counts = C.count_ngrams(spark.createDataFrame([(["b", "a", "c"],), (["c", "c", "é"],)], "words array<string>"), 2)
+    tables.write_counts_table(counts, str(tmp_path / "c"))
+    rows = {(r["ord"], r["ctx"], r["w"], r["cnt"]) for r in counts.collect()}
+    got = lambda **k: {tuple(r) for r in tables.read_counts_table(spark, str(tmp_path / "c"), **k).collect()}
+    first = lambda r: (r[1] or r[2]).split(" ")[0]
+    assert got() == rows and got(order=1) == {r for r in rows if r[0] == 1}
+    assert got(first=("b", "c")) == {r for r in rows if "b" <= first(r) <= "c"}
+    words = spark.createDataFrame([("a",), ("b",)], "w string")
+    known = {"a", "b", "<s>", "</s>"}
+    assert got(vocabulary=words) == {r for r in rows if set(f"{r[1]} {r[2]}".split()) <= known}
+    assert got(vocabulary=words.limit(0)) == {r for r in rows if set(f"{r[1]} {r[2]}".split()) <= {"<s>", "</s>"}}
+
+
+def test_list_set(spark, tmp_path):
+    (tmp_path / "u 1.txt").write_text("-1 -2 2 a b\n\n-1.5 -1 1 c\n")
+    (tmp_path / "v.score").write_text("")
+    got = N.parse_text_format(N.read_list_set(spark, str(tmp_path)))
+    assert [(r["utt"], r["rank"], r["ascore"], r["words"]) for r in got.orderBy("rank").collect()] == [("u 1", 0, -1.0, ["a", "b"]), ("u 1", 1, -1.5, ["c"])]
+
+
+def test_kneser_ney_timing(spark):
+    """Constants of raw or of modified counts, and counts that come modified."""
+    sents = spark.createDataFrame([([f"w{i % 7}", f"w{i * i % 11}", f"w{i % 5}"],) for i in range(40)] + [(["x", "y"],), (["y", "z", "x"],)] + [(["x", "q"],)] * 2, "words array<string>")
+    raw = C.count_ngrams(sents, 3)
+    shown = lambda m: sorted((r["ord"], r["ctx"], r["w"], round(r["logp"], 9)) for r in m.probs.collect())
+    same = shown(E.train(raw, 3, "kn"))
+    assert same == shown(E.train(C.kn_counts(raw, 3).where("cnt > 0"), 3, "kn", kn_counts_are="modified"))
+    late = shown(E.train(raw, 3, "kn", kn_counts_are="raw_for_constants"))
+    assert [r[:3] for r in late] == [r[:3] for r in same] and late != same
+
+
 def test_text_sources(spark, tmp_path):
     (tmp_path / "t.txt").write_text("a b\n\n c \t d\n")
     assert [r["words"] for r in read_lines(spark, str(tmp_path / "t.txt")).collect()] == [["a", "b"], ["c", "d"]]

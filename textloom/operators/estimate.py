@@ -106,15 +106,25 @@ def estimate(counts: DataFrame, order: int, methods: dict[int, Method], *, persi
     return model
 
 
-def train(counts: DataFrame, order: int, method: str | Sequence[str] = "gt", *, interpolate: bool = False, min_counts: dict[int, int] | None = None, delta: float = 0.5, persist: bool = True) -> Model:
-    """Estimate with one method for all orders, or one per order; parameters come from the counts."""
+def train(counts: DataFrame, order: int, method: str | Sequence[str] = "gt", *, interpolate: bool = False, min_counts: dict[int, int] | None = None, delta: float = 0.5, persist: bool = True, kn_counts_are: str = "raw") -> Model:
+    """Estimate with one method for all orders, or one per order; parameters come from the counts.
+
+    For Kneser-Ney, counts are ``raw`` (modified here, before constants are taken from them), ``modified`` already, or
+    ``raw_for_constants`` (the constants are those of the raw counts, which are modified afterwards).
+    """
     names = [method] * order if isinstance(method, str) else list(method)
-    if any(m in ("kn", "mkn") for m in names):
+    if kn_counts_are not in ("raw", "modified", "raw_for_constants"):
+        raise ValueError(kn_counts_are)
+    kneser = any(m in ("kn", "mkn") for m in names)
+    if kneser and kn_counts_are == "raw":
         counts = kn_counts(cut(counts) if persist else counts, order).where("cnt > 0")
     if persist:
         counts = cut(counts)  # parameters, vocabulary and every order read them again
     lows = min_counts or {}
     methods = {n: fit(names[n - 1], counts, n, interpolate=interpolate, min_count=lows.get(n), delta=delta) for n in range(1, order + 1)}
+    if kneser and kn_counts_are == "raw_for_constants":
+        counts = kn_counts(counts, order).where("cnt > 0")
+        counts = cut(counts) if persist else counts
     return estimate(counts, order, methods, persist=persist)
 
 

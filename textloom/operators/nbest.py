@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.kernels import align as A
@@ -103,6 +103,17 @@ def parse_named_scores(lines: DataFrame, line: str = "line") -> DataFrame:
     return lines.select(parts[0].alias("utt"), F.filter(F.split(parts[1], r"\s+"), lambda w: w != "").alias("words"), F.transform_values(F.str_to_map(parts[2], F.lit(" "), F.lit("=")), lambda k, v: v.cast("double")).alias("scores"))
 
 
+def read_list_set(spark: SparkSession, path: str) -> DataFrame:
+    """``utt``, ``rank``, ``line`` of a folder of lists, one file an utterance, named for it; ranks are the order in the file.
+
+    A file is one row of the scan (a list is bounded by its length n), so its lines keep their order; which parser the
+    lines need is the caller's choice.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[A-Za-z0-9]+)?(\.gz|\.bz2)?$", 1).alias("utt"), "value")
+    lines = files.select(F.url_decode(F.replace("utt", F.lit("+"), F.lit("%2B"))).alias("utt"), F.posexplode(F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "")).alias("rank", "line"))
+    return lines
+
+
 def format_lines(hyps: DataFrame) -> DataFrame:
     return hyps.select("utt", "rank", F.concat_ws(" ", F.col("ascore").cast("string"), F.col("lscore").cast("string"), F.col("nwords").cast("string"), F.array_join("words", " ")).alias("line"))
 

@@ -12,9 +12,10 @@ from textloom.operators import factored as X
 from textloom.operators import rewrite as W
 from textloom.operators import score as R
 from textloom.plans import sql as Q
-from textloom.plans.counting import docs, held_out
+from textloom.plans.counting import docs, held_out, shown
 from textloom.plans.modelling import EVENTS, SCORED, STATS, TWO, WB, shown_probs, two_models, wb_model
-from textloom.plans.session import cut, table
+from textloom.plans.session import cut, new_folder, table
+from textloom.sources import tables
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -30,6 +31,28 @@ def register(name: str, sql: str | None = None):
     return add
 
 
+@register("counts_directory", f"WITH {Q.train_counts(2)} SELECT ord, {Q.gram()} AS ngram, CAST(cnt AS BIGINT) AS cnt FROM c WHERE {Q.first(Q.gram())} BETWEEN 'm' AND 'pz'")
+def q_counts_directory(spark, d):
+    path = new_folder(spark)
+    tables.write_counts_table(C.count_ngrams(docs(spark, d), 2), path)
+    return shown(tables.read_counts_table(spark, path, first=("m", "pz")))
+
+
+@register("counts_of_vocabulary", f"""WITH {Q.train_counts(2)}, {Q.HELD_OUT}, v AS (SELECT DISTINCT unnest(words) AS w FROM tsent UNION SELECT '<s>' UNION SELECT '</s>')
+SELECT ord, {Q.gram()} AS ngram, CAST(cnt AS BIGINT) AS cnt FROM c SEMI JOIN v USING (w) WHERE ctx = '' OR ctx IN (SELECT w FROM v)""")
+def q_counts_of_vocabulary(spark, d):
+    path = new_folder(spark)
+    tables.write_counts_table(C.count_ngrams(docs(spark, d), 2), path)
+    return shown(tables.read_counts_table(spark, path, vocabulary=held_out(spark, d).select(F.explode("words").alias("w")).distinct()))
+
+
+@register("model_directory", f"WITH {Q.HELD_OUT},{Q.counts('c', 'tsent', 2)},{Q.wb_bigram()} SELECT 1 AS ord, w AS ngram, round(log10(p), 6) AS logp FROM m_u UNION ALL SELECT 2 AS ord, ctx || ' ' || w AS ngram, round(log10(p), 6) AS logp FROM m_b")
+def q_model_directory(spark, d):
+    path = new_folder(spark)
+    tables.write_model_table(E.train(C.count_ngrams(held_out(spark, d), 2), 2, "wb"), path)
+    return shown_probs(tables.read_model_table(spark, path))
+
+
 @register("model_rescored", f"WITH {TWO}, k AS (SELECT ctx, w FROM m_b), {Q.bigram_lookup('kb', 'k', 'n', '1 AS one')} SELECT ctx || ' ' || w AS ngram, round(log10(p), 6) AS logp FROM kb WHERE p > 0")
 def q_rescored(spark, d):
     a, b = two_models(spark, d)
