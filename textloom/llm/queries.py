@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import ann, chat, htmltext, langid, mixing, pieces, quality, sharding, simhash, tokencount
+from textloom.llm import ann, chat, htmltext, langid, mixing, pieces, quality, repair, search, sharding, simhash, tokencount, urlfilter
 from textloom.llm.common import SPACE_CLASS
+from textloom.llm.sql import SEARCH_SQL, repair_sql, url_sql
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 TABLE_SIZE = 16381
+RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 PLANTED = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
 
 
@@ -99,6 +101,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(f"q_rules.{c}").alias(c) for c in names])
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urlfilter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), urlfilter.rules_frame(spark, RULES))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_digests(table(spark, sf_dir, "conversations"), hurt=True)
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), k=20)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -117,6 +132,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_source_mix": op8_source_mix,
         "op9_html_text": op9_html_text,
         "op10_quality": op10_quality,
+        "op11_url_filter": op11_url_filter,
+        "op12_conversation_repair": op12_conversation_repair,
+        "op13_ranked_search": op13_ranked_search,
         "llm_page_language": page_language,
     }
 
@@ -189,7 +207,7 @@ SELECT doc_id, source, size, source_size, target, CAST((whole + CASE WHEN rid IN
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": shard_sql(), "op3_chat_format": CHAT_SQL, "op8_source_mix": mix_sql()}
+    return {"op1_sharding": shard_sql(), "op3_chat_format": CHAT_SQL, "op8_source_mix": mix_sql(), "op11_url_filter": url_sql(RULES), "op12_conversation_repair": repair_sql(), "op13_ranked_search": SEARCH_SQL}
 
 
 __all__ = ["SPACE_CLASS", "oracle_sql", "pipeline", "queries"]
