@@ -177,7 +177,7 @@ def test_repair_odd_tables(spark):
     assert got[1].repaired_sha256 == hashlib.sha256(("user:" + "long. " * 20000 + "\nassistant:fine.").encode()).hexdigest()
     assert (got[2].blank, got[2].audit, got[2].repaired_sha256) == (1, "D", hashlib.sha256(b"").hexdigest())
     assert got[3].gaps is None and got[3].audit == "KK"
-    assert got[4].duplicate == 299 and got[4].audit == "D" * 300 and got[4].illegal == 299
+    assert (got[4].duplicate, got[4].audit, got[4].illegal, got[4].cost) == (299, "K" + "D" * 299 + "I", 299, 3 * 299 + 2)
 
 
 # ---- 13: ranked search ----
