@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _modules() -> list:
-    from textloom.plans import counting, hypotheses, modelling, rewriting
+    from textloom.plans import counting, factors, hypotheses, modelling, rewriting
 
-    return [counting, modelling, hypotheses, rewriting]
+    return [counting, modelling, hypotheses, rewriting, factors]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
