@@ -182,14 +182,6 @@ def test_quantise(text):
     assert q.probs.where(F.col("logp") > R.ZERO).select("logp").distinct().count() <= 8
 
 
-def test_maxent_conversion_sums_to_one(text):
-    c = C.count_ngrams(text, 2)
-    words = E.vocabulary_of(c)
-    m = em.maxent_to_backoff(em.fit_maxent(c, 2, words, rounds=3), words)
-    for r in R.prob_sums(text.sparkSession.createDataFrame([("the",), ("zz",), ("cat",)], "ctx string"), m).collect():
-        assert abs(r["total"] - 1) < 1e-6
-
-
 def test_cache(spark):
     words = spark.createDataFrame([("k", i, w) for i, w in enumerate("a b a a c a".split())], "k string, at int, w string")
     got = [round(r["cache"], 4) for r in M.cache_probs(words, ["k"], ["at"], 3).orderBy("at").collect()]

@@ -9,10 +9,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.sequences import but_last, first_word, gram, last_word, shorter, with_boundaries
+from textloom.plans.session import cut
 from textloom.schema import BOS, EOS, META, NON_EVENTS, UNK
 
 
@@ -200,14 +201,68 @@ def tagged_counts(sents: DataFrame, order: int) -> DataFrame:
     return rows.groupBy(F.size("g").alias("ord"), but_last(g).alias("ctx"), last_word(g).alias("w")).agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def class_spans(sents: DataFrame, classes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Where class expansions stand in sentences: keys, ``at`` (from 1), ``size``, ``class``, ``expansion``; leftmost, longest, without overlap.
+
+    Every stretch of words as long as some expansion is looked up by an equi-join. The longest match of a place is a span; a
+    span that begins where no earlier one reaches is taken, and from it the choice goes on to the first span behind it. Those
+    steps are followed by doubling: in each round the taken spans reach as far again, so that a chain of overlapping spans
+    takes a number of rounds that grows with its logarithm. An expansion of several classes counts for the most likely (ties by name).
+    """
+    sizes = sorted(r[0] for r in classes.where(F.size("expansion") > 0).select(F.size("expansion")).distinct().collect())
+    text = F.array_join("expansion", " ")
+    best = classes.where(F.size("expansion") > 0).groupBy(text.alias("_t")).agg(F.min_by(F.struct("class", "expansion"), F.struct(-F.col("p"), F.col("class"))).alias("_b"))
+    words = F.col("words")
+    starts = F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.transform(F.array(*map(F.lit, sizes)), lambda n: F.struct(i.alias("at"), n.alias("size")))))
+    fits = F.filter(starts, lambda x: x["at"] + x["size"] - 1 <= F.size(words))
+    rows = sents.where(F.size("words") > 0).select(*keys, F.explode(F.transform(fits, lambda x: F.struct(x["at"].alias("at"), x["size"].alias("size"), F.array_join(F.slice(words, x["at"], x["size"]), " ").alias("_t")))).alias("x"))
+    met = rows.select(*keys, "x.*").join(best, "_t")
+    spans = met.groupBy(*keys, "at").agg(F.max_by(F.struct("size", "_b"), "size").alias("m")).select(*keys, "at", "m.size", "m._b.class", "m._b.expansion")
+    if not sizes or sizes[-1] == 1:
+        return spans
+    line = Window.partitionBy(*keys).orderBy("at")
+    reach = F.max(F.col("at") + F.col("size")).over(line.rowsBetween(Window.unboundedPreceding, -1))
+    step = F.coalesce(*[F.when(F.col("size") == n, F.min("at").over(line.rangeBetween(n, Window.unboundedFollowing))) for n in sizes])
+    spans = cut(spans.withColumns({"_head": F.coalesce(F.col("at") >= reach, F.lit(True)), "_to": step}))
+    heads = spans.where("_head").select(*keys, "at")
+    # what a head takes is certain; a step that leads to a head needs no following
+    jumps = cut(spans.join(heads.withColumnRenamed("at", "_to").withColumn("_known", F.lit(True)), [*keys, "_to"], "left").where(F.col("_to").isNotNull() & F.col("_known").isNull()).select(*keys, "at", F.col("_to").alias("to")))
+    taken = heads
+    while not jumps.isEmpty():
+        more = cut(taken.join(jumps, [*keys, "at"]).select(*keys, F.col("to").alias("at")))
+        if more.isEmpty():
+            break
+        taken = cut(taken.unionByName(more).distinct())
+        jumps = cut(jumps.join(jumps.select(*keys, F.col("at").alias("to"), F.col("to").alias("_far")), [*keys, "to"]).select(*keys, "at", F.col("_far").alias("to")))
+    return spans.join(taken, [*keys, "at"], "left_semi").select(*keys, "at", "size", "class", "expansion")
+
+
 def class_replaced(sents: DataFrame, classes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Sentences with words of single-word classes replaced by their most likely class (ties by name)."""
-    best = classes.where(F.size("expansion") == 1).groupBy(F.col("expansion")[0].alias("_v")).agg(F.min_by("class", F.struct(-F.col("p"), "class")).alias("_c"))
-    rows = sents.select(*keys, F.posexplode("words").alias("_at", "_w")).join(best, F.col("_w") == F.col("_v"), "left")
+    """Sentences with the expansions of classes (``class``, ``p``, ``expansion``) replaced by their class."""
+    spans = class_spans(sents, classes, keys)
+    covered = spans.select(*keys, F.explode(F.expr("sequence(at, at + size - 1)")).alias("_at"), "at", F.col("class").alias("_c"))
+    rows = sents.select(*keys, F.posexplode("words").alias("_p", "_w")).withColumn("_at", F.col("_p") + 1).drop("_p")
+    rows = rows.join(covered, [*keys, "_at"], "left").where(F.col("at").isNull() | (F.col("at") == F.col("_at")))
     listed = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_at", F.coalesce("_c", "_w").alias("_w")))).alias("_l"))
     return listed.select(*keys, F.transform("_l", lambda x: x["_w"]).alias("words"))
 
 
+def class_replaced_counts(counts: DataFrame, classes: DataFrame) -> DataFrame:
+    """Counts with expansions replaced inside each n-gram; what becomes alike is added up under its new order."""
+    rows = counts.select("ord", "ctx", "w", "cnt", F.split(gram(F.col("ctx"), F.col("w")), " ").alias("words"))
+    new = class_replaced(rows.select("ord", "ctx", "w", "words"), classes, ["ord", "ctx", "w"]).join(counts, ["ord", "ctx", "w"])
+    text = F.array_join("words", " ")
+    return new.groupBy(F.size("words").alias("ord"), but_last(text).alias("ctx"), last_word(text).alias("w")).agg(F.sum("cnt").alias("cnt"))
+
+
+def expansion_probabilities(spans: DataFrame, classes: DataFrame, add: float = 1.0) -> DataFrame:
+    """``class``, ``expansion``, ``n``, ``p``: how often each expansion stood for its class, smoothed by an added count."""
+    n = spans.groupBy("class", "expansion").agg(F.count(F.lit(1)).alias("n"))
+    rows = classes.select("class", "expansion").distinct().join(n, ["class", "expansion"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    whole = rows.groupBy("class").agg(F.sum("n").alias("_t"), F.count(F.lit(1)).alias("_k"))
+    return rows.join(whole, "class").select("class", "expansion", "n", F.when(F.col("_t") + F.col("_k") * add > 0, (F.col("n") + add) / (F.col("_t") + F.col("_k") * add)).otherwise(0.0).alias("p"))
+
+
 def factored_counts(tokens: DataFrame, parents: Sequence[str], child: str) -> DataFrame:
     """Counts of the child with every subset of its parents: the nodes of a back-off graph are the cube's grouping sets."""
     cube = tokens.cube(*parents, child).agg(F.count(F.lit(1)).alias("cnt"), F.grouping_id().alias("_g"))

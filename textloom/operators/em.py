@@ -1,4 +1,4 @@
-"""Iterative estimation: mixture weights, count models, skip models, word classes, maximum entropy.
+"""Iterative estimation: mixture weights, count models, skip models, word classes.
 
 Per-iteration work is one distributed aggregate; the driver holds only parameters (weights per model, per
 bucket, or per iteration's step).
@@ -251,56 +251,4 @@ def class_definitions(counts: DataFrame, assignment: DataFrame) -> DataFrame:
     return one.join(whole, "class").select("class", "w", (F.col("cnt") / F.col("_t")).alias("p"))
 
 
-# ---- maximum entropy ----
-
-
-def fit_maxent(counts: DataFrame, order: int, vocabulary: DataFrame, rounds: int = 30, l2: float = 1e-4, rate: float = 1.0) -> DataFrame:
-    """Feature weights ``ord``, ``ctx``, ``w``, ``lam`` of a maximum entropy n-gram model, by regularised gradient steps.
-
-    Per step the expectations of an order are aggregates over the contexts seen times the words that have a
-    feature there; words without one share a uniform rest, so the vocabulary is never crossed with contexts.
-    """
-    v = vocabulary.count()
-    feats = cut(counts.where((F.col("ord") <= order) & (F.col("w") != BOS)).select("ord", "ctx", "w", F.col("cnt").cast("double").alias("obs"), F.lit(0.0).alias("lam")))
-    top = cut(counts.where((F.col("ord") == order) & (F.col("w") != BOS)).groupBy("ctx").agg(F.sum("cnt").cast("double").alias("n")))
-    total = top.agg(F.sum("n")).first()[0] or 1.0
-    for step in range(rounds):
-        expected = maxent_expectations(feats, top, order, v)
-        size = rate / math.sqrt(1 + step)
-        grad = (F.col("obs") - F.coalesce("e", F.lit(0.0))) / F.greatest(F.col("obs"), F.coalesce("e", F.lit(0.0)), F.lit(1.0)) - l2 * F.col("lam")
-        feats = cut(feats.join(expected, ["ord", "ctx", "w"], "left").select("ord", "ctx", "w", "obs", (F.col("lam") + size * grad).alias("lam")))
-    return feats.select("ord", "ctx", "w", "lam").where(F.lit(total) > 0)
-
-
-def maxent_expectations(feats: DataFrame, top: DataFrame, order: int, v: int) -> DataFrame:
-    """Expected counts of all features of a bigram or unigram model under the current weights."""
-    uni = feats.where(F.col("ord") == 1).select("w", F.col("lam").alias("l1"))
-    rest = uni.agg(F.sum(F.exp("l1")), F.count(F.lit(1))).first()
-    base = (rest[0] or 0.0) + (v - (rest[1] or 0))
-    if order == 1:
-        n = top.agg(F.sum("n")).first()[0] or 0.0
-        return uni.select(F.lit(1).alias("ord"), F.lit("").alias("ctx"), "w", (F.lit(n) * F.exp("l1") / F.lit(base)).alias("e"))
-    pairs = feats.where(F.col("ord") == 2).select("ctx", "w", F.col("lam").alias("l2")).join(uni, "w", "left").withColumn("l1", F.coalesce("l1", F.lit(0.0)))
-    z = pairs.groupBy("ctx").agg(F.sum(F.exp(F.col("l1") + F.col("l2")) - F.exp("l1")).alias("_d"))
-    ctx = cut(top.join(z, "ctx", "left").select("ctx", "n", (F.lit(base) + F.coalesce("_d", F.lit(0.0))).alias("z")))
-    two = pairs.join(ctx, "ctx").select("ctx", "w", (F.col("n") * F.exp(F.col("l1") + F.col("l2")) / F.col("z")).alias("e"), (F.col("n") * F.exp("l1") / F.col("z")).alias("base"))
-    flat = ctx.agg(F.sum(F.col("n") / F.col("z"))).first()[0] or 0.0
-    extra = two.groupBy("w").agg(F.sum(F.col("e") - F.col("base")).alias("_x"))
-    one = uni.join(extra, "w", "left").select(F.lit(1).alias("ord"), F.lit("").alias("ctx"), "w", (F.exp("l1") * F.lit(flat) + F.coalesce("_x", F.lit(0.0))).alias("e"))
-    return one.unionByName(two.select(F.lit(2).alias("ord"), "ctx", "w", "e"))
-
-
-def maxent_to_backoff(feats: DataFrame, vocabulary: DataFrame) -> Model:
-    """A bigram maximum entropy model as a back-off model with the same probabilities."""
-    v = vocabulary.count()
-    uni = vocabulary.select("w").distinct().join(feats.where(F.col("ord") == 1).select("w", F.col("lam").alias("l1")), "w", "left").withColumn("l1", F.coalesce("l1", F.lit(0.0)))
-    base = uni.agg(F.sum(F.exp("l1"))).first()[0] or float(v)
-    one = uni.select(F.lit(1).alias("ord"), F.lit("").alias("ctx"), "w", to_log(F.exp("l1") / F.lit(base)).alias("logp"))
-    pairs = feats.where(F.col("ord") == 2).select("ctx", "w", F.col("lam").alias("l2")).join(uni, "w")
-    z = pairs.groupBy("ctx").agg((F.lit(base) + F.sum(F.exp(F.col("l1") + F.col("l2")) - F.exp("l1"))).alias("z"))
-    two = pairs.join(z, "ctx").select(F.lit(2).alias("ord"), "ctx", "w", to_log(F.exp(F.col("l1") + F.col("l2")) / F.col("z")).alias("logp"))
-    bows = z.select(F.lit(1).alias("len"), "ctx", F.log10(F.lit(base) / F.col("z")).alias("bow"))
-    return Model(2, one.unionByName(two), bows)
-
-
-__all__ = ["best_mix", "first_word", "fit_count_model", "fit_maxent", "fit_skip", "gram", "induce_classes", "maxent_to_backoff", "merge_classes", "mix_step", "sentence_mix"]
+__all__ = ["best_mix", "first_word", "fit_count_model", "fit_skip", "gram", "induce_classes", "merge_classes", "mix_step", "sentence_mix"]

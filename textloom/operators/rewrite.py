@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.sequences import gram, shorter, split_multiwords, to_log
+from textloom.functions.sequences import but_last, gram, last_word, shorter, split_multiwords, to_log
 from textloom.operators import em
 from textloom.operators.estimate import renormalise
 from textloom.operators.score import ZERO, Model, lookup
@@ -81,19 +81,53 @@ def multiword_scores(events: DataFrame, model: Model, keys: Sequence[str], separ
     return text_stats(lookup(events_of(split, model.order, keys), model), keys)
 
 
-def expand_classes(model: Model, classes: DataFrame) -> Model:
-    """A class bigram model over words: single-word classes (``class``, ``w``, ``p``) expanded and summed; words that are no class stay."""
-    one = classes.select(F.col("class").alias("_c"), F.col("w").alias("_x"), F.col("p").alias("_q"))
-    rows = model.probs.where(F.col("logp") > ZERO).join(one, F.col("w") == F.col("_c"), "left")
-    rows = rows.select("ord", "ctx", F.coalesce("_x", "w").alias("w"), (F.pow(F.lit(10.0), "logp") * F.coalesce("_q", F.lit(1.0))).alias("p"))
-    uni = rows.where("ord = 1").groupBy("w").agg(F.sum("p").alias("p"))
-    ctx = one.withColumnRenamed("_q", "_cq")
-    two = rows.where("ord = 2").join(ctx, F.col("ctx") == F.col("_c"), "left")
-    # a word context weighs the classes it may stand for by their share
-    two = two.select(F.coalesce("_x", "ctx").alias("ctx"), "w", F.col("p"), F.coalesce("_cq", F.lit(1.0)).alias("_cq"))
-    sums = two.groupBy("ctx", "w").agg((F.sum(F.col("p") * F.col("_cq")) / F.max("_cq")).alias("p"))
-    probs = uni.select(F.lit(1).alias("ord"), F.lit("").alias("ctx"), "w", to_log(F.col("p")).alias("logp")).unionByName(sums.select(F.lit(2).alias("ord"), "ctx", "w", to_log(F.least("p", F.lit(1.0))).alias("logp")))
-    return renormalise(Model(2, cut(probs), model.bows))
+def context_logprob(grams: DataFrame, model: Model) -> DataFrame:
+    """Add ``joint``, the base-10 log probability of a sequence ``g`` (words joined by blanks); a start symbol counts as an end symbol."""
+    words = F.split("g", " ")
+    rows = grams.select("g").distinct().select("g", words.alias("ws"), F.explode(F.sequence(F.lit(1), F.size(words))).alias("j"))
+    start = (F.col("j") == 1) & (F.col("ws")[0] == BOS)
+    near = F.greatest(F.lit(1), F.col("j") - (model.order - 1)) if model.order > 1 else F.col("j")
+    ctx = F.array_join(F.slice("ws", near, F.col("j") - near), " ")
+    events = rows.select("g", F.when(start, "").otherwise(ctx).alias("ctx"), F.when(start, EOS).otherwise(F.get("ws", F.col("j") - 1)).alias("w"))
+    return lookup(events, model).groupBy("g").agg(F.sum("logp").alias("joint"))
+
+
+def expand_classes(model: Model, classes: DataFrame, order: int = 0) -> Model:
+    """A class model of any order over words: what the joint probabilities of expanded n-grams give as conditionals.
+
+    ``classes`` (``class``, ``expansion``, ``p``) may have expansions of several words. Every n-gram of the model is expanded
+    in all ways; its joint probability goes to every window that begins inside its first token's expansion and ends
+    inside its last one's, and is added up per window. A window that the model itself does not hold as an n-gram adds its
+    plain probability. An n-gram's conditional is its joint probability over that of its context (or over the sum of the
+    context's n-grams if that is larger, as for the empty one); weights are computed anew. ``order`` 0 keeps the longest window.
+    """
+    held = model.probs.where(F.col("logp") > ZERO).select(gram(F.col("ctx"), F.col("w")).alias("_gram"), F.col("ctx").alias("g"), "logp")
+    held = held.join(context_logprob(held.where("g <> ''"), model), "g", "left").select("_gram", (F.col("logp") + F.coalesce("joint", F.lit(0.0))).alias("joint"))
+    rows = cut(held).select("joint", F.split("_gram", " ").alias("toks"), F.array().cast("array<string>").alias("ws"), F.lit(0).alias("first"), F.lit(0).alias("last"))
+    ways = classes.select(F.col("class").alias("_c"), F.col("expansion").alias("_e"), F.log10("p").alias("_q"))
+    for k in range(model.order):
+        token = F.get("toks", F.lit(k))
+        size = F.size("_e")
+        done = rows.where(F.size("toks") <= k)
+        met = rows.where(F.size("toks") > k).join(ways, token == F.col("_c"), "left").withColumn("_e", F.coalesce("_e", F.array(token)))
+        met = met.select((F.col("joint") + F.coalesce("_q", F.lit(0.0))).alias("joint"), "toks", F.concat("ws", "_e").alias("ws"), (size if k == 0 else F.col("first")).alias("first"), size.alias("last"))
+        rows = met.unionByName(done)
+    trims = F.flatten(F.transform(F.sequence(F.lit(0), F.col("first") - 1), lambda a: F.transform(F.sequence(F.lit(0), F.col("last") - 1), lambda z: F.struct(a.alias("a"), z.alias("z")))))
+    windows = F.filter(F.transform(trims, lambda t: F.slice("ws", t["a"] + 1, F.greatest(F.size("ws") - t["a"] - t["z"], F.lit(0)))), lambda x: F.size(x) > 0)
+    sums = cut(rows.select(F.pow(F.lit(10.0), "joint").alias("p"), F.explode(windows).alias("x")).groupBy(F.array_join("x", " ").alias("g"), F.size("x").alias("ord")).agg(F.sum("p").alias("p")))
+    longest = sums.agg(F.max("ord")).first()[0] or 1
+    order = min(order or longest, longest)
+    sums = sums.where(F.col("ord") <= order)
+    plain = sums.join(model.probs.select(gram(F.col("ctx"), F.col("w")).alias("g")), "g", "left_anti")
+    plain = plain.join(context_logprob(plain, model), "g").select("g", F.pow(F.lit(10.0), "joint").alias("_plain"))
+    joint = cut(sums.join(plain, "g", "left").select("g", "ord", (F.col("p") + F.coalesce("_plain", F.lit(0.0))).alias("p")))
+    end = lookup(model.probs.sparkSession.createDataFrame([("", EOS)], "ctx string, w string"), model).select(F.lit(BOS).alias("ctx"), F.pow(F.lit(10.0), "logp").alias("_of"))
+    of = joint.where(F.col("g") != BOS).select(F.col("g").alias("ctx"), F.col("p").alias("_of")).unionByName(end)
+    split = joint.where(F.col("g") != BOS).select("ord", but_last(F.col("g")).alias("ctx"), last_word(F.col("g")).alias("w"), "p")
+    whole = split.groupBy("ctx").agg(F.sum("p").alias("_sum")).join(of, "ctx", "left").select("ctx", F.greatest("_sum", F.coalesce("_of", F.lit(0.0))).alias("_whole"))
+    probs = split.join(whole, "ctx").select("ord", "ctx", "w", to_log(F.col("p") / F.col("_whole")).alias("logp"))
+    start = model.probs.where((F.col("ord") == 1) & (F.col("w") == BOS)).select("ord", "ctx", "w", "logp")
+    return renormalise(Model(order, cut(probs.unionByName(start)), model.bows))
 
 
 def uniform_classes(classes: DataFrame) -> DataFrame:

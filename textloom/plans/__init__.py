@@ -18,4 +18,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for m in _modules() for k, s in m.SQL.items()}
+    from textloom.plans.sql import materialised
+
+    return {k: materialised(s) for m in _modules() for k, s in m.SQL.items()}

@@ -1,4 +1,4 @@
-"""Queries over factored models: every way of choosing and combining children of a node, on whole conversations."""
+"""Queries over factored models (every way of choosing and combining children of a node) and maximum entropy models."""
 
 from __future__ import annotations
 
@@ -7,8 +7,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.sequences import words_of
+from textloom.functions.sequences import gram, words_of
+from textloom.operators import counts as C
 from textloom.operators import factored as X
+from textloom.operators import maxent as X_ME
+from textloom.plans import sql as Q
+from textloom.plans.counting import held_out
+from textloom.plans.modelling import shown_probs
 from textloom.plans.session import cut, table
 
 QUERIES: dict = {}
@@ -98,3 +103,36 @@ COMBINED = {"min": "CASE WHEN c1 / n1 < c2 / n2 THEN v1 ELSE v2 END", "sum": "v1
 @register("factored_combinations", scored("combination", COMBINED, "each"))
 def q_combinations(spark, d):
     return scores(spark, d, "combination", {c: X.Node(method="wb", least=2, combine=c, weights=((1, 2.0), (2, 1.0))) for c in COMBINED})
+
+
+# ---- maximum entropy ----
+
+#: The gradient at given weights, from every context crossed with every word.
+GRADIENT = f"""WITH {Q.HELD_OUT},{Q.counts('c', 'tsent', 3)},
+f AS (SELECT ord, ctx, w, cnt, 0.1::DOUBLE * ln(1 + cnt) AS x FROM c WHERE w <> '<s>'),
+lg AS (SELECT ord - 1 AS ord, {Q.shorter()} AS ctx, w, sum(cnt) AS l FROM f WHERE ord > 1 GROUP BY ALL),
+al AS (SELECT f.ctx, f.w, f.cnt - coalesce(l, 0) AS n FROM f LEFT JOIN lg ON f.ord = lg.ord AND f.ctx = lg.ctx AND f.w = lg.w),
+tot AS (SELECT sum(n)::DOUBLE AS t FROM al WHERE n > 0),
+d AS (SELECT ctx, {Q.shorter()} AS one, sum(n) / max(t) AS n, CASE WHEN ctx = '' THEN 0 WHEN strpos(ctx, ' ') = 0 THEN 1 ELSE 2 END AS len FROM al, tot WHERE n > 0 GROUP BY ctx),
+e AS (SELECT d.ctx, CASE WHEN len = 2 THEN one ELSE d.ctx END AS one, len, n, u.w, exp(u.x + coalesce(b.x, 0) + coalesce(t.x, 0)) AS m FROM d JOIN f u ON u.ord = 1
+  LEFT JOIN f b ON b.ord = 2 AND b.w = u.w AND b.ctx = CASE WHEN len = 2 THEN one ELSE d.ctx END AND len > 0 LEFT JOIN f t ON t.ord = 3 AND t.w = u.w AND t.ctx = d.ctx AND len = 2),
+z AS (SELECT ctx, sum(m) AS z FROM e GROUP BY ctx),
+p AS (SELECT e.ctx, one, len, w, n * m / z AS q FROM e JOIN z ON e.ctx = z.ctx),
+x AS (SELECT 1 AS ord, '' AS ctx, w, sum(q) AS e FROM p GROUP BY w UNION ALL SELECT 2, one, w, sum(q) FROM p WHERE len > 0 GROUP BY one, w UNION ALL SELECT 3, ctx, w, sum(q) FROM p WHERE len = 2 GROUP BY ctx, w)
+SELECT CAST(f.ord AS INTEGER) AS ord, {Q.gram('f.ctx', 'f.w')} AS ngram, round(x.e - f.cnt / t + f.x / (6.0::DOUBLE * t), 8) AS gradient
+FROM f JOIN x ON f.ord = x.ord AND f.ctx = x.ctx AND f.w = x.w, tot"""
+
+
+@register("maxent_gradient", GRADIENT)
+def q_maxent_gradient(spark, d):
+    rows, contexts, total = X_ME.structure(cut(C.count_ngrams(held_out(spark, d), 3)), 3)
+    rows = rows.withColumn("x", F.lit(0.1) * F.log1p(F.round(F.col("k") * F.lit(total))))
+    found, _ = X_ME.evaluate(rows, X_ME.shape_of(rows, contexts), X_ME.SIGMA2 * total)
+    return found.select("ord", gram(F.col("ctx"), F.col("w")).alias("ngram"), F.round("g", 8).alias("gradient"))
+
+
+@register("maxent")
+def q_maxent(spark, d):
+    """Trigrams, to convergence."""
+    m = X_ME.to_backoff(X_ME.fit(cut(C.count_ngrams(held_out(spark, d), 3)), 3), 3)
+    return shown_probs(m, 1, 4)

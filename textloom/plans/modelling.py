@@ -490,11 +490,3 @@ def q_skip_em(spark, d):
 @register("word_classes")
 def q_classes(spark, d):
     return em.induce_classes(cut(C.count_ngrams(held_out(spark, d), 2).where("ord = 2")), 8)
-
-
-@register("maxent")
-def q_maxent(spark, d):
-    c = cut(C.count_ngrams(held_out(spark, d), 2))
-    vocabulary = cut(c.where("ord = 1 and w <> '<s>'").select("w"))
-    m = em.maxent_to_backoff(em.fit_maxent(c, 2, vocabulary, rounds=4), vocabulary)
-    return shown_probs(m, 1, 4)

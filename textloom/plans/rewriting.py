@@ -146,11 +146,58 @@ def q_vocabulary_rank(spark, d):
     return spark.createDataFrame(W.rank_vocabulary(sources, _unigrams(held_out(spark, d)), 4), "source string, gain long")
 
 
-@register("class_expansion")
+CLASSES = [("ART", 0.5, ["the"]), ("ART", 0.2, ["a"]), ("ART", 0.3, ["la"]), ("PLACE", 0.6, ["of", "the"]), ("PLACE", 0.4, ["in", "the"]), ("LINK", 1.0, ["the", "of"])]
+
+#: Held-out sentences with the longest expansion at each place, left to right, replaced by its class.
+REPLACED = f"""{Q.HELD_OUT},
+defs(class, p, e) AS (VALUES {", ".join(f"('{c}', {p}::DOUBLE, {e})" for c, p, e in CLASSES)}),
+walk AS (
+  SELECT item_id, sent_id, words, 1 AS i, CAST([] AS VARCHAR[]) AS done FROM tsent
+  UNION ALL
+  SELECT item_id, sent_id, words, i + greatest(coalesce(len(best.e), 1), 1), list_append(done, coalesce(best.class, words[i])) FROM (
+    SELECT *, (SELECT arg_max({{'class': class, 'e': e}}, len(e)) FROM defs WHERE words[i:i + len(e) - 1] = e) AS best FROM walk WHERE i <= len(words))),
+rsent AS (SELECT item_id, sent_id, done AS words FROM walk WHERE i > len(words))"""
+
+
+def class_frame(spark) -> DataFrame:
+    return spark.createDataFrame(CLASSES, "class string, p double, expansion array<string>")
+
+
+@register("class_replaced_multiword", f"WITH RECURSIVE {REPLACED}, {Q.counts('c', 'rsent', 2)} SELECT ord, {Q.gram()} AS ngram, CAST(cnt AS BIGINT) AS cnt FROM c")
+def q_class_multiword(spark, d):
+    return shown(C.count_ngrams(C.class_replaced(held_out(spark, d), class_frame(spark), ["item_id", "sent_id"]), 2))
+
+
+@register("class_expansion_counts", f"""WITH RECURSIVE {REPLACED},
+used AS (SELECT class, e, count(*) AS n FROM (SELECT words, item_id, sent_id, i, (SELECT arg_max({{'class': class, 'e': e}}, len(e)) FROM defs WHERE words[i:i + len(e) - 1] = e) AS best FROM walk WHERE i <= len(words)) JOIN defs ON class = best.class AND e = best.e GROUP BY ALL),
+al AS (SELECT defs.class, defs.e, coalesce(n, 0) AS n FROM defs LEFT JOIN used ON defs.class = used.class AND defs.e = used.e)
+SELECT class, array_to_string(e, ' ') AS expansion, CAST(n AS BIGINT) AS n, round((n + 1) / (sum(n) OVER (PARTITION BY class) + count(*) OVER (PARTITION BY class)), 8) AS p FROM al""")
+def q_class_counts(spark, d):
+    found = C.expansion_probabilities(C.class_spans(held_out(spark, d), class_frame(spark), ["item_id", "sent_id"]), class_frame(spark))
+    return found.select("class", F.array_join("expansion", " ").alias("expansion"), "n", F.round("p", 8).alias("p"))
+
+
+@register("class_expansion", f"""WITH RECURSIVE {REPLACED}, {Q.counts('c', 'rsent', 2)}, {Q.wb_bigram()},
+ways AS (SELECT class AS tok, e, p FROM defs UNION ALL SELECT w, [w], 1.0::DOUBLE FROM m_u WHERE w NOT IN (SELECT class FROM defs) UNION ALL SELECT '<s>', ['<s>'], 1.0::DOUBLE),
+pc AS (SELECT w AS tok, p FROM m_u UNION ALL SELECT '<s>', p FROM m_u WHERE w = '</s>'),
+ex AS (
+  SELECT x.e AS ws, len(x.e) AS f, len(x.e) AS z, u.p * x.p AS p FROM m_u u JOIN ways x ON x.tok = u.w WHERE u.p > 0
+  UNION ALL SELECT list_concat(x.e, y.e), len(x.e), len(y.e), pc.p * b.p * x.p * y.p FROM m_b b JOIN pc ON pc.tok = b.ctx JOIN ways x ON x.tok = b.ctx JOIN ways y ON y.tok = b.w),
+cut1 AS (SELECT ws, z, p, unnest(range(0, f)) AS a FROM ex), cut2 AS (SELECT ws, p, a, unnest(range(0, z)) AS b FROM cut1),
+win AS (SELECT list_slice(ws, a + 1, len(ws) - b) AS g, sum(p) AS p FROM cut2 WHERE len(ws) - b > a GROUP BY 1),
+held AS (SELECT [w] AS g FROM m_u UNION ALL SELECT ['<s>'] UNION ALL SELECT [ctx, w] FROM m_b),
+plain AS (SELECT win.g, CASE WHEN len(win.g) = 1 THEN 0 ELSE coalesce(pc.p, 0) * coalesce(k.bow, 1) * coalesce(u.p, 0) END AS q FROM win LEFT JOIN pc ON pc.tok = win.g[1] LEFT JOIN m_w k ON k.ctx = win.g[1] LEFT JOIN m_u u ON u.w = win.g[2]
+  WHERE len(win.g) <= 2 AND win.g NOT IN (SELECT g FROM held)),
+joint AS (SELECT win.g, win.p + coalesce(q, 0) AS p FROM win LEFT JOIN plain ON win.g = plain.g WHERE len(win.g) <= 2),
+two AS (SELECT g[1] AS ctx, g[2] AS w, p FROM joint WHERE len(g) = 2), one AS (SELECT g[1] AS w, p FROM joint WHERE len(g) = 1 AND g[1] <> '<s>' UNION ALL SELECT '<s>', p FROM m_u WHERE w = '</s>'),
+whole AS (SELECT two.ctx, greatest(sum(two.p), coalesce(max(one.p), 0)) AS t FROM two LEFT JOIN one ON one.w = two.ctx GROUP BY two.ctx)
+SELECT CAST(2 AS INTEGER) AS ord, two.ctx || ' ' || two.w AS ngram, round(log10(p / t), 6) AS logp FROM two JOIN whole ON two.ctx = whole.ctx
+UNION ALL SELECT 1, w, round(log10(p / (SELECT sum(p) FROM one WHERE w <> '<s>')), 6) FROM one WHERE w <> '<s>'""")
 def q_expansion(spark, d):
-    sents = held_out(spark, d).select(F.transform("words", lambda w: F.when(w.isin("the", "a"), "ART").otherwise(w)).alias("words"))
-    classes = spark.createDataFrame([("ART", "the", 0.8), ("ART", "a", 0.2)], "class string, w string, p double")
-    return shown_probs(W.expand_classes(E.train(C.count_ngrams(sents, 2), 2, "wb"), classes), 2)
+    """A class model of replaced text, as a word bigram model; expansions of two words make windows inside them."""
+    replaced = cut(C.class_replaced(held_out(spark, d), class_frame(spark), ["item_id", "sent_id"]))
+    model = E.train(C.count_ngrams(replaced, 2), 2, "wb").persist()
+    return shown_probs(W.expand_classes(model, class_frame(spark), 2))
 
 
 @register("changed_vocabulary")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 SENTENCES = r"""
 lines AS (SELECT doc_id, lang, source, string_split(text, chr(10)) AS l FROM documents),
 sent AS (SELECT * FROM (
@@ -108,3 +110,10 @@ def events(name: str, source: str, order: int, keys: str) -> str:
 {name}_p AS (SELECT {keys}, {padded()} AS ws FROM {source}),
 {name}_j AS (SELECT {keys}, ws, unnest(range(2, len(ws) + 1)) AS j FROM {name}_p),
 {name} AS (SELECT {keys}, j - 1 AS pos, array_to_string(list_slice(ws, greatest(1, j - {order - 1}), j - 1), ' ') AS ctx, ws[j] AS w FROM {name}_j)"""
+
+
+def materialised(sql: str) -> str:
+    """Every common table computed once: a plain engine otherwise repeats it wherever it is named."""
+    if "RECURSIVE" in sql:
+        return sql
+    return re.sub(r"((?:WITH|,)\s+)(\w+) AS \(\s*(SELECT)", r"\1\2 AS MATERIALIZED (\3", sql)
