@@ -58,8 +58,36 @@ def test_vocabulary_choice(spark):
 
 
 def test_plain_text(spark):
-    got = spark.createDataFrame([(["hi", ",COMMA", "you", "?QUESTION-MARK"],)], "w array<string>").select(W.plain_text(F.col("w")).alias("w")).first()["w"]
-    assert got == ["hi", ",", "you", "?"]
+    words = 'hi ,COMMA 50 %PERCENT /SLASH me @AT-SIGN x .POINT y .PERIOD "DOUBLE-QUOTE a "DOUBLE-QUOTE -HYPHEN --DASH ...ELLIPSIS &AMPERSAND'.split()
+    rows = [(1, 1, words), (1, 2, ["<p>", "x"]), (1, 3, ['"DOUBLE-QUOTE', "b", *['"DOUBLE-QUOTE'] * 3]), (2, 1, ['"DOUBLE-QUOTE'])]
+    got = {(r.doc_id, r.sent_id): r.words for r in W.plain_sentences(spark.createDataFrame(rows, "doc_id int, sent_id int, words array<string>")).collect()}
+    assert got[1, 1] == "hi 50 percent slash me at x point y quote a and".split()
+    assert got[1, 3] == ["b", "quote"] and got[2, 1] == ["quote"] and (1, 2) not in got
+
+
+def test_lines_by_byte_order_mark(spark, tmp_path):
+    for name, code, mark in (("a", "utf-16-le", b"\xff\xfe"), ("b", "utf-16-be", b"\xfe\xff"), ("c", "utf-8", b"\xef\xbb\xbf"), ("d", "utf-8", b"")):
+        (tmp_path / f"{name}.txt").write_bytes(mark + f"h\u00e9 {name}\r\n\nzwei \u6f22\n".encode(code))
+    (tmp_path / "e.txt").write_bytes(b"")
+    from textloom.sources.text import read_marked_lines
+
+    got = sorted((r.file[-5:], r.words) for r in read_marked_lines(spark, str(tmp_path)).collect())
+    assert got == [(f"{n}.txt", w) for n in "abcd" for w in ([f"h\u00e9", n], ["zwei", "\u6f22"])]
+
+
+def test_discount_files():
+    from textloom.operators import discount as D
+
+    gt = D.GoodTuring(False, 2, 3, {1: 0.5, 2: 0.75, 3: 1.0})
+    assert D.write_parameters(gt) == "mincount 2\nmaxcount 3\ndiscount 1 0.5\ndiscount 2 0.75\ndiscount 3 1.0\n"
+    assert D.read_parameters(D.write_parameters(gt), "gt") == gt
+    for m, kind in ((D.KneserNey(True, 1, 0.3), "kn"), (D.ModifiedKneserNey(True, 2, 0.5, 1.0, 1.25), "mkn")):
+        assert D.read_parameters(D.write_parameters(m), kind, True) == m
+    for wrong in ("colour 1", "discount 1", "maxcount 2 3"):
+        with pytest.raises(ValueError):
+            D.read_parameters(wrong, "gt")
+    with pytest.raises(ValueError):
+        D.write_parameters(D.WittenBell())
 
 
 def test_contract():

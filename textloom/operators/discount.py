@@ -192,3 +192,42 @@ def load_parameters(text: str) -> Method:
     if "factors" in spec:
         spec["factors"] = {int(k): v for k, v in spec["factors"].items()}
     return kind(**spec)
+
+
+# ---- parameter files ----
+
+
+def write_parameters(method: Method) -> str:
+    """The parameters of a Good-Turing or Kneser-Ney method as lines of a discount file."""
+    count = lambda x: str(int(x)) if float(x).is_integer() else repr(float(x))
+    lines = [f"mincount {count(method.min_count)}"]
+    if isinstance(method, GoodTuring):
+        lines += [f"maxcount {method.max_count}"] + [f"discount {k} {method.factors.get(k, 1.0)!r}" for k in range(1, method.max_count + 1)]
+    elif isinstance(method, ModifiedKneserNey):
+        lines += [f"discount1 {method.d1!r}", f"discount2 {method.d2!r}", f"discount3+ {method.d3!r}"]
+    elif isinstance(method, KneserNey):
+        lines += [f"discount1 {method.delta!r}"]
+    else:
+        raise ValueError(f"{type(method).__name__} has no parameter file")
+    return "\n".join(lines) + "\n"
+
+
+def read_parameters(text: str, kind: str, interpolate: bool = False) -> Method:
+    """The method (``gt``, ``kn``, ``mkn``) of a discount file; what it does not name keeps its default."""
+    values: dict[str, float] = {}
+    factors: dict[int, float] = {}
+    for line in filter(None, map(str.strip, text.splitlines())):
+        name, *rest = line.split()
+        if name == "discount" and kind == "gt" and len(rest) == 2:
+            factors[int(rest[0])] = float(rest[1])
+        elif name in {"gt": ("mincount", "maxcount"), "kn": ("mincount", "discount1"), "mkn": ("mincount", "discount1", "discount2", "discount3+")}[kind] and len(rest) == 1:
+            values[name] = float(rest[0])
+        else:
+            raise ValueError(f"unrecognized parameter: {line}")
+    low = values.get("mincount", 1)
+    if kind == "gt":
+        top = int(values.get("maxcount", max(factors, default=0)))
+        return GoodTuring(False, low, top, {k: factors.get(k, 0.0) for k in range(1, top + 1)} | {k: d for k, d in factors.items() if k > top})
+    if kind == "kn":
+        return KneserNey(interpolate, low, values.get("discount1", 0.0))
+    return ModifiedKneserNey(interpolate, low, values.get("discount1", 0.0), values.get("discount2", 0.0), values.get("discount3+", 0.0))

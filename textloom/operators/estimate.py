@@ -64,10 +64,10 @@ def unigram_probs(level: DataFrame, method: Method, v: int) -> DataFrame:
     return rows.select("w", filled.alias("p"))
 
 
-def backoff_weights(rows: DataFrame, v: int) -> DataFrame:
+def backoff_weights(rows: DataFrame, v: int, keys: Sequence[str] = ("ctx",)) -> DataFrame:
     """``bow`` per context from sums of its probabilities and the lower order's; degenerate cases as the method asks."""
     seen = F.col("p") > 0
-    sums = rows.groupBy("ctx").agg(F.sum(F.when(seen, F.col("p")).otherwise(0.0)).alias("_p"), F.sum(F.when(seen, F.col("lowp")).otherwise(0.0)).alias("_l"), F.max("types").alias("types"))
+    sums = rows.groupBy(*keys).agg(F.sum(F.when(seen, F.col("p")).otherwise(0.0)).alias("_p"), F.sum(F.when(seen, F.col("lowp")).otherwise(0.0)).alias("_l"), F.max("types").alias("types"))
     settle = lambda x: F.when(F.abs(x) < EPSILON, F.lit(0.0)).otherwise(x)
     above, below = settle(1 - F.col("_p")), settle(1 - F.col("_l"))
     bow = (
@@ -78,7 +78,7 @@ def backoff_weights(rows: DataFrame, v: int) -> DataFrame:
     )
     # the lower order has no mass left but this context has: its probabilities are scaled up to one
     scale = F.when((below < EPSILON) & (above > EPSILON), 1 / F.col("_p")).otherwise(1.0)
-    return sums.select("ctx", bow.alias("bow"), scale.alias("scale"))
+    return sums.select(*keys, bow.alias("bow"), scale.alias("scale"))
 
 
 def estimate(counts: DataFrame, order: int, methods: dict[int, Method], *, persist: bool = True) -> Model:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.sequences import but_last, gram, last_word, shorter, split_multiwords, to_log
@@ -203,10 +203,35 @@ def rank_vocabulary(sources: dict[str, DataFrame], target: DataFrame, steps: int
 
 
 #: Verbalised punctuation and what it stands for.
-PUNCTUATION = {",COMMA": ",", ".PERIOD": ".", "?QUESTION-MARK": "?", "!EXCLAMATION-POINT": "!", ":COLON": ":", ";SEMI-COLON": ";", "--DASH": "--", "-HYPHEN": "-", "\"DOUBLE-QUOTE": "\"", "'SINGLE-QUOTE": "'", "(LEFT-PAREN": "(", ")RIGHT-PAREN": ")", "%PERCENT": "%", "/SLASH": "/"}
+#: Fixed values of the interchange format: verbalised marks that are spoken, and those that are not.
+SPOKEN = {"@AT-SIGN": "at", "&AMPERSAND": "and", "+PLUS": "plus", "=EQUALS": "equals", "%PERCENT": "percent", "/SLASH": "slash", ".POINT": "point"}
+SILENT = [",COMMA", "?QUESTION-MARK", ":COLON", "#SHARP-SIGN", "'SINGLE-QUOTE", ";SEMI-COLON", "!EXCLAMATION-POINT", "{LEFT-BRACE", "}RIGHT-BRACE", "(LEFT-PAREN", ")RIGHT-PAREN", ".PERIOD", "...ELLIPSIS", "--DASH", "-HYPHEN"]
+QUOTE = '"DOUBLE-QUOTE'
 
 
-def plain_text(words):
-    """Verbalised punctuation back to marks."""
-    table = F.create_map(*[F.lit(x) for pair in PUNCTUATION.items() for x in pair])
-    return F.transform(words, lambda w: F.coalesce(table[w], w))
+def plain_text(words: Column, quotes_before: Column | None = None, every: int = 5) -> Column:
+    """Words with verbalised punctuation as they are read out: some marks become words, the others go.
+
+    Of the double quotes every fifth is read out, counted from the start of a document: ``quotes_before`` tells how many
+    its earlier lines have (none if not given).
+    """
+    line = F.array_join(words, " ")
+    for mark, word in [*SPOKEN.items(), *[(m, "") for m in SILENT]]:
+        line = F.replace(line, F.lit(mark), F.lit(word))
+    left = F.filter(F.split(line, " "), lambda w: w != "")
+    before = F.lit(0) if quotes_before is None else quotes_before
+
+    def read(w: Column, i: Column) -> Column:
+        place = before + F.size(F.filter(F.slice(left, F.lit(1), i), lambda x: x == QUOTE))
+        return F.when(w != QUOTE, w).when(place % every == 0, "quote").otherwise("")
+
+    return F.filter(F.transform(left, read), lambda w: w != "")
+
+
+def plain_sentences(sents: DataFrame, doc: str = "doc_id", order: str = "sent_id", every: int = 5) -> DataFrame:
+    """Sentences read out, with quotes counted along each document; lines of markup (``<...``) go."""
+    sents = sents.where(~F.coalesce(F.get("words", F.lit(0)).startswith("<"), F.lit(False)))
+    marks = F.size(F.filter("words", lambda w: w == QUOTE))
+    earlier = F.coalesce(F.sum(marks).over(Window.partitionBy(doc).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counted = sents.withColumn("_before", earlier)
+    return counted.withColumn("words", plain_text(F.col("words"), F.col("_before"), every)).drop("_before")

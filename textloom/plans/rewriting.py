@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.operators import bigmodel as B
 from textloom.operators import counts as C
 from textloom.operators import dynamic as M
 from textloom.operators import estimate as E
@@ -16,6 +17,7 @@ from textloom.plans.counting import docs, held_out, shown
 from textloom.plans.modelling import EVENTS, SCORED, STATS, TWO, WB, shown_probs, two_models, wb_model
 from textloom.plans.session import cut, new_folder, table
 from textloom.sources import tables
+from textloom.sources import text as text_source
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -273,3 +275,36 @@ s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS U
 def q_sessions(spark, d):
     e = table(spark, d, "events").groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count(F.lit(1)).alias("n"))
     return e.select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("w.start")).cast("long").alias("session"), "n")
+
+
+@register("bucketed_model", f"WITH {Q.HELD_OUT},{Q.counts('c', 'tsent', 2)},{Q.wb_bigram()} SELECT CAST(2 AS INTEGER) AS ord, ctx || ' ' || w AS ngram, round(log10(p), 6) AS logp FROM m_b")
+def q_bucketed(spark, d):
+    """A Witten-Bell model whose counts are written in buckets and never dealt again."""
+    return shown_probs(B.train(C.count_ngrams(held_out(spark, d), 2), 2, "wb", buckets=8), 2)
+
+
+VERBAL = [(",", " ,COMMA"), (".", " .PERIOD"), ("%", " %PERCENT"), ("#", " #SHARP-SIGN"), ("|", ' "DOUBLE-QUOTE'), ("$", " @AT-SIGN")]
+
+
+def _verbal_sql(text: str) -> str:
+    for mark, word in VERBAL:
+        text = f"replace({text}, '{mark}', '{word}')"
+    return text
+
+
+@register("plain_text", rf"""
+WITH v AS (SELECT doc_id, string_split({_verbal_sql("text")}, chr(10)) AS l FROM documents),
+s AS (SELECT doc_id, sent_id, list_filter(regexp_split_to_array(l[sent_id], '[ 	
+]+'), lambda x: x <> '') AS ws FROM (SELECT *, unnest(range(1, len(l) + 1)) AS sent_id FROM v)),
+t AS (SELECT doc_id, sent_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS k FROM s),
+q AS (SELECT *, sum(CASE WHEN w = '"DOUBLE-QUOTE' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY sent_id, k) - 1 AS place FROM t),
+r AS (SELECT doc_id, sent_id, k, CASE WHEN w = '"DOUBLE-QUOTE' THEN CASE WHEN place % 5 = 0 THEN 'quote' ELSE '' END
+  ELSE replace(replace(replace(replace(replace(w, '@AT-SIGN', 'at'), '%PERCENT', 'percent'), ',COMMA', ''), '#SHARP-SIGN', ''), '.PERIOD', '') END AS w FROM q)
+SELECT doc_id, sent_id, count(*) AS n_words, md5(string_agg(w, ' ' ORDER BY k)) AS digest FROM r WHERE w <> '' GROUP BY doc_id, sent_id""")
+def q_plain_text(spark, d):
+    """Every line of the documents with its marks spelled out, and read out again."""
+    text = F.col("text")
+    for mark, word in VERBAL:
+        text = F.replace(text, F.lit(mark), F.lit(word))
+    said = W.plain_sentences(text_source.sentences(table(spark, d, "documents").select("doc_id", text.alias("text"))))
+    return said.where(F.size("words") > 0).select("doc_id", "sent_id", F.size("words").cast("long").alias("n_words"), F.md5(F.array_join("words", " ")).alias("digest"))

@@ -33,6 +33,21 @@ def read_lines(spark: SparkSession, path: str, encoding: str | None = None) -> D
     return out.where(F.size("words") > 0)
 
 
+def read_marked_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of uncompressed text files of mixed encodings: a byte order mark at a file's start tells UTF-16 (either order) or UTF-8.
+
+    Files without a mark are UTF-8. A file is decoded as a whole in one task.
+    """
+    raw = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
+    head, rest = F.hex(F.substring("content", 1, 3)), lambda n: F.substring(F.col("content"), n + 1, 1 << 30)
+    text = (
+        F.when(head.startswith("FFFE"), F.decode(rest(2), "UTF-16LE")).when(head.startswith("FEFF"), F.decode(rest(2), "UTF-16BE"))
+        .when(head == "EFBBBF", F.decode(rest(3), "UTF-8")).otherwise(F.decode("content", "UTF-8"))
+    )
+    lines = raw.select("file", F.explode(F.split(text, "\\r?\\n")).alias("line"))
+    return lines.select("file", "line", words_of(F.col("line")).alias("words")).where(F.size("words") > 0)
+
+
 def with_directives(df: DataFrame, escape: str, order: str, line: str = "line", group: tuple[str, ...] = ()) -> DataFrame:
     """Number the stretches between lines that start with the escape; directives get ``directive`` true."""
     from pyspark.sql import Window
