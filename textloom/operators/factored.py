@@ -68,6 +68,11 @@ class Spec:
     def top(self) -> int:
         return 2 ** len(self.parents) - 1
 
+    @property
+    def combine(self) -> dict[int, str]:
+        """How the nodes with options of their own combine their children."""
+        return {n: node.combine for n, node in self.nodes.items()}
+
     def node(self, n: int) -> Node:
         return self.nodes.get(n, self.default)
 

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from textloom.functions.alignment import alignment, step_count, transferred_tags
 from textloom.kernels import align as A
 
 
@@ -126,15 +127,22 @@ def format_ctm(timed: DataFrame) -> DataFrame:
 # ---- kernels ----
 
 
+def spread(pairs: DataFrame) -> DataFrame:
+    """Hypotheses over all tasks: few bytes each, but much work, so their size says nothing about how many a task should have."""
+    return pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), "utt", "rank")
+
+
 def word_errors(hyps: DataFrame, refs: DataFrame) -> DataFrame:
     """Substitutions, deletions and insertions of each hypothesis."""
     joined = hyps.select("utt", "rank", "words").join(refs.select("utt", F.col("words").alias("ref")), "utt")
+    steps = spread(joined).withColumn("_s", alignment(F.col("ref"), F.col("words")))
+    return steps.select("utt", "rank", *[step_count(F.col("_s"), k).alias(k) for k in ("sub", "del", "ins")])
 
-    @F.pandas_udf("sub long, del long, ins long")
-    def count(ref: pd.Series, words: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([A.errors(list(r), list(h)) for r, h in zip(ref, words, strict=True)], columns=["sub", "del", "ins"])
 
-    return joined.withColumn("_e", count("ref", "words")).select("utt", "rank", "_e.sub", "_e.del", "_e.ins")
+def tag_transfer(hyps: DataFrame, refs: DataFrame) -> DataFrame:
+    """Each hypothesis with the tags (``<...>``) of its reference put where the words they follow are."""
+    joined = hyps.join(refs.select("utt", F.col("words").alias("_ref")), "utt")
+    return spread(joined).withColumn("words", transferred_tags(F.col("_ref"), F.col("words"))).drop("_ref")
 
 
 def oracle_errors(hyps: DataFrame, refs: DataFrame) -> DataFrame:

@@ -169,16 +169,51 @@ def q_rescore(spark, d):
 # ---- kernels (rows only; tests compare them with brute force) ----
 
 
-@register("word_errors")
+def aligned(pairs: str, first: str, diagonal: str, up: str, left: str, cost: str) -> str:
+    """CTEs ``dp`` and ``done``: the edit table of ``pairs`` (utt, rank, r, h) by anti-diagonals; each cell extends the best of its neighbours.
+
+    ``first`` are the fields of the empty alignment; ``diagonal``, ``up`` and ``left`` those of a step to a cell ``i`` of diagonal ``d + 1``.
+    """
+    start = f"{{'c': 0.0::DOUBLE, 'o': 0, {first}}}"
+    ways = ", ".join([
+        f"CASE WHEN i > 0 AND d + 1 - i > 0 THEN {{'c': a[i].c + CASE WHEN r[i] = h[d + 1 - i] THEN 0 ELSE {cost} END, 'o': 0, {diagonal}}} END",
+        f"CASE WHEN i > 0 THEN {{'c': b[i].c + 3, 'o': 1, {up}}} END", f"CASE WHEN d + 1 - i > 0 THEN {{'c': b[i + 1].c + 3, 'o': 2, {left}}} END",
+    ])
+    return f"""
+dp AS (
+  SELECT utt, rank, r, h, 0 AS d, list_transform(range(0, len(r) + 1), lambda i: NULL::STRUCT(c DOUBLE, o INTEGER, {{types}})) AS a,
+    list_transform(range(0, len(r) + 1), lambda i: CASE WHEN i = 0 THEN {start} END) AS b FROM {pairs}
+  UNION ALL
+  SELECT utt, rank, r, h, d + 1, b, list_transform(range(0, len(r) + 1), lambda i: CASE WHEN d + 1 - i BETWEEN 0 AND len(h) THEN list_sort(list_filter([{ways}], lambda q: q.c IS NOT NULL))[1] END)
+  FROM dp WHERE d < len(r) + len(h)),
+done AS (SELECT utt, rank, b[len(r) + 1] AS e FROM dp WHERE d = len(r) + len(h))"""
+
+
+COUNTED = aligned(
+    "pairs", "'s': 0, 'd': 0, 'n': 0", "'s': a[i].s + CASE WHEN r[i] = h[d + 1 - i] THEN 0 ELSE 1 END, 'd': a[i].d, 'n': a[i].n",
+    "'s': b[i].s, 'd': b[i].d + 1, 'n': b[i].n", "'s': b[i + 1].s, 'd': b[i + 1].d, 'n': b[i + 1].n + 1", "4",
+).replace("{types}", "s INTEGER, d INTEGER, n INTEGER")
+
+
+@register("word_errors", f"""WITH RECURSIVE {HYPS}, pairs AS (SELECT utt, rank, refs.words AS r, h.words AS h FROM h JOIN refs USING (utt)), {COUNTED}
+SELECT utt, rank, CAST(e.s AS BIGINT) AS sub, CAST(e.d AS BIGINT) AS del, CAST(e.n AS BIGINT) AS ins FROM done""")
 def q_errors(spark, d):
     return N.word_errors(hypotheses(spark, d), references(spark, d))
 
 
-@register("oracle_wer")
+@register("oracle_wer", f"""WITH RECURSIVE {HYPS}, pairs AS (SELECT utt, rank, refs.words AS r, h.words AS h FROM h JOIN refs USING (utt) WHERE rank > 0), {COUNTED}
+SELECT utt, CAST(min(e.s + e.d + e.n) AS BIGINT) AS errors FROM done GROUP BY utt""")
 def q_oracle(spark, d):
     return N.oracle_errors(hypotheses(spark, d).where("rank > 0"), references(spark, d))
 
 
+@register("tag_transfer")
+def q_tags(spark, d):
+    """References with a tag after every third word; their tags in each hypothesis."""
+    refs = references(spark, d).select("utt", F.flatten(F.transform("words", lambda w, k: F.when((k + 1) % 3 == 0, F.array(w, F.concat(F.lit("<t"), ((k + 1) % 2).cast("string"), F.lit(">")))).otherwise(F.array(w)))).alias("words"))
+    return N.tag_transfer(hypotheses(spark, d), refs).select("utt", "rank", F.array_join("words", " ").alias("tagged"))
+
+
 @register("mbr")
 def q_mbr(spark, d):
     return N.minimum_risk(weighted(spark, d))
