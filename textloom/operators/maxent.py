@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.sequences import shorter
 from textloom.operators.score import Model, context_length
-from textloom.plans.session import cut
+from textloom.plans.session import cut_in_place as cut
 from textloom.schema import BOS
 
 #: Fixed values of the optimiser that users of such models know: history, sufficient decrease, and when to stop.
