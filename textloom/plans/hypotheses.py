@@ -162,7 +162,8 @@ def q_bleu(spark, d):
 @register("nbest_rescore", f"""WITH {Q.train_counts(2)},{Q.wb_bigram()}, {HYPS}, {Q.events('ev', 'h', 2, 'utt, rank')}, {Q.bigram_lookup('s', 'ev', 'm', 'utt, rank')}
 SELECT utt, rank, round(sum(CASE WHEN p > 0 THEN log10(p) ELSE 0 END), 5) AS lscore FROM s GROUP BY utt, rank""")
 def q_rescore(spark, d):
-    scored = R.lookup(R.events_of(hypotheses(spark, d), 2, ["utt", "rank"]), wb_model(spark, d))
+    ev = R.events_of(hypotheses(spark, d), 2, ["utt", "rank"])
+    scored = R.lookup(ev, wb_model(spark, d, events=ev))
     return R.text_stats(scored, ["utt", "rank"]).select("utt", "rank", F.round("logprob", 5).alias("lscore"))
 
 
