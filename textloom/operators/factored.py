@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.operators.discount import Absolute, GoodTuring, KneserNey, Method, ModifiedKneserNey, Natural, WittenBell, good_turing_factors, kn_constant, modified_kn_constants
@@ -158,7 +158,7 @@ class FactoredModel:
         cnt, total, entries = (F.col(f"s{n}")[c] for c in ("cnt", "total", "entries"))
         if strategy == "bog_node_prob":
             return F.col(f"v{n}")
-        sizes = [self.sizes[self.spec.child], *[self.sizes[k] for k in self.spec.keys(n)]]
+        sizes = [self.sizes[self.spec.child], *[self.sizes[k] for k in self.spec.keys(n)]] if "card" in strategy else [1]
         by = {
             "counts_no_norm": F.lit(1.0), "counts_sum_counts_norm": total, "counts_sum_num_words_norm": entries, "counts_prod_card_norm": F.lit(float(math.prod(sizes))),
             # the two names stand for each other's norm, as users of the format know them; the logarithm is decimal for the child
@@ -260,10 +260,26 @@ def _all(conditions: list[Column]) -> Column:
 # ---- counts ----
 
 
-def node_counts(tokens: DataFrame, spec: Spec, nodes: Sequence[int]) -> DataFrame:
-    """Counts of the child with the parents of each node (``node``, parents, child, ``cnt``) in one aggregation; parents outside a node are null."""
+def node_counts(tokens: DataFrame, spec: Spec, nodes: Sequence[int], block: str | None = None, among: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Counts of the child with the parents of each node (``node``, parents, child, ``cnt``) in one aggregation; parents outside a node are null.
+
+    Where tokens lie dealt by the column ``block``, only all parents together are counted, inside their block; those counts are dealt
+    by the child and give every node's as they lie. ``among`` has the values of a parent that are asked for (a table of its column):
+    nodes with that parent are counted behind these alone, the others whole.
+    """
     names = [*spec.parents, spec.child]
-    rows = tokens.where(F.col(spec.child).isNotNull()).select(*[F.coalesce(F.col(p).cast("string"), F.lit(NULL)).alias(p) for p in spec.parents], F.col(spec.child))
+    filled = [F.coalesce(F.col(p).cast("string"), F.lit(NULL)).alias(p) for p in spec.parents]
+    if among and (block is None or any(spec.node(n).method in ("gt", "kn", "mkn") for n in nodes)):
+        raise ValueError("values are asked of tokens in blocks, for discounts without constants from counts of counts")
+    rows = tokens.where(F.col(spec.child).isNotNull()).select(*([block] if block else []), *filled, F.col(spec.child))
+    if block:
+        for p, asked in (among or {}).items():  # a value that is not asked for is null: it counts where the parent is left out
+            rows = rows.join(asked.select(F.coalesce(F.col(p).cast("string"), F.lit(NULL)).alias("_asked")).distinct(), F.col(p) == F.col("_asked"), "left").withColumn(p, F.col("_asked")).drop("_asked")
+        rows = rows.groupBy(block, *names).agg(F.count(F.lit(1)).alias("_n")).drop(block).repartition(spec.child)
+        each = [F.struct(F.lit(n).alias("node"), *[(F.col(p) if p in spec.keys(n) else F.lit(None).cast("string")).alias(p) for p in spec.parents]) for n in nodes]
+        each = [F.when(_all([F.col(p).isNotNull() for p in spec.keys(n)]), x) if n else x for n, x in zip(nodes, each, strict=True)]
+        rows = rows.select(spec.child, "_n", F.explode(F.array(*each)).alias("g")).where("g is not null")
+        return rows.groupBy("g.node", *[f"g.{p}" for p in spec.parents], spec.child).agg(F.sum("_n").alias("cnt")).select("node", *names, "cnt")
     sets = [[F.col(k) for k in [*spec.keys(n), spec.child]] for n in nodes]
     counted = rows.groupingSets(sets, *[F.col(c) for c in names]).agg(F.count(F.lit(1)).alias("cnt"), F.grouping_id(*[F.col(c) for c in names]).alias("_g"))
     # the grouping id has a bit for each column that is left out, the last column lowest
@@ -314,12 +330,13 @@ def estimate(tokens: DataFrame, spec: Spec, lower: FactoredModel | None = None,
     """
     graph = sorted({m for n in spec.under(spec.top) for m in (n, spec.node(n).kn_parent) if m is not None}, key=lambda m: (m.bit_count(), m))
     counts = cut(node_counts(tokens, spec, graph)) if counts is None else counts
-    if lower is None:
-        names = [*spec.parents, spec.child]
+    # how many values a parent has is asked by some strategies only
+    sizes = dict(lower.sizes) if lower is not None else {spec.child: counts.where("node = 0").count()} if 0 in graph else {}
+    norms = spec.parents if any("card" in spec.node(n).strategy for n in graph) else ()
+    names = [c for c in (*norms, spec.child) if c not in sizes]
+    if names:
         rows = tokens.agg(*[F.count_distinct(F.coalesce(F.col(c).cast("string"), F.lit(NULL)) if c != spec.child else F.col(c)).alias(c) for c in names]).first()
-        sizes = {c: int(rows[c]) for c in names}
-    else:
-        sizes = lower.sizes
+        sizes |= {c: int(rows[c]) for c in names}
     model = FactoredModel(spec, {}, {}, sizes)
     for n in spec.under(spec.top):
         if lower is not None and all(m in lower.rows and lower.spec.node(m) == spec.node(m) for m in spec.under(n)):
@@ -337,26 +354,26 @@ def _estimate_node(model: FactoredModel, level: DataFrame, n: int) -> None:
     keys, node, v = spec.keys(n), spec.node(n), model.sizes[spec.child]
     method = node_method(level, node, spec.child)
     c = F.col("cnt")
-    figures = [F.sum("cnt").alias("total"), F.count(F.lit(1)).alias("types"), F.count_if(c > 1).alias("types2"), F.count_if(c > 2).alias("types3"), F.sum("raw").alias("_raw")]
+    figures = {"total": F.sum("cnt"), "types": F.count(F.lit(1)), "types2": F.count_if(c > 1), "types3": F.count_if(c > 2), "_raw": F.sum("raw")}
     if not keys:
-        total = level.agg(*figures).first()
+        total = level.agg(*[x.alias(name) for name, x in figures.items()]).first()
         rows = level.withColumns({x: F.lit(total[x]) for x in ("total", "types", "types2", "types3", "_raw")})
         rows = rows.withColumn("_low", F.lit(1.0 / max(1, v)))
     else:
-        rows = level.join(level.groupBy(*keys).agg(*figures), keys)
+        rows = level
         for child in spec.below(n):
             rows = model.value(rows, child)
-        rows = rows.withColumn("_low", model.combined(n))
+        # the rows of a context meet once, behind the joins; its figures and sums are windows over them as they lie
+        context = Window.partitionBy(*keys)
+        rows = rows.select(*keys, spec.child, "cnt", "raw", model.combined(n).alias("_low"))
+        rows = rows.withColumns({name: x.over(context) for name, x in figures.items()})
     rows = rows.withColumn("_d", method.factor(v))
     mixed = F.col("_d") * c / F.col("total") + (method.lower_weight(v) * F.col("_low") if method.interpolate else F.lit(0.0))
-    rows = cut(rows.select(*keys, spec.child, "cnt", "total", "types", "types2", "types3", "_raw", "_low", "_d", F.when(F.col("_d") != 0, mixed).alias("p")))
+    rows = rows.withColumn("p", F.when(F.col("_d") != 0, mixed))
     # a context that is left without mass is given a total larger by one
-    whole = rows.groupBy(*keys).agg(F.sum("p").alias("_s")).where(F.col("_s") > 1 - EPSILON)
-    again = F.when(F.col("_full"), F.col("total") + 1).otherwise(F.col("total"))
-    full = rows.join(whole.select(*keys, F.lit(True).alias("_full")), keys, "left") if keys else rows.withColumn("_full", F.lit(whole.count() > 0))
-    rows = full.withColumn("_full", F.coalesce("_full", F.lit(False))).withColumn("total", again)
-    mixed = F.col("_d") * c / F.col("total") + (method.lower_weight(v) * F.col("_low") if method.interpolate else F.lit(0.0))
-    rows = cut(rows.withColumn("p", F.when(F.col("_d") != 0, mixed)))
+    full = F.sum("p").over(context) > 1 - EPSILON if keys else F.lit((rows.agg(F.sum("p")).first()[0] or 0.0) > 1 - EPSILON)
+    rows = rows.withColumn("_full", full).withColumn("total", F.when(F.col("_full"), F.col("total") + 1).otherwise(F.col("total")))
+    rows = cut(rows.withColumn("p", F.when(F.col("_d") != 0, mixed)).select(*keys, spec.child, "cnt", "total", "types", "_raw", "_low", "p"))
     kept = rows.select(*keys, spec.child, "cnt", F.col("_raw").alias("total"), F.col("types").alias("entries"), "p")
     if not keys:
         model.rows[0] = _unigrams(kept, spec.child)
