@@ -624,6 +624,35 @@ def test_representatives_lose_no_text(spark):
     assert sorted(r["text"] for r in simhash.keep_representatives(twice).collect()) == sorted(r[1] for r in rows)
 
 
+def test_families_are_not_compared_pair_by_pair(spark, monkeypatch):
+    """Texts edited from one that is not there, mostly under 0.8 to each other: what is linked is found from pairs in proportion to the texts."""
+    rnd = random.Random(1)
+    base, texts = [f"w{rnd.randrange(10**6)}" for _ in range(300)], []
+    for _ in range(400):
+        words = list(base)
+        for k in rnd.sample(range(300), 4):
+            words[k] = f"x{rnd.randrange(10**6)}"
+        texts.append(" ".join(words))
+    whole, asked = simhash.verified, []
+
+    def counted(known, keys, pairs, similar):
+        asked.append(pairs.count())
+        return whole(known, keys, pairs, similar)
+
+    monkeypatch.setattr(simhash, "verified", counted)
+    got = similar_labels(spark, texts)
+    sets = [frozenset(simhash.shingle_set(t).tolist()) for t in texts]
+    root = list(range(400))
+    for i in range(400):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) and root[i] != root[j]:
+                one, two = root[i], root[j]
+                root = [min(one, two) if r in (one, two) else r for r in root]
+    assert [got[k] for k in range(400)] == root
+    assert max(asked[1:]) < 16 * 400 and sum(asked[1:]) < 32 * 400
+
+
 def test_hot_fingerprints_make_no_pairs_of_all(spark):
     """Thousands of near copies give a star, not all their pairs."""
     rng = np.random.default_rng(2)

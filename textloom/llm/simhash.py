@@ -29,7 +29,8 @@ exact search: of sets in one common order, rare shingles first, two that are sim
 ``n - ceil(similar n) + 1``. Documents meet by those; pairs linked already go, so do those whose sizes and places rule it
 out, and those whose sketches of 128 bits differ by five standard errors more than similar sets' do (about three similar pairs
 in ten million, for which alone, and for equal hashes, the search is not complete); the others are compared in full.
-A pair that shares one of its first four shingles is proposed once, by that.
+A pair that shares one of its first four shingles is proposed once, by that. Where many texts of one family meet, some central ones are
+compared with the others first, in two rounds; what they link needs no comparison with the whole family, and the last round has the rest.
 
 Null and empty texts have no word and the fingerprint zero, which links like any other (without a word, texts are
 similar to each other only). Texts of any length are read whole, one at a time. Ties cannot occur: a component's id is
@@ -350,6 +351,10 @@ HASHES, BANDS, ROWS = 128, 8, 3
 SKETCH = [f"sk{k}" for k in range(HASHES // 64)]
 _draw = np.random.default_rng(5).integers(0, 1 << 63, (2, HASHES), np.uint64)
 FACTORS, FLIPS = _draw[0] << np.uint64(1) | np.uint64(1), _draw[1]
+#: Rows of the search; ``pack`` holds the shingle's place and the number of shingles.
+COLUMNS = ["v", "node", "root", "pack", "early", "next", *SKETCH]
+#: Central rows that a bucket with many pairs compares with its others, by round (in the last, all), and partners below which none is central.
+HUBS, FEW = [8, 8, None], 8
 #: Differing bits of two sketches, at most, of a pair that is ``similar``: the mean and this many standard errors.
 ERRORS = 5
 
@@ -418,58 +423,86 @@ def common_shingles(texts: DataFrame, documents: int) -> np.ndarray:
     return np.sort(out, order="value")
 
 
-def bucket_pairs(batches: Iterator[pa.RecordBatch], similar: float) -> Iterator[pa.RecordBatch]:
-    """Rows (v, node, root, place and n in one, the first four v, two sketch words) sorted by v to pairs of one v in different roots whose sizes, places and sketches allow the similarity."""
+def bucket_pairs(batches: Iterator[pa.RecordBatch], similar: float, hubs: int | None) -> Iterator[pa.RecordBatch]:
+    """Rows (v, node, root, place and n in one, the first four v, two sketch words) sorted by v to pairs of one v in different roots whose sizes, places and sketches allow the similarity.
+
+    A pair is a row without v, its nodes in ``node`` and ``root``. A bucket with more than ``hubs`` such pairs a row gives only those of the
+    ``hubs`` rows whose sketches are nearest to their partners', and gives its rows back for a later round, which knows more links; without
+    ``hubs`` it gives all.
+    """
     limit = sketch_limit(similar)
 
+    def allowed(v: np.ndarray, rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        root, pack = rows[1:3]
+        early = [x for two in rows[3:5] for x in (two >> 32 & 0xFFFFFFFF, two & 0xFFFFFFFF)]
+        place, n = pack >> 32, pack & 0xFFFFFFFF
+        words = rows[5:].view(np.uint64)  # bits of a negative number would be those of its absolute value
+        room = 1 + np.minimum(n[i] - place[i] - 1, n[j] - place[j] - 1)
+        size = n[i] + n[j]
+        ok = (root[i] != root[j]) & (room * (1 + similar) >= similar * size - 1e-6)
+        # what comes before the first shingle that two sets share is in one of them only, which leaves little room
+        ok &= (place[i] + place[j]) * (1 + similar) <= (1 - similar) * size + 1e-6
+        at = np.flatnonzero(ok)
+        i, j = i[at], j[at]
+        # a pair that shares one of its first four shingles is proposed by the first such alone
+        here, ok, decided = v[i] & 0xFFFFFFFF, np.ones(len(i), bool), np.zeros(len(i), bool)
+        for mine in early:
+            shared = ~decided & np.logical_or.reduce([mine[i] == theirs[j] for theirs in early])
+            ok[shared] = (here == mine[i])[shared]
+            decided |= shared
+        at, i, j = at[ok], i[ok], j[ok]
+        apart = sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in words)
+        return at[apart <= limit], apart[apart <= limit]
+
     def pairs(v: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         edge = np.flatnonzero(v[1:] != v[:-1]) + 1
         start = np.concatenate(([0], edge))
         length = np.diff(np.concatenate((start, [len(v)])))
         reach = np.repeat(start + length, length)  # the end of each row's bucket
+        bucket = np.repeat(np.arange(len(start)), length)
         most = int(length.max())
-        node, root, pack = rows[:3]
-        early = [x for two in rows[3:5] for x in (two >> 32 & 0xFFFFFFFF, two & 0xFFFFFFFF)]
-        place, n = pack >> 32, pack & 0xFFFFFFFF
-        words = rows[5:].view(np.uint64)  # bits of a negative number would be those of its absolute value
+        many, met, near = np.zeros(len(start), bool), np.zeros(len(v), np.int64), np.zeros(len(v), np.int64)
         left, right, held = [], [], 0
         at = np.arange(len(v))
         for gap in range(1, most):
             at = at[at + gap < reach[at]]
             if not len(at):
                 break
-            i, j = at, at + gap
-            room = 1 + np.minimum(n[i] - place[i] - 1, n[j] - place[j] - 1)
-            size = n[i] + n[j]
-            ok = (root[i] != root[j]) & (room * (1 + similar) >= similar * size - 1e-6)
-            # what comes before the first shingle that two sets share is in one of them only, which leaves little room
-            ok &= (place[i] + place[j]) * (1 + similar) <= (1 - similar) * size + 1e-6
-            i, j = i[ok], j[ok]
-            # a pair that shares one of its first four shingles is proposed by the first such alone
-            here, ok, decided = v[i] & 0xFFFFFFFF, np.ones(len(i), bool), np.zeros(len(i), bool)
-            for mine in early:
-                shared = ~decided & np.logical_or.reduce([mine[i] == theirs[j] for theirs in early])
-                ok[shared] = (here == mine[i])[shared]
-                decided |= shared
-            i, j = i[ok], j[ok]
-            ok = sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in words) <= limit
-            left.append(node[i[ok]])
-            right.append(node[j[ok]])
-            held += int(ok.sum())
+            fine, apart = allowed(v, rows, at, at + gap)
+            i, j = at[fine], at[fine] + gap
+            if hubs is not None:
+                for x in (i, j):  # each holds a row once
+                    met[x] += 1
+                    near[x] += limit + 1 - apart
+                many = np.add.reduceat(met, start) > 2 * hubs * length
+                i, j = i[~many[bucket[i]]], j[~many[bucket[i]]]
+            left.append(i)
+            right.append(j)
+            held += len(i)
             if held > FRONTIER:
-                yield made(left, right)
+                yield made(rows, left, right, many[bucket])
                 left, right, held = [], [], 0
-        yield made(left, right)
-
-    def made(left: list[np.ndarray], right: list[np.ndarray]) -> pa.RecordBatch:
-        x, y = (np.concatenate([np.zeros(0, np.int64), *z]) for z in (left, right))
+        yield made(rows, left, right, many[bucket])
+        for b in np.flatnonzero(many):
+            own = start[b] + np.flatnonzero(met[start[b] : start[b] + length[b]])
+            yield pa.record_batch([pa.array(v[own]), *map(pa.array, rows[:, own])], names=COLUMNS)
+            for hub in own[np.argsort(-near[own] / (met[own] + FEW), kind="stable")[:hubs]]:
+                i = np.full(len(own), hub)
+                fine, _ = allowed(v, rows, i, own)
+                yield made(rows, [i[fine]], [own[fine]])
+
+    def made(rows: np.ndarray, left: list[np.ndarray], right: list[np.ndarray], later: np.ndarray | None = None) -> pa.RecordBatch:
+        i, j = (np.concatenate([np.zeros(0, np.int64), *z]) for z in (left, right))
+        if later is not None:  # what was held of a bucket before it proved to have many
+            i, j = i[~later[i]], j[~later[i]]
+        x, y = rows[0, i], rows[0, j]
         both = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), 1), axis=0)
-        return pa.record_batch({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])})
+        return pa.record_batch([pa.nulls(len(both), pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), *[pa.nulls(len(both), pa.int64())] * (len(COLUMNS) - 3)], names=COLUMNS)
 
-    held_v, held = np.zeros(0, np.int64), np.zeros((7, 0), np.int64)
+    held_v, held = np.zeros(0, np.int64), np.zeros((len(COLUMNS) - 1, 0), np.int64)
     for batch in batches:
         held_v = np.concatenate((held_v, np.asarray(batch.column("v"))))
-        held = np.concatenate((held, np.stack([np.asarray(batch.column(k)) for k in ("node", "root", "pack", "early", "next", *SKETCH)])), axis=1)
+        held = np.concatenate((held, np.stack([np.asarray(batch.column(k)) for k in COLUMNS[1:]])), axis=1)
         ends = np.flatnonzero(held_v[1:] != held_v[:-1])
         if len(ends):
             done = ends[-1] + 1
@@ -480,17 +513,46 @@ def bucket_pairs(batches: Iterator[pa.RecordBatch], similar: float) -> Iterator[
     trim()
 
 
-def shared_pairs(nodes: DataFrame, roots: DataFrame, similar: float) -> DataFrame:
-    """Distinct pairs ``a``, ``b`` of nodes (``node``, ``n``, ``vs``) that may be ``similar`` and have no root in common yet; misses none."""
-    rows = nodes.join(roots.select(F.col("node").alias("_node"), F.col("root")), F.col("node") == F.col("_node"), "left")
+def shingle_rows(nodes: DataFrame) -> DataFrame:
+    """A row of ``COLUMNS`` for each rare shingle of each node (``node``, ``n``, ``vs``, ``sk``), each node its own root."""
     # the first four shingles, 32 bits of each; a shorter list names its first again
     part = lambda k: F.coalesce(F.get("vs", F.lit(k)), F.col("vs")[0]).bitwiseAND(F.lit(0xFFFFFFFF))
     two = lambda k: F.shiftleft(part(k), 32).bitwiseOR(part(k + 1))
-    rows = rows.select("node", F.coalesce("root", "node").alias("root"), "n", "sk", two(0).alias("early"), two(2).alias("next"), F.posexplode("vs").alias("place", "v"))
+    rows = nodes.select("node", "n", "sk", two(0).alias("early"), two(2).alias("next"), F.posexplode("vs").alias("place", "v"))
     pack = F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(F.col("n"))
-    rows = rows.select("v", "node", "root", pack.alias("pack"), "early", "next", *[F.col("sk")[k].alias(c) for k, c in enumerate(SKETCH)])
-    rows = rows.repartition(shuffle_width(nodes.sparkSession), "v").sortWithinPartitions("v")
-    return rows.mapInArrow(lambda batches: bucket_pairs(batches, similar), "a long, b long").distinct()
+    return rows.select("v", "node", F.col("node").alias("root"), pack.alias("pack"), "early", "next", *[F.col("sk")[k].alias(c) for k, c in enumerate(SKETCH)])
+
+
+def with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows with the root of each node by now."""
+    rows = rows.join(roots.select(F.col("node").alias("_node"), F.col("root").alias("_root")), F.col("node") == F.col("_node"), "left")
+    return rows.select(*[F.coalesce("_root", "node").alias("root") if c == "root" else F.col(c) for c in COLUMNS])
+
+
+def shared_pairs(rows: DataFrame, similar: float, hubs: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs ``a``, ``b`` of nodes that may be ``similar`` and have no root in common yet, and the rows whose pairs are left to a later round."""
+    rows = rows.repartition(shuffle_width(rows.sparkSession), "v").sortWithinPartitions("v")
+    made = cut(rows.mapInArrow(lambda batches: bucket_pairs(batches, similar, hubs), ", ".join(f"{c} long" for c in COLUMNS)))
+    return made.where("v is null").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct(), made.where("v is not null")
+
+
+def searched(texts: DataFrame, keys: DataFrame, nodes: DataFrame, sure: DataFrame, similar: float) -> tuple[DataFrame, DataFrame]:
+    """All links and the roots they make: those known and those of the exact search.
+
+    Where a bucket has many pairs, its rows meet some central ones first: what gets linked by them needs no comparison with all others of the
+    same family. A round's pairs are in proportion to its rows at most, but in the last, which has all pairs that are left.
+    """
+    roots = connected_components(sure, "a", "b")
+    rows = shingle_rows(nodes)
+    for hubs in HUBS:
+        pairs, rows = shared_pairs(with_roots(rows, roots), similar, hubs)
+        more = verified(texts, keys, cut(pairs), similar)
+        if not more.isEmpty():
+            sure = sure.union(more)
+            roots = cut(connected_components(sure, "a", "b"))
+        if rows.isEmpty():
+            break
+    return sure, roots
 
 
 def band_pairs(nodes: DataFrame) -> DataFrame:
@@ -548,8 +610,8 @@ def verified(texts: DataFrame, keys: DataFrame, pairs: DataFrame, similar: float
             out.append(both >= similar * (len(one) + len(two) - both) - 1e-9)
         return pa.array(out, pa.bool_())
 
-    known = texts.mapInArrow(sets, "node long, values binary").dropDuplicates(["node"]).join(nodes, "node", "left_semi")
-    known = cut(known)
+    # dealt by node once, which both joins read
+    known = texts.mapInArrow(sets, "node long, values binary").dropDuplicates(["node"])
     first, second = known.toDF("_a", "_x"), known.toDF("_b", "_y")
     held = pairs.join(first, F.col("a") == F.col("_a")).join(second, F.col("b") == F.col("_b"))
     return cut(held.where(alike.asNondeterministic()(F.col("_x"), F.col("_y"))).select("a", "b"))
@@ -595,14 +657,13 @@ def _similar_nodes(docs: DataFrame, id_col: str, text: str, similar: float, radi
     heads = cut(signed.groupBy("sig").agg(F.min("self").alias("head")))
     named = links.join(heads.toDF("a", "_x"), "a").join(heads.toDF("b", "_y"), "b").select(F.col("_x").alias("a"), F.col("_y").alias("b"))
     twins = signed.select("sig", "self").distinct().join(heads, "sig").where("self <> head").select(F.col("head").alias("a"), F.col("self").alias("b"))
-    nodes = signed.where("n > 0").select(F.col("self").alias("node"), "n", "vs", "sk", "bands").dropDuplicates(["node"])
-    nodes = cut(nodes)
-    sure = verified(texts, keys, cut(named.union(twins).union(band_pairs(nodes)).distinct()), similar)
-    roots = connected_components(sure, "a", "b")
+    nodes = signed.where("n > 0").withColumnRenamed("self", "node")
+    banded = nodes.select("node", "bands").dropDuplicates(["node"])
+    sure = verified(texts, keys, cut(named.union(twins).union(band_pairs(banded)).distinct()), similar)
     # what the fingerprints do not propose: pairs that share a shingle of those that cannot all differ
-    more = verified(texts, keys, cut(shared_pairs(nodes, roots, similar)), similar)
-    roots = cut(connected_components(sure.union(more), "a", "b"))
-    return signed.select("_id", "th", "self"), roots
+    nodes = nodes.select("node", "n", "vs", "sk").dropDuplicates(["node"])
+    _, roots = searched(texts, keys, nodes, sure, similar)
+    return signed.select("_id", "th", "self"), cut(roots)
 
 
 def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", similar: float = 0.8, radius: int = 7, bucket_limit: int = 8192) -> DataFrame:
