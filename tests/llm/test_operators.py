@@ -445,6 +445,25 @@ def test_host_boilerplate(spark):
     assert htmltext.extract(df.limit(0)).count() == 0
 
 
+def test_marked_articles_pass_the_host_suffix_array(spark):
+    """Furniture inside the mark on nearly all pages of a host goes; what some pages quote, or few pages have, stays."""
+    furniture = "subscribe to our letter and get the news of the week in your mail box every day"
+    quoted = "this very passage was quoted word for word on several pages of the host by its many readers"
+    own = [" ".join(f"w{k * 1000 + i}" for i in range(20)) for k in range(12)]
+    rows, want = [], {}
+    for k, t in enumerate(own):
+        parts = [t, *([quoted] if k < 6 else []), *([furniture] if k != 7 else [])]
+        rows.append((k, "http://h.example/a", f"<article>{''.join(f'<p>{p}</p>' for p in parts)}</article><p>beside</p>"))
+        want[k] = " ".join(p for p in parts if p != furniture)
+    for k in range(9):  # too few pages to tell
+        rows.append((100 + k, "http://g.example/a", f"<main><p>{own[k]}</p><p>{furniture}</p></main>"))
+        want[100 + k] = f"{own[k]} {furniture}"
+    rows += [(200 + k, "http://c.example/a", f"<article>{furniture}</article>") for k in range(10)]  # copies stay whole
+    want |= {200 + k: furniture for k in range(10)}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    assert {r["page_id"]: r["text"] for r in htmltext.extract(df).collect()} == want
+
+
 def covered_by_suffix_array(pages, run):
     """Tokens of each page inside a substring of ``run`` tokens or more that another page holds, from all suffixes in order."""
     suffixes = sorted((tuple(w[i:]), p, i) for p, w in enumerate(pages) for i in range(len(w)))

@@ -3,10 +3,13 @@
 A page is read as a stream of tags and texts. Blocks inside menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and reader comments are dropped, by element and by the words of class, id
 and role. Where a page marks its article (``article``, ``main``, role main or article), the blocks inside
-it are the main text, for the mark is surer than any statistic: articles that are copied or quoted on
-other pages stay whole.
+it are its stream; the suffix array of its host's marked pages decides what of them is furniture that the mark encloses. The mark
+speaks for the text, so that takes more than a repeat: a substring of ``run`` tokens goes that is on ``share`` of the host's
+marked pages and on ``least`` of them at least. Articles that are copied or quoted on other pages stay whole. Such substrings are found
+without a row for each token: one that is on ``share`` of all pages of a host is on that share of those in some chunk of a task's
+pages, so a chunk proposes what is frequent in it (of a host with one page there, all), and the proposals are counted over all pages.
 
-Where it does not, the host decides. Its unmarked pages' token streams are one text whose suffixes are sorted, each down
+Where it does not, a repeat is enough. The host's unmarked pages' token streams are one text whose suffixes are sorted, each down
 to ``depth`` tokens; the common prefix of a suffix with the one before it of another page is a substring repeated
 across distinct pages if it has ``run`` tokens or more, and every token covered by such a substring is boilerplate and
 goes. What remains are the page's unique runs. Spark range-partitions the suffixes by host and their first ``run``
@@ -28,8 +31,10 @@ import html as html_module
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import cut, shuffle_width, small_batches
@@ -228,29 +233,108 @@ def repeated_runs(pages: DataFrame, run: int, depth: int) -> DataFrame:
     windows = F.transform(F.sequence(F.lit(1), F.size("w") - (run - 1)), lambda i: F.xxhash64(F.array_join(F.slice(F.col("w"), i, run), " ")))
     hashed = long.select("host", "key", F.posexplode(windows).alias("at", "h"))
     shared = hashed.groupBy("host", "h").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("host", "h")
-    spots = hashed.join(shared, ["host", "h"], "left_semi").groupBy(F.col("key").alias("k")).agg(F.collect_list("at").alias("spots"))
-    held = long.join(spots, F.col("key") == F.col("k")).select("host", "key", "w", F.explode("spots").alias("at"))
+    return sorted_suffixes(long, hashed.join(shared, ["host", "h"], "left_semi"), run, depth)
+
+
+def sorted_suffixes(pages: DataFrame, found: DataFrame, run: int, depth: int) -> DataFrame:
+    """The repeated runs among the suffixes of the pages (host, key, w) at the places ``found`` (key, at)."""
+    spots = found.groupBy(F.col("key").alias("k")).agg(F.collect_list("at").alias("spots"))
+    held = pages.join(spots, F.col("key") == F.col("k")).select("host", "key", "w", F.explode("spots").alias("at"))
     suffixes = held.select("host", "key", "at", F.slice("w", F.col("at") + 1, F.lit(depth)).alias("suffix"))
     dealt = suffixes.repartitionByRange(shuffle_width(pages.sparkSession), "host", F.slice("suffix", 1, run))
     ordered = dealt.sortWithinPartitions("host", "suffix", "key", "at").select("host", "suffix", "key", "at")
     return ordered.mapInArrow(lambda batches: shared_prefixes(batches, run), "key long, at int, length int")
 
 
-def extract(pages: DataFrame, *, id_col: str = "page_id", url: str = "url", html: str = "html", run: int = 12, depth: int = 36) -> DataFrame:
+def window_hashes(blocks: list[str], run: int) -> np.ndarray:
+    """A 64-bit value of each ``run`` tokens of a page."""
+    words = [w for b in blocks for w in b.split()]
+    spans = max(0, len(words) - run + 1)
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+    mixed = np.full(spans, run, np.uint64)
+    for k in range(run if spans else 0):
+        mixed = (mixed ^ hashes[k : k + spans]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return mixed.view(np.int64)
+
+
+#: Pages of a chunk, and values that are broadcast at most.
+CHUNK, SENT = 4096, 200_000
+
+
+def frequent_windows(batches: Iterator[pa.RecordBatch], run: int, share: float) -> Iterator[pa.RecordBatch]:
+    """The windows on ``share`` of the pages (host, blocks) that some chunk of them has of a host."""
+
+    def told(pages: dict[str, list[np.ndarray]]) -> pa.RecordBatch:
+        hosts, values = [], []
+        for host, own in pages.items():
+            window, count = np.unique(np.concatenate(own), return_counts=True)
+            window = window[count >= share * len(own) - 1e-9]
+            hosts += [host] * len(window)
+            values.append(window)
+        return pa.record_batch({"host": pa.array(hosts, pa.string()), "h": pa.array(np.concatenate([np.zeros(0, np.int64), *values]))})
+
+    pages, held = {}, 0
+    for batch in batches:
+        for host, blocks in zip(batch.column("host").to_pylist(), batch.column("blocks"), strict=True):
+            pages.setdefault(host, []).append(np.unique(window_hashes(blocks.as_py() or [], run)))
+            held += 1
+            if held == CHUNK:
+                yield told(pages)
+                pages, held = {}, 0
+    yield told(pages)
+
+
+def frequent_runs(pages: DataFrame, run: int, least: int, share: float) -> DataFrame | None:
+    """``key``, ``at``, ``length``: where the pages (host, key, blocks) hold a substring that is on ``share`` of their host's pages, ``least`` at least."""
+    sizes = pages.groupBy(F.col("host").alias("_host")).count().where(F.col("count") >= least).select("_host", F.greatest(F.ceil(F.col("count") * share - 1e-9), F.lit(least)).alias("need"))
+    sizes = cut(sizes)
+    some = pages.select("host", "blocks").mapInArrow(lambda batches: frequent_windows(batches, run, share), "host string, h long")
+    some = cut(some.join(sizes, F.col("host") == F.col("_host"), "left_semi").distinct())
+    proposed = some.count()
+    if not proposed:
+        return None
+    lists = some.groupBy(F.col("host").alias("_host")).agg(F.collect_list("h").alias("hs"))  # as many as two pages' windows a chunk
+
+    @F.arrow_udf("array<struct<at int, h long>>")
+    def places(blocks: pa.Array, hs: pa.Array) -> pa.Array:
+        out = []
+        for b, h in zip(blocks, hs, strict=True):
+            windows = window_hashes(b.as_py() or [], run)
+            at = np.flatnonzero(np.isin(windows, h.values.to_numpy(zero_copy_only=False)))
+            out.append([{"at": int(k), "h": int(windows[k])} for k in at])
+        return pa.array(out, pa.list_(pa.struct([("at", pa.int32()), ("h", pa.int64())])))
+
+    met = pages.join(F.broadcast(lists) if proposed <= SENT else lists, F.col("host") == F.col("_host"))
+    hits = cut(met.select("host", "key", F.explode(places.asNondeterministic()("blocks", "hs")).alias("x")).select("host", "key", "x.at", "x.h"))
+    counts = hits.select("host", "key", "h").distinct().groupBy("host", "h").count().join(sizes, F.col("host") == F.col("_host"))
+    found = hits.join(counts.where("count >= need").select("host", "h"), ["host", "h"], "left_semi")
+    return sorted_suffixes(pages.select("host", "key", tokens().alias("w")), found, run, run)
+
+
+def tokens() -> Column:
+    return F.filter(F.split(F.array_join("blocks", " "), r"\s+"), lambda w: w != "")
+
+
+def extract(pages: DataFrame, *, id_col: str = "page_id", url: str = "url", html: str = "html", run: int = 12, depth: int = 36, least: int = 10, share: float = 0.8) -> DataFrame:
     """``page_id``, ``url``, ``text`` of every page."""
     read = parsed_pages(pages.select(F.col(id_col).alias("_id"), F.col(url).alias("_url"), F.col(html).alias("_html")), "_html").drop("_html")
-    read = cut(read.select("_id", "_url", F.when(F.col("_page.marked"), F.array_join("_page.blocks", " ")).alias("text"), F.when(~F.col("_page.marked"), F.col("_page.blocks")).alias("blocks")))
-    done = read.where("text is not null").select("_id", "_url", "text")
-    open_pages = read.where("text is null").select("_id", "_url", "blocks")
     host = F.coalesce(F.lower(F.regexp_extract("_url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
-    keyed = cut(open_pages.withColumn("host", host).withColumn("key", F.monotonically_increasing_id()))
-    tokens = F.filter(F.split(F.array_join("blocks", " "), r"\s+"), lambda w: w != "")
-    runs = repeated_runs(keyed.select("host", "key", tokens.alias("w")), run, depth)
+    keyed = cut(read.select("_id", "_url", host.alias("host"), F.monotonically_increasing_id().alias("key"), "_page.marked", "_page.blocks"))
+    runs = repeated_runs(keyed.where("not marked").select("host", "key", tokens().alias("w")), run, depth)
+    inside = frequent_runs(keyed.where("marked").select("host", "key", "blocks"), run, least, share)
+    if inside is not None:
+        runs = runs.unionByName(inside)
     spots = runs.groupBy(F.col("key").alias("k")).agg(F.collect_list(F.struct("at", "length")).alias("spots"))
+    spots = cut(spots)
 
     @F.arrow_udf("string")
     def remove(blocks: pa.Array, at: pa.Array) -> pa.Array:
         return pa.array([unique_runs(b, s) for b, s in zip(blocks.to_pylist(), at.to_pylist(), strict=True)], pa.string())
 
-    cleaned = keyed.join(spots, F.col("key") == F.col("k"), "left").select("_id", "_url", remove.asNondeterministic()("blocks", "spots").alias("text"))
-    return done.unionByName(cleaned).select(F.col("_id").alias(id_col), F.col("_url").alias(url), "text")
+    # pages without a repeated run are not moved
+    whole = keyed.join(spots, F.col("key") == F.col("k"), "left_anti") if not spots.isEmpty() else keyed
+    cleaned = keyed.join(spots, F.col("key") == F.col("k")).select("_id", "_url", remove.asNondeterministic()("blocks", "spots").alias("text"))
+    whole = whole.select("_id", "_url", F.array_join("blocks", " ").alias("text"))
+    both = whole.unionByName(cleaned) if not spots.isEmpty() else whole
+    return both.select(F.col("_id").alias(id_col), F.col("_url").alias(url), "text")
