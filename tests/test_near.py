@@ -17,7 +17,8 @@ ODD = [
     (0, "x", ALL), (0, "x", ["b", "c"]), (1, "y", ["a", "b", "c", "d"]), (1, None, ["<s>", "d", "a"]), (2, "y", ["c", "</s>"]), (2, "y", ["<s>"]), (2, "", ["d"]),
     (3, "x", ["a", "<s>", "b"]), (3, "y", ["a", "</s>", "b", "c"]), (3, "z", ["b", "<unk>", "c", "-pau-", "d"]), (3, "x", ["c", "__META__1", "a"]), (1, "x", ["a", "b", "c"]), (2, "x", ["b", "a", "b", "a"]),
 ]
-LONGER = [(k % 4, "x", [*ALL, "d", "d", "d"]) for k in range(6)]  # trigrams found more than once, "a a" before most words
+LONGER = [(k % 4, "x", [*ALL, "d", "d", "d"]) for k in range(6)]  # trigrams found more than once
+WIDE = [*ODD[:1], *ODD[:1], *LONGER[:2]]
 
 
 def general_stats(sents):
@@ -74,3 +75,34 @@ def test_flagship_moves_less_than_half_of_the_general_way(spark):
     P.q_flagship(spark, D).count()
     new = moved(spark, lambda: P.q_flagship(spark, D).collect())
     assert 2 * new < moved(spark, lambda: general_stats(K.blocks(spark, D)).collect())
+
+
+@pytest.mark.parametrize("rows", [ODD + LONGER, WIDE, ODD + ODD[1:]])
+def test_trigrams_and_their_weights(dealt, rows):
+    sents, asked = dealt(rows), []
+
+    def model_for(events):
+        asked.append({r["ctx"] for r in events.collect()})
+        return E.train(C.count_ngrams(sents, 2, block="block"), 2, "wb")
+
+    whole = E.train(C.count_ngrams(sents, 3, block="block"), 3, "wb")
+    shown = lambda df: sorted((r["ctx"], r["w"], round(r["logp"], 9), round(r["lowlog"], 9), round(r["bow"], 9)) for r in df.collect())
+    top = N.top_trigrams(sents, C.count_ngrams(sents, 1), model_for).cache()
+    assert shown(top) == shown(whole.lower[3].select("ctx", "w", "logp", "lowlog", "bow")) and top.count()
+    firsts = [r["ctx"] for r in top.where("one").collect()]
+    assert sorted(firsts) == sorted({r["ctx"] for r in top.collect()})
+    if rows == WIDE:
+        assert asked == [{"a"}]  # all words stand behind "a", so single words decide its probabilities
+
+
+def general_bows(spark, d):
+    m = P.wb_model(spark, d, 3)
+    return m.bows.where("len = 2").join(m.probs.where("ord = 3").select("ctx").distinct(), "ctx", "left_semi").select("ctx", (F.round("bow", 6) + 0.0).alias("bow"))
+
+
+def test_trigram_bows_moves_less_than_half_of_the_general_way(spark):
+    new, old = [], []
+    P.q_trigram_bows(spark, D).count()
+    least = moved(spark, lambda: new.extend(P.q_trigram_bows(spark, D).collect()))
+    assert 2 * least < moved(spark, lambda: old.extend(general_bows(spark, D).collect()))
+    assert sorted(map(tuple, new)) == sorted(map(tuple, old)) and new
