@@ -106,3 +106,11 @@ def test_trigram_bows_moves_less_than_half_of_the_general_way(spark):
     least = moved(spark, lambda: new.extend(P.q_trigram_bows(spark, D).collect()))
     assert 2 * least < moved(spark, lambda: old.extend(general_bows(spark, D).collect()))
     assert sorted(map(tuple, new)) == sorted(map(tuple, old)) and new
+
+
+def test_wb_trigram_model_moves_less_than_half_of_the_general_way(spark):
+    new, old = [], []
+    P.q_wb_trigram(spark, D).count()
+    least = moved(spark, lambda: new.extend(P.q_wb_trigram(spark, D).collect()))
+    assert 2 * least < moved(spark, lambda: old.extend(P.shown_probs(P.wb_model(spark, D, 3), 3).collect()))
+    assert sorted(map(tuple, new)) == sorted(map(tuple, old)) and new
