@@ -114,3 +114,11 @@ def test_wb_trigram_model_moves_less_than_half_of_the_general_way(spark):
     least = moved(spark, lambda: new.extend(P.q_wb_trigram(spark, D).collect()))
     assert 2 * least < moved(spark, lambda: old.extend(P.shown_probs(P.wb_model(spark, D, 3), 3).collect()))
     assert sorted(map(tuple, new)) == sorted(map(tuple, old)) and new
+
+
+def test_large_texts_are_dealt_in_more_parts(spark, dealt):
+    size = sum(len((r["text"] or "").encode()) for r in spark.read.parquet(f"{D}/documents.parquet").select("text").collect())
+    assert K.parts_of(spark, D, size) == 4 and K.parts_of(spark, D, size // 9) >= 9
+    assert N.dealt(dealt(ODD), 3, parts=9).rdd.getNumPartitions() == 9
+    shown = lambda df: sorted((r["near"], r["first"], r["w"], r["n"]) for r in df.collect())
+    assert shown(N.dealt(dealt(ODD), 3, parts=9)) == shown(N.dealt(dealt(ODD), 3))
